@@ -20,17 +20,19 @@ COMMON = {
 #: Thresholds of the rules.
 RULES = {"min_common_share": 0.20, "row_common_share": 0.27, "row_digit_share": 0.12, "min_words": 1, "max_symbol_share": 0.25, "min_letter_share": 0.45, "max_digit_share": 0.30, "min_mean_word": 2.0, "max_mean_word": 12.0, "max_bullet_share": 0.9, "min_distinct": 1.6}
 
+STATISTICS = "n_chars n_words mean_word letter_share digit_share symbol_share n_lines punct_line_share bullet_line_share short_line_share common_share capital_share n_distinct".split()
+
 
 def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a struct column ``stats``: n_chars, n_words, mean_word, letter_share, digit_share, symbol_share,
-    n_lines, punct_line_share, bullet_line_share, short_line_share, common_share, capital_share, n_distinct.
+    """``df`` with the columns of ``STATISTICS``. They are plain columns: fields of a struct would be inlined, and computed
+    again, wherever a rule reads them; columns nobody reads are pruned.
 
-    A null text counts as empty; an empty text has zero counts and null shares. No input column is changed
-    (a column already called ``stats`` is replaced)."""
+    A null text counts as empty; an empty text has zero counts and null shares. Input columns with the name of a
+    statistic are replaced, others kept."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, r"[^\p{L}]+"), lambda w: F.length(w) > 0)
     lines = F.filter(F.split(t, r"\n"), lambda x: F.length(F.trim(x)) > 0)
@@ -42,7 +44,8 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     digits = _count(t, "[0-9]+")
     share = lambda c, whole: F.try_divide(c.cast("double"), whole.cast("double"))
     part = lambda col, f: share(F.size(F.filter(col, f)), F.size(col))
-    stats = F.struct(
+    return d.select(
+        *[F.col(c) for c in df.columns if c not in STATISTICS],
         nc.alias("n_chars"),
         n.alias("n_words"),
         share(letters, n).alias("mean_word"),
@@ -57,14 +60,13 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         part("_w", lambda w: (w != F.lower(w))).alias("capital_share"),
         F.size(F.array_distinct("_w")).alias("n_distinct"),
     )
-    return d.withColumn("stats", stats).drop("_w", "_l")
 
 
 def prose_rules(df: DataFrame, rules: dict | None = None) -> DataFrame:
     """Adds ``reasons`` (array of failed rules, in a fixed order) and ``is_prose`` (no rule failed) to a table with
-    ``stats``. A text without words fails ``no_words`` only."""
+    text statistics. A text without words fails ``no_words`` only."""
     r = RULES | (rules or {})
-    s = lambda k: F.col(f"stats.{k}")
+    s = lambda k: F.col(k)
     some = s("n_words") >= r["min_words"]
     checks = [
         ("no_words", ~some),
