@@ -30,6 +30,8 @@ from broadsheet.runtime import cut, lookup_join
 
 #: Minimum hashes per band and bands; together the bits of a fingerprint.
 ROWS, BANDS = 4, 32
+#: Bytes of a cell number: a shared number of different cells only means a few more candidates, which the index prunes.
+CELL_BYTES = 5
 #: Members of a node of the index, members of a cell from which on it is split into blocks of that size.
 FAN_OUT, HOT_CELL = 8, 4000
 
@@ -97,8 +99,8 @@ def minhashes(doc: np.ndarray, g: np.ndarray, n_docs: int, n: int = ROWS * BANDS
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, seq, hi, lo, bands): word-sequence hash, 128-bit fingerprint and one cell hash per band; texts without words
-    are left out. One narrow pass in Arrow batches."""
+    """(key, seq, hi, lo, bands): word-sequence hash, 128-bit fingerprint and the cell numbers of all bands in one packed
+    value; texts without words are left out. One narrow pass in Arrow batches."""
     rows, bands = ROWS, BANDS
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -116,13 +118,28 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 for r in range(rows):
                     acc = _mix(acc * _U(0x9E3779B97F4A7C15) + m[:, r * bands : (r + 1) * bands].astype(_U) + _U(1))
                 acc = _mix(acc + np.arange(bands, dtype=_U) * _U(0xD6E8FEB86659FD93))
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(m) * bands + 1, bands, dtype=np.int32)), pa.array(acc.reshape(-1).view(np.int64)))
+            packed = np.ascontiguousarray(acc).view(np.uint8).reshape(len(m), bands, 8)[:, :, :CELL_BYTES].tobytes()
+            width = bands * CELL_BYTES
+            cells = pa.array([packed[i * width : (i + 1) * width] for i in range(len(m))], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(present)), pa.array(seq[present].view(np.int64)), pa.array(bits[:, 0].copy().view(np.int64)), pa.array(bits[:, 1].copy().view(np.int64)), cells],
                 names=["key", "seq", "hi", "lo", "bands"],
             )
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {key_type}, seq bigint, hi bigint, lo bigint, bands array<bigint>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {key_type}, seq bigint, hi bigint, lo bigint, bands binary")
+
+
+def cell_entries(prints: DataFrame) -> DataFrame:
+    """(id, cell): one row per band of prints(id, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, CELL_BYTES)
+            full = np.zeros((len(raw), 8), np.uint8)
+            full[:, :CELL_BYTES] = raw
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(full.reshape(-1).view(np.int64))], names=["id", "cell"])
+
+    return prints.select("id", "bands").mapInArrow(run, "id bigint, cell bigint")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -200,7 +217,7 @@ def bit_bound(threshold: float) -> int:
 
 def candidate_pairs(prints: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: distinct pairs of ids of prints(id, hi, lo, bands) within the bound in some cell."""
-    entries = prints.select("id", F.explode("bands").alias("cell"))
+    entries = cell_entries(prints)
     counts = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(entries.join(counts, "cell"))
     blocks = F.ceil(F.col("n") / HOT_CELL).cast("int")
@@ -232,8 +249,7 @@ def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: floa
     """(pairs(a, b, similarity) between class representatives, classes(key, rep)): rep is the smallest key with the same
     word sequence. Null keys and texts without words are left out; repeated keys count once."""
     prints = cut(fingerprints(docs.where(F.col(key).isNotNull()), key, text, k))
-    members = prints.groupBy("key", "seq").agg(F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("bands").alias("bands"))
-    reps = members.groupBy("seq").agg(F.min("key").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("bands").alias("bands"))
+    reps = prints.groupBy("seq").agg(F.min("key").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("bands").alias("bands"))
     reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
     classes = prints.select("key", "seq").distinct().join(reps.select("seq", "rep"), "seq").select("key", "rep")
     pairs = cut(candidate_pairs(reps, threshold))
