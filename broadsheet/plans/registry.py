@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from broadsheet.plans import stat_queries, text_queries
+
+QUERIES = text_queries.QUERIES | stat_queries.QUERIES
+SQL = text_queries.SQL | stat_queries.SQL

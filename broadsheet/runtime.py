@@ -52,6 +52,13 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return big.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come out once."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(named, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def sorted_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     """Range-partition and sort ``df`` by ``order``; written once, with the partition number ``_pid``
     and the position ``_idx`` in it. A hot leading key is split because the later keys take part."""
