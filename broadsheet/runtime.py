@@ -56,7 +56,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     """Equi-join in which null keys match each other; the keys come out once."""
     named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
     cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return left.join(named, cond, how).drop(*[f"_r_{c}" for c in on])
+    out = left.join(named, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in on])
 
 
 def sorted_parts(df: DataFrame, order: list[Column]) -> DataFrame:
