@@ -1,17 +1,22 @@
 """Template residue, filler text and error pages.
 
-Every text is cut into messages (sentences and lines); numbers, spelled numbers, addresses, dates, quoted words and
-proper names are masked, and the normalised messages are grouped by hash across all documents and sources.
-Rules look at one row per message group: strong phrases decide alone, weak ones only for messages
-that recur widely (several documents of several sources) or fill most of their document. Placeholders are
-found by pattern in the text itself. Quoted phrases are masked first, so a report about an error page is no case."""
+One narrow pass cuts every whole text into messages (sentences and lines) and masks quotations, proper names, dates,
+numbers and spelled numbers. Messages with any sign of residue (a phrase, a placeholder, pseudo-Latin) leave the pass
+with the hash of their masked form; all others are ordinary text and cannot come out. The hashes are grouped across
+documents and sources: strong phrases and placeholders decide alone, weak phrases only if the message recurs in several
+sources. Quoted phrases are masked first, so a report about an error page is no case. Patterns run in Arrow's RE2, whose
+time does not grow with the number of alternatives."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.runtime import cut
+from broadsheet.runtime import cut, lookup_join, null_safe_join
 
 #: Patterns of unfilled placeholders.
 PLACEHOLDERS = [
@@ -26,91 +31,125 @@ PLACEHOLDERS = [
     r"@@[A-Za-z_ ]{2,40}@@",
     r"__[A-Z]{2,}[A-Z_]*__",
     r"\[\[[A-Za-z_ .]{2,40}\]\]",
-    r"(?i)\[(insert|your|enter|add|put|name|title|date|placeholder|tbd|tk|byline|headline)\b[^\]\n]{0,40}\]",
-    r"(?i)<(insert|your|enter)\b[^>\n]{0,40}>",
+    r"(?i:\[(insert|your|enter|add|put|name|title|date|placeholder|tbd|tk|byline|headline)\b[^\]\n]{0,40}\])",
+    r"(?i:<(insert|your|enter)\b[^>\n]{0,40}>)",
     r"\{[a-z]+[_.][a-z_.]+\}",
     r"\{[a-z]{3,20}\}",
     r"\[[A-Z_]{3,30}\]",
     r"[A-Za-z_]{3,30} ?%>|<% ?[A-Za-z_]{3,30}",
+    r"\$[A-Z][A-Z_]{2,30}\b",
     r"\[object Object\]",
-    r"(?i)\b(undefined|null|nan) (undefined|null|nan)\b",
+    r"(?i:\b(undefined|null|nan) (undefined|null|nan)\b)",
 ]
 #: Phrases that mark a message by themselves (masked, lower case: # is a number, Q a quotation).
 STRONG = [
     r"lorem ipsum",
     r"(enable|activate|turn on|switch on|allow|requires?|need|needs|without) (java)?scripts?\b|(java)?scripts? (and|or) cookies|(java)?scripts? (is|are) (disabled|turned off|switched off|off|blocked|required)|does not work without (java)?script|(scripts?|javascript|scripting) switched off|(not run|blocks) (java)?scripts?|(turn on|allow|enable|needs?|requires?) scripting",
-    r"javascript (ist|sind)? ?(ausgeschaltet|deaktiviert|abgeschaltet)|aktivieren sie|skripte? (ist|sind|zulassen|aktivieren|einschalten)|(active|habilite|activez|activer|autorisez) (el |los |les |le )?(java)?scripts?|(java)?scripts? (est|sont) (désactivés?|bloqués?)|(java)?scripts? (está|están) (desactivados?|bloqueados?)",
+    r"javascript (ist|sind)? ?(ausgeschaltet|deaktiviert|abgeschaltet)|aktivieren (sie|n) (java)?s[ck]ripte?|skripte? (ist|sind|zulassen|aktivieren|einschalten)|(active|habilite|activez|activer|autorisez) (el |los |les |le )?(java)?scripts?|(java)?scripts? (est|sont) (désactivés?|bloqués?)|(java)?scripts? (está|están) (desactivados?|bloqueados?)",
     r"(http|fatal|database|server|script|syntax|parse|internal) error|error (code )?# *[-:.]|^(error|fehler|erreur) #|^warning cannot|^warning: |null reference|cannot read property|undefined (index|variable|property|reference)|stack trace|unhandled exception|traceback|query timed out|connection (timed out|refused|reset)|segmentation fault|out of memory",
     r"(internal server error|service unavailable|bad gateway|gateway time-?out|request time-?out|# bad request|# unauthorized)",
     r"page (was )?not found|page you (asked|requested|want)|(title|page|item|scan|issue) (is|was)n.t (here|found)|(page|scan|title|issue) you (asked|requested|are looking)|seite (wurde )?nicht gefunden|p[áa]gina no encontrada|page (introuvable|non trouvée)|no se encontr[óo] la p[áa]gina",
     r"access (is |was )?denied|do not have permission|not authori[sz]ed|zugriff verweigert|acceso denegado|accès refusé|# forbidden|log ?in to (continue|view|read)|sign in to (continue|view|read)|please (log|sign) in|reading pass",
-    r"too many requests|unusual traffic|checking your browser|are you (a )?(human|robot)|verify (that )?you are|rate limit|slow down and",
+    r"too many requests|unusual traffic|checking your browser|check your connection|signed out|session (has )?expired|are you (a )?(human|robot)|verify (that )?you are|rate limit|slow down and",
     r"something went wrong|went wrong|try again later|please try again|unexpected condition|contact the administrator|could not (load|open|find) (this|the) (page|scan|title)|no se pudo (cargar|abrir)|konnte nicht (geladen|angezeigt)|n.a pas pu (être|charger)|impossible de (charger|afficher)|down for upkeep|(viewer|server) did not answer|(image|scan|page) could not be displayed|no text layer|text not available|failed to start|report a broken link",
     r"under construction|(content|story|text|article|page) (is )?(coming soon|to come)|intentionally left blank|check back (soon|later)",
-    r"^(this|here) is (dummy|filler|sample|placeholder) (copy|type|text)|^dummy (copy|type|text)|^filler (copy|type|text)|^(text|copy|caption|photo|story) to (come|follow)|delete before printing|(headline|body text|text|story|caption) goes here|replace this (with|text)|repeat to fit|do not print|\basdf\b|test test test|blah blah|text text text|words words words|\bqwerty\b|lead paragraph in about|this is (a )?test\b|test headline|hier steht|platzhalter|blindtext|texto de relleno|texte factice|faux texte",
+    r"^(this|here) is (dummy|filler|sample|placeholder) (copy|type|text)|^placeholder (page|text|copy|for)|^dummy (copy|type|text)|^filler (copy|type|text)|^(text|copy|caption|photo|story) to (come|follow)|delete before printing|(headline|body text|text|story|caption) goes here|replace this (with|text)|repeat to fit|do not print|\basdf\b|test test test|blah blah|text text text|words words words|\bqwerty\b|lead paragraph in about|this is (a )?test\b|test headline|hier steht|platzhalter|blindtext|texto de relleno|texte factice|faux texte",
     r"cookies? (are|is|must|need)|accept (all )?cookies|your browser (does not|is not|must)|(newer|unsupported) browser",
     r"template (error|not found|missing)|missing template|\btodo\b",
 ]
 #: Weak phrases, which count only in widely recurring or dominating messages.
 WEAK = [r"\b(browser|javascript|server|viewer|cookies|settings and refresh|reload|erneut|error|servidor|serveur|navigateur|navegador)\b"]
+#: Sources in which a message with a weak phrase must recur.
+MIN_SOURCES = 2
 #: Syllables of pseudo-Latin filler.
 LATIN = "lor em ip is sum dol or sit am et con sec tet ur ad pis cing el it sed do eius mod temp inc id id unt ut lab ore mag na al iq ua qua en im min ven iam quis nos trud ex er cit at ion ul la co por vel fac nis int ult tem te a o i um us ibus que se cus ius tu ti ta to".split()
 #: Spelled numbers, masked like figures.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand".split()
 
 
-def masked(message: Column) -> Column:
-    """The normalised form of one message: quotations Q, numbers and dates #, other capitalised words N, lower case."""
-    x = F.regexp_replace(message, r"[\"“„«][^\"“”„«»]{1,80}[\"”“»]", " Q ")
-    x = F.regexp_replace(x, r"(?<=\p{L})['’](?=\p{L})", "'")
-    x = F.regexp_replace(x, r"(?<=[\p{L}\p{N},] )\p{Lu}\p{Ll}+(?!\p{L})(?<!JavaScript|Java|HTTP)", "N")
-    x = F.lower(x)
-    x = F.regexp_replace(x, r"\b(" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")(-[a-z]+)?\b", "#")
-    x = F.regexp_replace(x, r"\$?\d[\d,.:]*", "#")
-    return F.trim(F.regexp_replace(x, r"[\s]+", " "))
-
-
-def messages(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, message, len): the masked sentences of every whole text. Line breaks inside a sentence are blanks."""
-    t = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"(?<![.!?])\n(?!\n)", " ")
-    parts = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+(?=[\p{Lu}\d\"])|\n+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    m = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.explode(parts).alias("raw"))
-    return m.select("doc_id", "source", masked(F.col("raw")).alias("message"), F.length("raw").alias("len"))
-
-
-def message_groups(msgs: DataFrame) -> DataFrame:
-    """One row per normalised message: hash, text, number of documents and sources, and its class (or null)."""
-    per = msgs.groupBy("message", "source").agg(F.count(F.lit(1)).alias("n"))
-    g = per.groupBy("message").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources"))
-    strong = F.col("message").rlike("|".join(f"(?:{p})" for p in STRONG))
-    weak = F.col("message").rlike("|".join(f"(?:{p})" for p in WEAK))
-    words = F.filter(F.split("message", r"[^\p{L}]+"), lambda w: F.length(w) > 1)
-    latin = F.size(F.filter(words, lambda w: w.rlike("^(?:" + "|".join(sorted(set(LATIN), key=len, reverse=True)) + ")+$")))
-    g = g.withColumn("_n", F.size(words)).withColumn("_latin", latin)
-    return g.select(
-        F.xxhash64("message").alias("hash"),
-        "message",
-        "n_docs",
-        "n_sources",
-        F.when(strong, "phrase")
-        .when((F.col("_n") >= 4) & (F.col("_latin") >= 0.85 * F.col("_n")), "filler")
-        .when(weak & (F.col("n_sources") >= 2), "recurring")
-        .alias("kind"),
+_STRONG, _WEAK, _HOLDER = ("|".join(f"(?:{p})" for p in ps) for ps in (STRONG, WEAK, PLACEHOLDERS))
+_LATIN = r"\b(?:" + "|".join(sorted(set(LATIN), key=len, reverse=True)) + r"){2,}\b"
+_NUMBERS = r"\b(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")(?:-[a-z]+)?\b"
+
+
+def cut_messages(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(row of each message, message): line ends inside a sentence are blanks; sentences and lines are cut apart."""
+    t = pc.fill_null(texts, "")
+    for _ in range(2):  # neighbouring one-character lines share a character of the pattern
+        t = pc.replace_substring_regex(t, r"([^.!?\n])\n([^\n])", r"\1 \2")
+    t = pc.replace_substring_regex(t, r"([.!?][\"'”]?)\s+", "\\1\n")
+    parts = pc.split_pattern_regex(t, pattern=r"\n+")
+    return pc.list_parent_indices(parts), pc.utf8_trim_whitespace(pc.list_flatten(parts))
+
+
+def unquoted(messages: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(messages, r"[\"“„«][^\"“”„«»]*[\"”“»]", " Q ")
+
+
+def masked(messages: pa.Array) -> pa.Array:
+    """The normalised form of unquoted messages: names N, numbers and dates #, lower case, blanks squeezed."""
+    x = messages
+    for _ in range(2):
+        x = pc.replace_substring_regex(x, r"([\pL\pN,;:] )\p{Lu}\p{Ll}+\b", r"\1N")
+    x = pc.utf8_lower(x)
+    x = pc.replace_substring_regex(x, _NUMBERS, "#")
+    x = pc.replace_substring_regex(x, r"\$?\d[\d,.:]*", "#")
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(x, r"\s+", " "))
+
+
+def signs(plain: pa.Array, mask: pa.Array) -> pa.Array:
+    """placeholder, phrase, filler or weak for each message, else null."""
+    words = pc.count_substring_regex(mask, r"\b\pL{4,}\b")
+    latin = pc.count_substring_regex(mask, _LATIN)
+    filler = pc.and_(pc.greater_equal(words, 4), pc.greater_equal(pc.cast(latin, pa.float64()), pc.multiply(0.85, pc.cast(words, pa.float64()))))
+    kinds = pa.array(["placeholder", "phrase", "filler", "weak"])
+    tests = pa.StructArray.from_arrays(
+        [pc.match_substring_regex(plain, _HOLDER), pc.match_substring_regex(mask, _STRONG), filler, pc.match_substring_regex(mask, _WEAK)], names=list("abcd")
     )
+    return pc.case_when(tests, *kinds)
+
+
+def message_signs(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, hash, message, sign): the messages of all documents that show a sign of residue."""
+    key_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            row, raw = cut_messages(b.column(2))
+            plain = unquoted(raw)
+            mask = masked(plain)
+            sign = signs(plain, mask)
+            at = pc.indices_nonzero(pc.is_valid(sign))
+            hit = mask.take(at)
+            hashes = pa.array([xxhash.xxh64_intdigest(m) - (1 << 63) for m in hit.to_pylist()], pa.int64())
+            doc = row.take(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), hashes, hit, sign.take(at)], names=["doc_id", "source", "hash", "message", "sign"])
+
+    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {key_type}, source string, hash bigint, message string, sign string")
+
+
+def message_groups(found: DataFrame) -> DataFrame:
+    """One row per normalised message that is residue: hash, message, n_docs, n_sources, kind. Counted per (message, source) first,
+    so a message with a third of all rows is no hot group."""
+    per = found.groupBy("hash", "sign", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))
+    g = per.groupBy("hash", "sign").agg(F.min("message").alias("message"), F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources"))
+    kind = F.when(F.col("sign") != "weak", F.col("sign")).when(F.col("n_sources") >= MIN_SOURCES, "recurring")
+    return g.withColumn("kind", kind).where("kind is not null").select("hash", "message", "n_docs", "n_sources", "kind")
 
 
 def flag_residue(docs: DataFrame) -> DataFrame:
     """(doc_id, kinds): the documents that hold residue, with the sorted kinds placeholder, phrase, filler,
     recurring. Null texts are clean; columns other than doc_id, source and text are ignored; repeated
-    doc_ids come out once."""
-    msgs = messages(docs)
-    hit = cut(message_groups(msgs).where("kind is not null").select("message", "kind"))
-    found = msgs.join(hit, "message").select("doc_id", "kind")
-    holder = F.regexp_replace("text", r"[\"“„«][^\"“”„«»\n]{1,80}[\"”“»]", " ").rlike("|".join(f"(?:{p})" for p in PLACEHOLDERS))
-    direct = docs.where(holder).select("doc_id", F.lit("placeholder").alias("kind"))
-    return found.unionByName(direct).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    doc_ids come out once; null doc_ids too."""
+    found = cut(message_signs(docs))
+    recurring = message_groups(found.where("sign = 'weak'")).select("hash").distinct()
+    sure = found.where("sign <> 'weak'").select("doc_id", F.col("sign").alias("kind"))
+    weak = lookup_join(found.where("sign = 'weak'").select("doc_id", "hash"), recurring, ["hash"], "left_semi").select("doc_id", F.lit("recurring").alias("kind"))
+    return sure.unionByName(weak).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents free of residue, all columns kept."""
-    return docs.join(flag_residue(docs), "doc_id", "left_anti")
+    """The documents free of residue, all columns kept; a document without a doc_id is judged like the others without one."""
+    return null_safe_join(docs, flag_residue(docs).select("doc_id"), ["doc_id"], "left_anti")
