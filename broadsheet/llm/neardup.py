@@ -248,15 +248,16 @@ def candidate_pairs(prints: DataFrame, threshold: float) -> DataFrame:
 def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(pairs(a, b, similarity) between class representatives, classes(key, rep)): rep is the smallest key with the same
     word sequence. Null keys and texts without words are left out; repeated keys count once."""
-    prints = cut(fingerprints(docs.where(F.col(key).isNotNull()), key, text, k))
+    docs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    prints = cut(fingerprints(docs, "key", "text", k))
     reps = prints.groupBy("seq").agg(F.min("key").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("bands").alias("bands"))
     reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
     classes = prints.select("key", "seq").distinct().join(reps.select("seq", "rep"), "seq").select("key", "rep")
     pairs = cut(candidate_pairs(reps, threshold))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "rep"), "id")
-    wanted = wanted.select("id", F.col("rep").alias(key))
+    wanted = wanted.select("id", F.col("rep").alias("key"))
     # texts of repeated keys are the same: one of them is enough
-    own = lookup_join(docs.select(key, text).where(F.col(key).isNotNull()), wanted, [key], "inner").groupBy("id").agg(F.min(text).alias("t"))
+    own = lookup_join(docs, wanted, ["key"], "inner").groupBy("id").agg(F.min("text").alias("t"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

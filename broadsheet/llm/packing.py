@@ -8,7 +8,6 @@ gives the incumbent). A document longer than the capacity is cut into full parts
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +18,7 @@ from broadsheet.runtime import cut
 
 #: Documents of a group, and the nodes a search for one container may visit before it takes its incumbent.
 GROUP_DOCS, NODES = 1500, 300
+MAX_TASKS = 10_000
 
 
 def complete(sizes: list[int], room: int, nodes: int = NODES) -> list[int]:
@@ -95,29 +95,27 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, path: str = VOCABULARY, gr
     caps = [(r.size_name, int(r.capacity_tokens)) for r in sizes.select("size_name", "capacity_tokens").distinct().collect() if r.capacity_tokens and r.capacity_tokens > 0]
     schema = "size_name string, capacity int, container_id string, doc_id bigint, part int, tokens bigint"
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[int, int]]] = {}
-        for b in batches:
-            for g, d, t in zip(b["g"].tolist(), b["doc_id"].tolist(), b["tokens"].tolist(), strict=True):
-                held.setdefault(g, []).append((d, t))
-        for g, rows in sorted(held.items()):
-            out = []
-            for name, cap in caps:
-                rest, box = [], 0
-                for d, t in sorted(rows):
-                    full = 0 if t <= cap else t // cap
-                    for part in range(full):
-                        out.append((name, cap, f"{name}-{g}-{box}", d, part, cap))
-                        box += 1
-                    if t - full * cap > 0 or full == 0:
-                        rest.append(((d, full), t - full * cap))
-                for filled in pack(rest, cap):
-                    out.extend((name, cap, f"{name}-{g}-{box}", d, part, t) for (d, part), t in filled)
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows["g"].iloc[0]
+        docs_ = sorted(zip(rows["doc_id"].tolist(), rows["tokens"].tolist(), strict=True))
+        out = []
+        for name, cap in caps:
+            rest, box = [], 0
+            for d, t in docs_:
+                full = 0 if t <= cap else t // cap
+                for part in range(full):
+                    out.append((name, cap, f"{name}-{g}-{box}", d, part, cap))
                     box += 1
-            yield pd.DataFrame(out, columns=["size_name", "capacity", "container_id", "doc_id", "part", "tokens"])
-
+                if t - full * cap > 0 or full == 0:
+                    rest.append(((d, full), t - full * cap))
+            for filled in pack(rest, cap):
+                out.extend((name, cap, f"{name}-{g}-{box}", d, part, t) for (d, part), t in filled)
+                box += 1
+        return pd.DataFrame(out, columns=["size_name", "capacity", "container_id", "doc_id", "part", "tokens"])
+
+    # a group is solved as it streams by; the number of tasks is set, for AQE would merge these small partitions
     grouped = tokens.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(groups)))
-    return grouped.repartition(groups if groups < 10_000 else 10_000, "g").mapInPandas(solve, schema)
+    return grouped.repartition(min(groups, MAX_TASKS), "g").groupBy("g").applyInPandas(solve, schema)
 
 
 def packing_report(packed: DataFrame) -> DataFrame:
