@@ -67,9 +67,14 @@ def ocr_clean(legibility: Column, rate: Column, least: float = 0.75) -> Column:
     return F.coalesce((legibility == "Legible") & (rate >= least), F.lit(False))
 
 
+def id_prefix(key: Column) -> Column:
+    """The first eight hexadecimal digits after the hyphen: a fixed pseudo-random order of keys."""
+    return F.substring(F.element_at(F.split(key, "-"), 2), 1, 8)
+
+
 def id_number(key: Column) -> Column:
-    """The first eight hexadecimal digits after the hyphen, as a number: a fixed pseudo-random order of keys."""
-    return F.conv(F.substring(F.element_at(F.split(key, "-"), 2), 1, 8), 16, 10).cast("long")
+    """The same as a number."""
+    return F.conv(id_prefix(key), 16, 10).cast("long")
 
 
 def over(p: Column, threshold: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from broadsheet.functions.values import uniform
-from broadsheet.runtime import null_safe_join
+from broadsheet.runtime import group_running, null_safe_join
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
@@ -16,21 +16,29 @@ def hash_order(key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
 
 
-def first_n(df: DataFrame, group: list[str], order: list[Column], n: int, cells: int = 256) -> DataFrame:
+def first_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The rows with the n smallest order keys per group. The first order key must be a hexadecimal hash: rows are
     counted per (group, first two digits), whole cells below the cut pass without a sort, and only the cell with the cut is ranked."""
-    d = df.withColumn("_o", order[0]).withColumn("_cell", F.substring("_o", 1, 2))
-    per = d.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_cell"))
-    per = per.withColumn("_u", upto).select(*group, "_cell", F.when(F.col("_u") <= n, -1).when(F.col("_u") - F.col("_c") < n, n - F.col("_u") + F.col("_c")).otherwise(0).alias("_need")).where("_need <> 0")
-    d = null_safe_join(d, per, [*group, "_cell"])
+    d = _with_cells(df, group, order, n).where("_need <> 0")
     edge = d.where("_need > 0").withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_o", *order[1:]))).where("_r <= _need").drop("_r")
     return d.where("_need < 0").unionByName(edge).drop("_o", "_cell", "_need")
 
 
+def _with_cells(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """Adds _o, _cell and _need: -1 if all rows of the cell are among the first n, 0 if none, else how many."""
+    d = df.withColumn("_o", order[0]).withColumn("_cell", F.substring("_o", 1, 2))
+    per = d.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    per = per.withColumn("_u", F.sum("_c").over(Window.partitionBy(*group).orderBy("_cell")))
+    need = F.when(F.col("_u") <= n, -1).when(F.col("_u") - F.col("_c") < n, n - F.col("_u") + F.col("_c")).otherwise(0)
+    return null_safe_join(d, per.select(*group, "_cell", need.alias("_need")), [*group, "_cell"])
+
+
 def cap_per_group(df: DataFrame, group: list[str], order: list[Column], cap: int) -> DataFrame:
-    """All rows with ``in_cap``: whether the row is among the ``cap`` first of its group."""
-    return df.withColumn("in_cap", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) <= cap)
+    """All rows with ``in_cap``: whether the row is among the ``cap`` first of its group. The first order key must be a
+    hexadecimal hash, as for ``first_n``; only rows of the cell with the cut are ranked."""
+    d = _with_cells(df, group, order, cap)
+    edge = d.where("_need > 0").withColumn("in_cap", F.row_number().over(Window.partitionBy(*group).orderBy("_o", *order[1:])) <= F.col("_need"))
+    return d.where("_need <= 0").withColumn("in_cap", F.col("_need") < 0).unionByName(edge).drop("_o", "_cell", "_need")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
@@ -56,13 +64,12 @@ def fraction_sample(df: DataFrame, key: str, share: float, seed: int = 0) -> Dat
 
 def quota_sample(df: DataFrame, group: str, order: list[str], size: str, quota: int) -> DataFrame:
     """Units in order until the running sum of ``size`` reaches the quota; the unit that reaches it is kept (so it overshoots)."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("_before") < quota).drop("_before")
+    return group_running(df, [group], order, size).where(F.col("before") < quota).drop("before", "rank")
 
 
 def prefix_split(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """Adds ``in_prefix``: whether the row is among the first n of its group."""
-    return df.withColumn("in_prefix", F.row_number().over(Window.partitionBy(group).orderBy(*order)) <= n)
+    return group_running(df, [group], order).withColumn("in_prefix", F.col("rank") < n).drop("before", "rank")
 
 
 def top1_margin(df: DataFrame, key: str, item: str, weight: str) -> DataFrame:

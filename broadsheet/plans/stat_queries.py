@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from broadsheet.functions import text as T
 from broadsheet.functions import values as V
 from broadsheet.operators import agreement, claims as claim_rules, frame as frames, models, multiverse as mv, panel, ranking, rules, shares, trend
 from broadsheet.plans.bindings import CENTRE, EARLY, FRAME_SQL, LATE, TYPES, frame, topics
 from broadsheet.runtime import cut, table
-from broadsheet.sources.sinks import content_hash
+from broadsheet.sources.readers import parse_labels
+from broadsheet.sources.sinks import clean_numbers, content_hash
 from broadsheet.streaming import articles as streams
 
 QUERIES: dict = {}
@@ -515,7 +518,7 @@ def role_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT article_id, row_number() OVER (PARTITION BY publication, year ORDER BY (('0x' || substring(split_part(article_id, '-', 2), 1, 8))::BIGINT), article_id) <= 3 AS in_cap FROM (SELECT article_id, min(publication) AS publication, min(year) AS year FROM articles GROUP BY 1)")
 def paper_year_cap(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "articles").groupBy("article_id").agg(F.min("publication").alias("publication"), F.min("year").alias("year"))
-    return ranking.cap_per_group(a, ["publication", "year"], [V.id_number(F.col("article_id")), F.col("article_id")], 3).select("article_id", "in_cap")
+    return ranking.cap_per_group(a, ["publication", "year"], [V.id_prefix(F.col("article_id")), F.col("article_id")], 3).select("article_id", "in_cap")
 
 
 @query("SELECT section, o_orderkey, pop_n, least(25, pop_n) AS sample_n, round(pop_n / least(25, pop_n), 6) AS weight FROM (SELECT c_mktsegment AS section, o_orderkey, count(*) OVER (PARTITION BY c_mktsegment) AS pop_n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(o_orderkey || '|0'), o_orderkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey) WHERE r <= 25")
@@ -613,3 +616,82 @@ def topic_factors(spark: SparkSession, d: str) -> DataFrame:
     w = words.tfidf(table(spark, d, "documents"), "doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), max_terms=2000, min_df=15, max_df=0.2)
     _, h = models.nmf(w, "doc_id", "word", "tfidf", k=8, rounds=6)
     return rounded(ranking.first_n(h.withColumn("_h", F.lpad(F.conv(F.format_string("%.0f", (1e9 - F.col("weight") * 1e6)), 10, 16), 10, "0")), ["topic"], [F.col("_h"), F.col("word")], 18).drop("_h"))
+
+
+# ------------------------------------------------------------------ presentation and small functions
+
+
+@query(S("SELECT section, " + ", ".join(f"round(max(f1) FILTER (WHERE gender = '{g}'), 6) AS \"{g}\"" for g in ("F", "M", "UNKNOWN")) + " FROM (SELECT section, gender, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM (SELECT section, gender, count(*) FILTER (WHERE authority AND quoted)::DOUBLE AS tp, count(*) FILTER (WHERE NOT authority AND quoted) AS fp, count(*) FILTER (WHERE authority AND NOT quoted) AS fn FROM frame GROUP BY 1, 2)) GROUP BY 1"))
+def pivot_f1(spark: SparkSession, d: str) -> DataFrame:
+    r = agreement.weighted_prf(frame(spark, d), F.col("r_AUTHORITY"), F.col("quoted"), keys=["section", "gender"])
+    return rounded(r.groupBy("section").pivot("gender", ["F", "M", "UNKNOWN"]).agg(F.max("f1")))
+
+
+@query(
+    """WITH p AS (SELECT topic, CASE WHEN year <= 1915 THEN '1900-15' WHEN year <= 1930 THEN '1918-30' WHEN year <= 1945 THEN '1933-45' ELSE '1948-63' END AS period FROM article_topics WHERE year > 1899 AND year <= 1963),
+c AS (SELECT label, count(*) FILTER (WHERE period = '1900-15') AS a, count(*) FILTER (WHERE period = '1918-30') AS b, count(*) FILTER (WHERE period = '1933-45') AS e, count(*) FILTER (WHERE period = '1948-63') AS f, count(*) AS n FROM p JOIN topic_labels USING (topic) GROUP BY 1)
+SELECT label, a AS "1900-15", b AS "1918-30", e AS "1933-45", f AS "1948-63", row_number() OVER (ORDER BY n DESC, label) AS place FROM c"""
+)
+def pivot_topic_period(spark: SparkSession, d: str) -> DataFrame:
+    """Articles per topic and period, topics in order of their total."""
+    names = [p[2] for p in V.PERIODS]
+    t = topics(spark, d).withColumn("period", V.period(F.col("year"))).where("period is not null").join(F.broadcast(table(spark, d, "topic_labels").select("topic", "label")), "topic")  # 19 labels
+    p = t.groupBy("label").pivot("period", names).count().na.fill(0)
+    total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
+    return p.withColumn("place", F.row_number().over(Window.orderBy(total.desc(), "label")).cast("long"))
+
+
+@query(S("SELECT year, printf('%.1f%%', share * 100) AS pct, printf('%+.2f', share - 0.5) AS diff, printf('[%.2f, %.2f]', share - 0.1, share + 0.1) AS ci, CASE WHEN share - 0.5 > 0 THEN 'up' WHEN share - 0.49 < 0 THEN 'down' ELSE 'none' END AS direction FROM (SELECT year, round(avg(f), 6) AS share FROM frame WHERE f IS NOT NULL GROUP BY 1)"))
+def formatted_shares(spark: SparkSession, d: str) -> DataFrame:
+    y = frame(spark, d).where("f is not null").groupBy("year").agg(F.round(F.avg("f"), 6).alias("share"))
+    s = F.col("share")
+    return y.select("year", T.percent(s).alias("pct"), T.signed(s - 0.5).alias("diff"), T.interval(s - 0.1, s + 0.1).alias("ci"), T.trend_direction(s - 0.5, s - 0.49).alias("direction"))
+
+
+@query("SELECT vec_id, " + ", ".join(f"embedding[{i}] >= 0.3::FLOAT AS over_{i}" for i in (1, 2, 3)) + ", greatest(embedding[1], embedding[2], embedding[3]) >= 0.5::FLOAT AS any_over FROM embeddings")
+def threshold_flags(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    p = [F.col("embedding")[i] for i in range(3)]
+    return e.select("vec_id", *[V.over(x, 0.3).alias(f"over_{i + 1}") for i, x in enumerate(p)], V.over(F.greatest(*p), 0.5).alias("any_over"))
+
+
+@query("SELECT event_id, substring(sha256(props), 1, 16) AS h FROM events")
+def prompt_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", V.prompt_hash(F.col("props")).alias("h"))
+
+
+@query("SELECT a.article_id, a.topic AS topic_1, b.topic AS topic_2, a.topic = b.topic AS same FROM (SELECT article_id, min(topic) AS topic FROM article_topics GROUP BY 1) a JOIN (SELECT article_id, max(topic) AS topic FROM article_topics GROUP BY 1) b USING (article_id)")
+def annotation_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes over the same items joined with suffixes."""
+    one = topics(spark, d).groupBy("article_id").agg(F.min("topic").alias("topic_1"))
+    two = topics(spark, d).groupBy("article_id").agg(F.max("topic").alias("topic_2"))
+    return one.join(two, "article_id").withColumn("same", F.col("topic_1") == F.col("topic_2"))
+
+
+@query("SELECT event_id::INT AS n, CASE event_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unsure' END AS is_person, CASE WHEN event_id % 2 = 0 THEN 'F' ELSE 'UNKNOWN' END AS gender_text, CASE event_type WHEN 'click' THEN 'ARTS_SPORTS,CIVIC' WHEN 'view' THEN 'CIVIC' ELSE '' END AS roles, 1 + event_id::INT % 3 AS confidence, 'a|b' AS notes FROM events")
+def compact_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Label lines written from events and parsed again."""
+    i = F.col("event_id")
+    letters = F.when(F.col("event_type") == "click", "CA").when(F.col("event_type") == "view", "C").otherwise("-")
+    line = F.concat_ws("|", i, F.when(i % 3 == 0, "y").when(i % 3 == 1, "n").otherwise("u"), F.when(i % 2 == 0, "F").otherwise("U"), letters, F.lit("n"), 1 + i % 3, F.lit("a|b"))
+    r = parse_labels(table(spark, d, "events").select(line.alias("value")), F.col("value"), {"A": "ARTS_SPORTS", "C": "CIVIC"})
+    return r.select("n", "is_person", "gender_text", F.array_join("roles", ",").alias("roles"), "confidence", "notes")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount = 0 THEN NULL ELSE round(l_extendedprice / l_discount, 5) END AS ratio FROM lineitem")
+def cleaned_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Ratios whose infinities and NaN become null, rounded as results are exported."""
+    ratio = F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.col("l_extendedprice") / F.nullif("l_discount", F.lit(0.0)))
+    return clean_numbers(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ratio.alias("ratio")))
+
+
+@query("SELECT article_id, CASE WHEN year BETWEEN 1900 AND 1919 THEN 'early' WHEN year BETWEEN 1920 AND 1945 THEN 'middle' ELSE 'other' END AS period, coalesce(legibility = 'Legible' AND n_words >= 100, false) AS clean, round(least(n_chars, 400) / greatest(n_chars, 1), 4) AS rel_pos FROM (SELECT article_id, min(year) AS year, min(legibility) AS legibility, min(n_words) AS n_words, min(length(text)) AS n_chars FROM articles GROUP BY 1)")
+def article_values(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "articles").groupBy("article_id").agg(F.min("year").alias("year"), F.min("legibility").alias("legibility"), F.min("n_words").alias("n_words"), F.min(F.length("text")).alias("n_chars"))
+    return a.select("article_id", V.period_of(F.col("year"), [(1900, 1919, "early"), (1920, 1945, "middle")]).alias("period"), V.ocr_clean(F.col("legibility"), F.col("n_words"), 100).alias("clean"), V.relative_position(F.least(F.col("n_chars"), F.lit(400)), F.col("n_chars")).alias("rel_pos"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(headline), '\\s+')) AS word FROM (SELECT DISTINCT article_id, headline FROM articles)) WHERE regexp_full_match(word, '\\p{L}+') AND word NOT IN ('of', 'the', 'in', 'at', 'for') GROUP BY 1")
+def headline_words(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "articles").select("article_id", "headline").distinct().select(F.explode(F.split(F.lower("headline"), r"\s+")).alias("word"))
+    return h.where(T.content_word(F.col("word"), ["of", "the", "in", "at", "for"])).groupBy("word").agg(F.count(F.lit(1)).alias("n"))

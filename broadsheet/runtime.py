@@ -84,6 +84,23 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "pos") -> DataFr
     return parts.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_start") + F.col("_idx")).drop("_pid", "_idx", "_start")
 
 
+def group_running(df: DataFrame, group: list[str], order: list[str], value: str | None = None) -> DataFrame:
+    """Adds ``rank`` (0, 1, ... in ``order``) and ``before`` (sum of ``value``, or of ones, over earlier rows) within each group.
+
+    A hot group is no hot task: rows are range-partitioned by group and order, windows run within (partition, group),
+    and one row per (partition, group) carries the offsets. Null groups are a group; ties follow the order columns,
+    which should name a row."""
+    v = F.coalesce(F.col(value), F.lit(0)) if value else F.lit(1)
+    parts = sorted_parts(df.withColumn("_v", v), [F.col(c) for c in (*group, *order)])
+    runs = parts.groupBy(*group, "_pid").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*group, "_pid", "_first", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
+    d = null_safe_join(parts, runs, [*group, "_pid"])
+    inside = Window.partitionBy("_pid", *group).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("before", F.col("_s0") + F.sum("_v").over(inside) - F.col("_v")).withColumn("rank", F.col("_n0") + F.col("_idx") - F.col("_first"))
+    return d.drop("_pid", "_idx", "_v", "_s0", "_n0", "_first")
+
+
 def session(app: str = "broadsheet", cores: str | None = None, shuffle: int = 8) -> SparkSession:
     """A local session with the settings the engine is tuned for."""
     return (

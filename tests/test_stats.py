@@ -104,13 +104,28 @@ def test_hhi_and_tvd(spark):
 def test_cap(spark):
     rows = [(f"as1-{i:016x}", "x" if i < 30 else "y", 1900) for i in range(50)]
     d = spark.createDataFrame(rows, "article_id string, publication string, year int")
-    from broadsheet.functions.values import id_number
+    from broadsheet.functions.values import id_prefix
 
-    kept = {r.article_id for r in ranking.cap_per_group(d, ["publication", "year"], [id_number(F.col("article_id")), F.col("article_id")], 10).where("in_cap").collect()}
-    again = {r.article_id for r in ranking.cap_per_group(d.orderBy(F.rand(3)), ["publication", "year"], [id_number(F.col("article_id")), F.col("article_id")], 10).where("in_cap").collect()}
+    kept = {r.article_id for r in ranking.cap_per_group(d, ["publication", "year"], [id_prefix(F.col("article_id")), F.col("article_id")], 10).where("in_cap").collect()}
+    again = {r.article_id for r in ranking.cap_per_group(d.orderBy(F.rand(3)), ["publication", "year"], [id_prefix(F.col("article_id")), F.col("article_id")], 10).where("in_cap").collect()}
     assert len(kept) == 20 and kept == again
 
 
+def test_group_running(spark):
+    import random
+
+    from broadsheet.runtime import group_running
+
+    r = random.Random(1)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), i, r.randrange(5)) for i in range(400)]
+    got = {x.i: (x.rank, x.before) for x in group_running(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], ["i"], "v").collect()}
+    seen = {}
+    for g, i, v in rows:
+        n, t = seen.get(g, (0, 0))
+        assert got[i] == (n, t)
+        seen[g] = (n + 1, t + v)
+
+
 def test_first_n_matches_sort(spark):
     d = spark.range(1000).selectExpr("id", "id % 3 g", "cast(null as int) nothing")
     got = ranking.first_n(d, ["g"], [ranking.hash_order(F.col("id")), F.col("id")], 17).groupBy("g").count().collect()
