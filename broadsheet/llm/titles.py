@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Shortest reference form and largest edit distance by form length.
 MIN_FORM, MAX_K = 6, 4
+#: From this distance on, a title that reads as an abbreviation of exactly one newspaper is taken as such.
+SURE = 3
 
 #: Usual abbreviations after a place name, lower case.
 STATE_ABBR = (
@@ -52,11 +54,11 @@ def title_variants(raw: Column) -> Column:
     t = spoken_title(raw)
     s = squeeze(t)
     first = F.regexp_extract(t, r"^([a-z]{1,4})[\s.]", 1)
-    no_first = F.when((F.length(first) > 0) & ((F.levenshtein(first, F.lit("the")) <= 1) | (first == "ye")), squeeze(F.regexp_replace(t, r"^[a-z]{1,4}[\s.]", "")))
+    no_first = F.when((F.length(first) > 0) & ((F.levenshtein(first, F.lit("the")) <= 1) | first.isin("ye", "teh", "hte", "eth")), squeeze(F.regexp_replace(t, r"^[a-z]{1,4}[\s.]", "")))
     no_the = F.when(s.rlike("^the"), F.substr(s, F.lit(4)))
     place = F.regexp_extract(F.lower(raw), r"\(([^,()]+)", 1)
     with_place = F.when(F.length(place) > 0, F.concat(s, squeeze(place)))
-    half = F.regexp_extract(F.lower(raw), r"^([^()]*?) \p{L}+( falls| springs| junction)?,? *[a-z. ]+\)\s*$", 1)
+    half = F.regexp_extract(F.lower(raw), r"^([^()]*?)[.]? \p{L}+( falls| springs| junction)?, *[a-z. ]+\)(\s.*)?$", 1)
     unopened = F.when(F.length(half) > 0, squeeze(half))
     return F.array_distinct(F.filter(F.array(s, no_first, no_the, with_place, unopened), lambda x: x.isNotNull() & (F.length(x) >= MIN_FORM - 1)))
 
@@ -76,7 +78,7 @@ def canon_forms(canon: DataFrame) -> DataFrame:
 
 
 def _k(length: Column) -> Column:
-    return F.when(length >= 20, MAX_K).when(length >= 16, 3).when(length >= 10, 2).otherwise(1)
+    return F.when(length >= 16, MAX_K).when(length >= 12, 3).when(length >= 9, 2).otherwise(1)
 
 
 def pigeonhole_pairs(left: DataFrame, forms: DataFrame) -> DataFrame:
@@ -105,9 +107,10 @@ def short_pairs(left: DataFrame, canon: DataFrame) -> DataFrame:
     """(raw, title_id, publication): titles cut off at the end or with abbreviated words ('thil. herald'). Candidates by
     equality of the first three letters, verified by a pattern; only titles with a single partner are kept."""
     t = F.regexp_replace(spoken_title(F.col("raw")), r"^(the|ye) ", "")
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "&", " and "), r"[^\p{L}\p{N}. ]", " "), r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, "&", " and "), r"(?<=\p{L})['’](?=\p{L})", "_")  # "rep'r" leaves out letters
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}._ ]", " "), r"\s+", " "))
     q = left.select("raw", t.alias("t")).distinct().where(F.length("t") >= 8)
-    pattern = F.regexp_replace(F.regexp_replace(F.col("t"), r"\.$", ""), r"\.\s*", r"[\\p{L}-]*( \\p{L}+)? ?")
+    pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("t"), r"\.$", ""), "_", r"[\\p{L}]*"), r"\.\s*", r"[\\p{L}-]*( \\p{L}+)? ?")
     q = q.withColumn("pre", F.substring("t", 1, 3)).withColumn("pat", F.concat(F.lit("^"), F.regexp_replace(pattern, " ", "[ -]+"), F.lit(r"[\p{L}-]*( and .*)?$")))
     c = canon.select("title_id", "publication", F.substring("publication", 1, 3).alias("pre"))
     hit = q.join(c, "pre").where(F.expr("publication rlike pat") & (F.length("publication") > F.length("t") - 2))
@@ -126,9 +129,10 @@ def match_titles(values: DataFrame, canon: DataFrame) -> DataFrame:
     near = pigeonhole_pairs(left.where(F.col("s").isNotNull()), canon_forms(canon))
     w = Window.partitionBy("raw").orderBy("dist", F.col("title_id") < 0, "title_id", "publication")
     best = near.withColumn("r", F.row_number().over(w)).where("r = 1").select("raw", "title_id", "publication", "dist")
-    rest = values.select("raw").distinct().join(best, "raw", "left_anti")
-    short = short_pairs(rest, canon).withColumn("dist", F.lit(None).cast("int"))
-    found = best.unionByName(short)
+    # an abbreviated or cut-off title is far from its own form and may lie nearer to another
+    unsure = values.select("raw").distinct().join(best.where(F.col("dist") < SURE), "raw", "left_anti")
+    short = short_pairs(unsure, canon).withColumn("dist", F.lit(None).cast("int"))
+    found = best.join(short, "raw", "left_anti").unionByName(short)
     missing = values.select("raw").distinct().join(found, "raw", "left_anti")
     return found.unionByName(missing.select("raw", F.lit(-1).alias("title_id"), F.lit(None).cast("string").alias("publication"), F.lit(None).cast("int").alias("dist")))
 
