@@ -21,14 +21,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.llm.prose import COMMON
 from broadsheet.runtime import lookup_join
 
 #: Labelled documents used for fitting; words kept; rounds of the mixture; width of the beam; share that makes a subject.
-MAX_LABELLED, MAX_WORDS, ROUNDS, BEAM, SUBJECT_SHARE = 4000, 20_000, 8, 4, 1 / 3
+MAX_LABELLED, MAX_WORDS, ROUNDS, BEAM, SUBJECT_SHARE = 4000, 20_000, 3, 4, 1 / 3
+#: Pseudo-words by which a component's word table is drawn to that of the corpus.
+SMOOTHING = 3.0
+#: Part of the sentences that is taken for remarks before anything is known.
+NEUTRAL = 0.6
 #: Least topical words and their least part of the document for it to have a subject at all.
-MIN_TOPICAL, MIN_PART = 3.0, 0.12
+MIN_TOPICAL, MIN_PART = 0.9, 0.015
+#: A word is solid if it makes up this share of the sample's words (or occurs five times in a small sample); a text is readable if
+#: it has at least ``READABLE`` solid words for each of its words in lower case.
+SOLID_SHARE, READABLE = 5e-5, 0.4
 _END = "zzendzz"
 _CHUNK = 2000
+_FUNCTION = {w for ws in COMMON.values() for w in ws}
 
 
 def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -59,6 +68,13 @@ class SubjectModel:
     chain: np.ndarray  # topics x features
     cooc: np.ndarray
     source: dict[str, np.ndarray]
+    solid: np.ndarray
+
+
+def _readable(texts: pa.Array, doc: np.ndarray, seg: np.ndarray, ids: np.ndarray, solid: np.ndarray) -> np.ndarray:
+    low = pc.count_substring_regex(pc.fill_null(texts, ""), r"[^\pL]\p{Ll}").to_numpy(zero_copy_only=False)
+    known = np.bincount(doc[seg[solid[ids]]], minlength=len(texts)) if len(ids) else np.zeros(len(texts))
+    return known >= READABLE * low
 
 
 def _segments(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,25 +143,40 @@ def fit_subjects(labelled: list[tuple[str, int, str]], terms: dict[int, list[str
     words = {w: i for i, w in enumerate(sorted(listed) + kept)}
     doc, length, seg, ids, _ = _segments(texts, words)
     n_seg, v = len(length), len(words)
+    whole = sum(counts.values())
+    solid = np.array([counts.get(w, 0) >= max(5, SOLID_SHARE * whole) for w in words] or [False])
+    if n_seg:  # unreadable texts teach nothing
+        fine = _readable(texts, doc, seg, ids, solid)
+        keep = fine[doc[seg]]
+        seg, ids = seg[keep], ids[keep]
     boost = np.zeros((v, k + 1))
     for j, t in enumerate(topics):
         for w in terms[t]:
             boost[words[w.lower()], j] += 3.0
     label = np.array([topics.index(t) if t in terms else -1 for _, t, _ in labelled], dtype=int)
     base = np.full((len(labelled), k + 1), 0.15 / k)
-    base[:, k] = 0.35
-    base[label >= 0, label[label >= 0]] = 0.5
-    base[label < 0, :k] = 0.65 / k
+    base[:, k] = NEUTRAL
+    base[label >= 0, label[label >= 0]] = 0.85 - NEUTRAL
+    base[label < 0, :k] = (1 - NEUTRAL) / k
     extra = np.log(base[doc]) if n_seg else np.zeros((0, k + 1))
     total = np.bincount(ids, minlength=v).astype(float)
     background = (total + 0.5) / (total.sum() + 0.5 * v)
-    post = np.exp(extra)
+    # Start: a word that most topics use alike belongs to the remarks, what a topic uses beyond that to the topic. Function
+    # words stand in every sentence and tell nothing; they keep a weight of zero.
+    content = np.array([w not in _FUNCTION for w in words])
+    by_label = np.zeros((v, k))
+    own = label[doc[seg]] if len(seg) else np.zeros(0, int)
+    np.add.at(by_label, (ids[own >= 0], own[own >= 0]), 1.0)
+    by_label = (by_label + 0.01) / (by_label + 0.01).sum(axis=0)
+    usual = np.median(by_label, axis=1)
+    mass = np.concatenate([np.maximum(by_label - usual[:, None], 0), usual[:, None]], axis=1)
+    mass = mass / np.maximum(mass.sum(axis=0), 1e-12) * max(total.sum() / (k + 1), 1.0) + boost
     for _ in range(ROUNDS):
+        p = (mass + SMOOTHING * background[:, None]) / (mass.sum(axis=0) + SMOOTHING)
+        logp = np.log(p / background[:, None]) * content[:, None]
+        post = _posteriors(logp, None, seg, ids, n_seg, extra)
         mass = boost.copy()
         np.add.at(mass, ids, post[seg])
-        p = (mass + 200.0 * background[:, None] * 0.05) / (mass.sum(axis=0) + 200.0 * 0.05)
-        logp = np.log(p / background[:, None])
-        post = _posteriors(logp, None, seg, ids, n_seg, extra)
     prior = np.full(k + 1, 0.5 / k)
     prior[k] = 0.5
 
@@ -202,7 +233,7 @@ def fit_subjects(labelled: list[tuple[str, int, str]], terms: dict[int, list[str
             chain[j] = _logistic(x, y, 30.0, pooled)
     else:
         chain[:] = start
-    return SubjectModel(topics, words, np.vstack([logp, np.zeros(k + 1)]), prior, chain, cooc, source)
+    return SubjectModel(topics, words, np.vstack([logp, np.zeros(k + 1)]), prior, chain, cooc, source, solid)
 
 
 def decode(model: SubjectModel, share: np.ndarray, part: np.ndarray, n_seg: np.ndarray, prior: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +274,7 @@ def predict(model: SubjectModel, texts: pa.Array, sources: list[str | None]) ->
     top = share.argmax(axis=1)
     sure = share[np.arange(n), top] >= SUBJECT_SHARE
     lab[np.flatnonzero(~lab.any(axis=1) & sure), top[~lab.any(axis=1) & sure]] = True
-    lab[(topical < MIN_TOPICAL) | (part < MIN_PART)] = False
+    lab[(topical < MIN_TOPICAL) | (part < MIN_PART) | ~_readable(texts, doc, seg, ids, model.solid)] = False
     return lab, share
 
 
