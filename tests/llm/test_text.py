@@ -97,13 +97,13 @@ SENT = ["the train ran along the river to the old station", "people walked down
 
 def test_pages(spark):
     base = [(f"b{i}", " ".join(SENT) + ". " + PROSE, None, "elmow beacon") for i in range(60)]
-    page = "the train ran along the ri-\nver to the old sta­\ntion, people wal- ked down\nTHE ELMOW BEACON, FRIDAY, MARCH 16, 1906.\nto the rnarket before the\n(3)\nrain, an old-\nfashioned stove and a two- or three-room place"
+    page = "the train ran along the ri-\nver (the wide one) to the old sta­\ntion, people wal- ked down\nTHE ELMOW BEACON, FRIDAY, MARCH 16, 1906.\nto the rnarket before the\n(3)\nrain, an old-\nfashioned stove and a two- or three-room pla(e"
     rows = base + [("p", page, "Peo- ple walked", "elmow beacon"), ("t", "Ward 1 . 12 34\nWard 2 . 33 91\n3\n4", None, None), ("j", "xq zzk vvr-\nqq jjx kkw pqq zxx wrr mmk vvx qrz", None, None), ("n", None, None, None), ("e", "", "", ""), (None, "x", None, None)]
     d = spark.createDataFrame(rows, "article_id string, text string, headline string, publication string").withColumn("traces", F.lit(1))
     out = {r.article_id: r for r in pagescan.repair_pages(d).collect()}
     got = {(t.kind, t.piece) for t in out["p"].traces}
-    assert got == {("break", "river"), ("break", "station"), ("break", "walked"), ("break", "people"), ("break", "old-fashioned"), ("glyph", "market"), ("header", "THE ELMOW BEACON, FRIDAY, MARCH 16, 1906."), ("folio", "(3)")}
-    assert out["p"].text == "the train ran along the river to the old station, people walked down to the market before the rain, an old-fashioned stove and a two- or three-room place"
+    assert got == {("break", "river"), ("break", "station"), ("break", "walked"), ("break", "people"), ("break", "old-fashioned"), ("glyph", "market"), ("glyph", "place"), ("header", "THE ELMOW BEACON, FRIDAY, MARCH 16, 1906."), ("folio", "(3)")}
+    assert out["p"].text == "the train ran along the river (the wide one) to the old station, people walked down to the market before the rain, an old-fashioned stove and a two- or three-room place"
     assert out["p"].headline == "People walked" and out["n"].text == "" and out["j"].traces == [] and out["j"].text == rows[-4][1] and None not in out
     assert len(pagescan.page_traces(d.union(d)).where("article_id = 'p'").collect()) == len(got)
     assert pagescan.page_traces(d.limit(0)).count() == 0
@@ -133,7 +133,7 @@ def test_subjects(spark, data):
     assert sum(got.get(f"a{i}") == {i % 3} for i in range(240)) >= 232
     assert got["two"] == {0, 1} and got["some"] == {0} and not {"none", "junk", "null"} & set(got)
     assert subjects.document_subjects(a.limit(0), lab, tp).count() == 0
-    assert subjects.document_subjects(a, lab.limit(0), tp).count() >= 1
+    assert subjects.document_subjects(a, lab.limit(0), tp).count() == 0  # nothing learned, nothing claimed
 
 
 def test_subjects_held_out(spark, data):
