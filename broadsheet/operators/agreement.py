@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.runtime import null_safe_join, with_row
+
 
 def _group(df: DataFrame, keys: list[str]):
     return df.groupBy(*keys) if keys else df.groupBy()
@@ -34,7 +36,7 @@ def cohen_kappa(df: DataFrame, a: Column, b: Column, keys: list[str] | None = No
     margin = sides.select(*keys, "s.*").groupBy(*keys, "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     pe = _group(margin, keys).agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("xy"))
     po = _group(c, keys).agg(F.sum(F.when(F.col("_a") == F.col("_b"), F.col("c")).otherwise(0)).alias("same"), F.sum("c").alias("n"))
-    r = (po.join(pe, keys) if keys else po.crossJoin(pe)).where(F.col("n") >= min_n)
+    r = (null_safe_join(po, pe, keys) if keys else with_row(po, pe)).where(F.col("n") >= min_n)
     agree, chance = F.col("same") / F.col("n"), F.col("xy") / (F.col("n").cast("double") * F.col("n"))
     return r.select(*keys, F.when(chance < 1, F.try_divide(agree - chance, 1 - chance)).alias("kappa"), agree.alias("agree"), "n")
 

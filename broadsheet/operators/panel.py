@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.stats import t_quantile, t_two_sided
+from broadsheet.runtime import with_row
 
 MAX_CELLS = 2_000_000
 
@@ -99,7 +100,7 @@ def lpm_trend_plain(df: DataFrame, y: str, cluster: str, year: str = "year", cen
     c = d.groupBy(year, cluster).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s")).withColumn("x", (F.col(year) - centre) / F.lit(10.0))
     t = c.agg(F.sum("n").alias("nn"), F.expr("sum(n*x)").alias("sx"), F.sum("s").alias("sy"), F.expr("sum(n*x*x)").alias("sxx"), F.expr("sum(x*s)").alias("sxy"))
     t = t.select("nn", F.expr("sx/nn").alias("mx"), F.expr("sy/nn").alias("my"), F.expr("sxx - sx*sx/nn").alias("vxx"), F.expr("sxy - sx*sy/nn").alias("vxy")).withColumn("b", F.expr("try_divide(vxy, vxx)"))
-    e = c.crossJoin(F.broadcast(t))  # one row of totals
+    e = with_row(c, t)
     g = e.groupBy(cluster).agg(F.expr("sum((x - mx) * (s - n*my - b*n*(x - mx)))").alias("u"), F.first("b").alias("b"), F.first("vxx").alias("vxx"), F.first("nn").alias("nn"))
     return g.agg(
         (100 * F.first("b")).alias("slope_pp_dec"), F.expr("100 * sqrt(sum(u*u) * count(*) / greatest(count(*) - 1, 1)) / first(vxx)").alias("se"), F.first("nn").cast("long").alias("n"), F.count(F.lit(1)).alias("n_clusters")

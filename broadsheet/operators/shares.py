@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from broadsheet.functions.values import poisson1, uniform
+from broadsheet.runtime import with_row
 
 
 def _weights(weight: str | None) -> Column:
@@ -128,7 +129,7 @@ def shift_share(df: DataFrame, group: str, y: str, article: str, early: tuple[in
     reps = parts(bootstrap_sums(sums, ["grp", "late"], article, ["n", "k"], B, seed), ["b"])
     names = ["total_pp", "composition_pp", "within_pp"]
     ci = reps.agg(*[F.percentile(c, p).alias(c.replace("_pp", t)) for c in names for p, t in ((0.025, "_lo"), (0.975, "_hi"))])
-    return out.crossJoin(ci)  # one row with one row
+    return with_row(out, ci)
 
 
 def hhi(df: DataFrame, group: str, by: str) -> DataFrame:

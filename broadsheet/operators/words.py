@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from broadsheet.runtime import lookup_join, with_row
+
 
 def word_rows(df: DataFrame, words: Column, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(words).alias("word"))
@@ -23,7 +25,7 @@ def log_odds(counts: DataFrame, a: str, b: str, stratum: list[str] | None = None
     c = counts.select(*st, "word", F.coalesce(F.col(a), F.lit(0)).cast("double").alias("n_a"), F.coalesce(F.col(b), F.lit(0)).cast("double").alias("n_b"))
     agg = c.groupBy(*st) if st else c.groupBy()
     tot = agg.agg(F.sum("n_a").alias("ta"), F.sum("n_b").alias("tb"), F.sum(F.expr("n_a + n_b + 0.01D")).alias("tp"))
-    d = c.join(F.broadcast(tot), st) if st else c.crossJoin(F.broadcast(tot))  # one row per stratum
+    d = lookup_join(c, tot, st) if st else with_row(c, tot)
     d = d.withColumn("al", F.lit(alpha0) * F.expr("(n_a + n_b + 0.01D) / tp"))
     side = lambda n, t: F.log((F.col(n) + F.col("al")) / (F.col(t) + alpha0 - F.col(n) - F.col("al")))
     d = d.withColumn("delta", side("n_a", "ta") - side("n_b", "tb")).withColumn("var", F.expr("1/(n_a + al) + 1/(n_b + al)"))
@@ -44,7 +46,7 @@ def tfidf(df: DataFrame, key: str, words: Column, max_terms: int = 25_000, min_d
     Terms in fewer than ``min_df`` documents or more than the share ``max_df`` are left out; the ``max_terms`` most frequent stay."""
     tf = word_counts(df, words, [key])
     n = df.select(key).distinct().agg(F.count(F.lit(1)).alias("N"))
-    dfs = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).crossJoin(F.broadcast(n))
+    dfs = with_row(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")), n)
     terms = dfs.where((F.col("df") >= min_df) & (F.col("df") <= F.col("N") * max_df)).orderBy(F.desc("total"), "word").limit(max_terms)
     terms = terms.select("word", F.expr("ln((1 + N) / (1 + df)) + 1").alias("idf"))
     d = tf.join(F.broadcast(terms), "word").withColumn("w", F.expr("(1 + ln(n)) * idf"))  # at most max_terms rows

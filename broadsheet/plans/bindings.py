@@ -36,7 +36,7 @@ def frame(spark: SparkSession, d: str) -> DataFrame:
 
 #: The same frame for the oracle.
 FRAME_SQL = """frame AS (
-SELECT l_orderkey AS article_id, year(o_orderdate) AS year, n_name AS publication, c_mktsegment AS section, o_orderpriority AS page_band, p_type AS role,
+SELECT l_orderkey AS article_id, year(o_orderdate)::INTEGER AS year, n_name AS publication, c_mktsegment AS section, o_orderpriority AS page_band, p_type AS role,
  CASE l_returnflag WHEN 'A' THEN 'F' WHEN 'R' THEN 'M' ELSE 'UNKNOWN' END AS gender, CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'R' THEN 0.0::DOUBLE END AS f, l_quantity AS weight,
  l_linestatus = 'O' AS quoted, l_tax < 0.05 AS ocr_clean, l_discount > 0.085 AS near_dup, p_size <= 40 AS in_cap, c_mktsegment <> 'BUILDING' AS is_news, n_name = 'FRANCE' AS evening_star,
  l_quantity > 2 AS ner_ok, p_type IN ('ECONOMY', 'PROMO') AS authority

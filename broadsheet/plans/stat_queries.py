@@ -10,7 +10,7 @@ from broadsheet.functions import text as T
 from broadsheet.functions import values as V
 from broadsheet.operators import agreement, claims as claim_rules, frame as frames, models, multiverse as mv, panel, ranking, rules, shares, trend
 from broadsheet.plans.bindings import CENTRE, EARLY, FRAME_SQL, LATE, TYPES, frame, topics
-from broadsheet.runtime import cut, table
+from broadsheet.runtime import cut, table, with_row
 from broadsheet.sources.readers import parse_labels
 from broadsheet.sources.sinks import clean_numbers, content_hash
 from broadsheet.streaming import articles as streams
@@ -243,7 +243,7 @@ def hac_trend_intervals(spark: SparkSession, d: str) -> DataFrame:
 def share_with_trend(spark: SparkSession, d: str) -> DataFrame:
     y = cut(shares.yearly_share(frame(spark, d), "f", "article_id"))
     t = trend.hac_trend(y, [], centre=CENTRE).select("slope_pp_dec", "se")
-    return rounded(y.select("year", "n", "share").crossJoin(F.broadcast(t)))  # one row
+    return rounded(with_row(y.select("year", "n", "share"), t))
 
 
 @query(S("SELECT floor(year / 2)::BIGINT AS bin, round(avg(year), 6) AS mid, round(avg(f), 6) AS share, count(*) AS n FROM frame WHERE f IS NOT NULL GROUP BY 1"))
@@ -582,7 +582,7 @@ def articles_per_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT o_orderstatus, sha2 AS h FROM (SELECT o_orderstatus, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS sha2 FROM orders)),
-c AS (SELECT o_orderstatus, substring(h, 1, 4) AS c, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2) SELECT o_orderstatus, sum(n) AS n, sha256(string_agg(d, '' ORDER BY c)) AS digest FROM c GROUP BY 1""")
+c AS (SELECT o_orderstatus, substring(h, 1, 4) AS c, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1, 2) SELECT o_orderstatus, sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY c)) AS digest FROM c GROUP BY 1""")
 def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return content_hash(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
 
@@ -594,7 +594,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT year(o_orderdate) AS year, count(*) AS n, sum((o_orderstatus = 'F')::INT)::DOUBLE AS k, round(avg((o_orderstatus = 'F')::INT), 6) AS share FROM orders GROUP BY 1")
+@query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n, sum((o_orderstatus = 'F')::INT)::DOUBLE AS k, round(avg((o_orderstatus = 'F')::INT), 6) AS share FROM orders GROUP BY 1")
 def stream_running_share(spark: SparkSession, d: str) -> DataFrame:
     s = streams.file_stream(spark, f"{d}/orders.parquet*", table(spark, d, "orders"))
     return rounded(streams.running_share(s.withColumn("year", F.year("o_orderdate")).withColumn("done", (F.col("o_orderstatus") == "F").cast("double")), "year", "done"))

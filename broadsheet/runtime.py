@@ -60,6 +60,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in on])
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of exactly one row, as constants: the row is fetched, so no join is planned."""
+    row = one.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema})
+
+
 def sorted_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     """Range-partition and sort ``df`` by ``order``; written once, with the partition number ``_pid``
     and the position ``_idx`` in it. A hot leading key is split because the later keys take part."""
