@@ -74,7 +74,8 @@ def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Text statistics and failed rules of every article."""
     s = _statistics(spark, d)
     per = s.groupBy("article_id").agg(F.min(F.struct(*prose.STATISTICS, "reasons", "is_prose")).alias("x"))
-    return per.select("article_id", "x.*").withColumn("reasons", F.concat_ws(",", "reasons"))
+    counts = {c: F.col(c).cast("long") for c in prose.STATISTICS if c.startswith("n_")}
+    return per.select("article_id", "x.*").withColumn("reasons", F.concat_ws(",", "reasons")).withColumns(counts)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +150,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_COMMON_SQL = ", ".join("'" + w + "'" for w in sorted({w for ws in prose.COMMON.values() for w in ws}))
+_R = prose.RULES
+_PROSE_SQL = rf"""
+WITH a AS (SELECT DISTINCT article_id, coalesce(text, '') AS t FROM articles WHERE article_id IS NOT NULL),
+b AS (SELECT article_id, t, regexp_extract_all(t, '\p{{L}}+') AS w, list_filter(string_split(t, chr(10)), lambda x: length(trim(x)) > 0) AS l, length(regexp_replace(t, '\s+', '', 'g')) AS dense,
+ length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS digits, length(t) - length(regexp_replace(t, '[.,;:''"()?!\-]+', '', 'g')) AS marks FROM a),
+c AS (SELECT *, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS letters, len(w) AS n, len(l) AS nl FROM b),
+s AS (SELECT article_id, length(t) AS n_chars, n AS n_words, letters::DOUBLE / nullif(n, 0) AS mean_word, letters::DOUBLE / nullif(dense, 0) AS letter_share, digits::DOUBLE / nullif(dense, 0) AS digit_share,
+ (dense - letters - digits - marks)::DOUBLE / nullif(dense, 0) AS symbol_share, nl AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,"'')]\s*$')))::DOUBLE / nullif(nl, 0) AS punct_line_share,
+ len(list_filter(l, lambda x: regexp_matches(x, '^\s*([-*•–—]|[0-9]{{1,3}}[.)]) ')))::DOUBLE / nullif(nl, 0) AS bullet_line_share, len(list_filter(l, lambda x: length(x) < 25))::DOUBLE / nullif(nl, 0) AS short_line_share,
+ len(list_filter(w, lambda x: lower(x) IN ({_COMMON_SQL})))::DOUBLE / nullif(n, 0) AS common_share, len(list_filter(w, lambda x: x <> lower(x)))::DOUBLE / nullif(n, 0) AS capital_share, len(list_distinct(w)) AS n_distinct FROM c),
+r AS (SELECT *, array_to_string(list_filter([CASE WHEN n_words < 1 THEN 'no_words' END, CASE WHEN n_words >= 1 AND common_share < {_R["min_common_share"]}::DOUBLE THEN 'few_common_words' END,
+ CASE WHEN n_words >= 1 AND common_share < {_R["row_common_share"]}::DOUBLE AND digit_share > {_R["row_digit_share"]}::DOUBLE THEN 'rows' END, CASE WHEN n_words >= 1 AND symbol_share > {_R["max_symbol_share"]}::DOUBLE THEN 'symbols' END,
+ CASE WHEN n_words >= 1 AND letter_share < {_R["min_letter_share"]}::DOUBLE THEN 'few_letters' END, CASE WHEN n_words >= 1 AND digit_share > {_R["max_digit_share"]}::DOUBLE THEN 'digits' END,
+ CASE WHEN n_words >= 1 AND (mean_word < {_R["min_mean_word"]}::DOUBLE OR mean_word > {_R["max_mean_word"]}::DOUBLE) THEN 'word_length' END, CASE WHEN n_words >= 20 AND n_distinct < sqrt(n_words) * {_R["min_distinct"]}::DOUBLE THEN 'repetition' END,
+ CASE WHEN n_words >= 1 AND bullet_line_share > {_R["max_bullet_share"]}::DOUBLE THEN 'bullets' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s)"""
+
 SQL: dict[str, str] = {
+    "p4_statistics": _PROSE_SQL + " SELECT *, reasons = '' AS is_prose FROM r",
+    "p4_found": _PROSE_SQL + " SELECT article_id FROM r WHERE reasons <> ''",
     "p5_found": """
 WITH t AS (SELECT DISTINCT article_id, text FROM articles WHERE article_id IS NOT NULL),
 w AS (SELECT article_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
