@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from broadsheet.runtime import cut
+
 #: Shortest reference form and largest edit distance by form length.
 MIN_FORM, MAX_K = 6, 4
 #: From this distance on, a title that reads as an abbreviation of exactly one newspaper is taken as such.
@@ -128,10 +130,11 @@ def match_titles(values: DataFrame, canon: DataFrame) -> DataFrame:
     left = values.select("raw").distinct().withColumn("s", F.explode_outer(title_variants(F.col("raw"))))
     near = pigeonhole_pairs(left.where(F.col("s").isNotNull()), canon_forms(canon))
     w = Window.partitionBy("raw").orderBy("dist", F.col("title_id") < 0, "title_id", "publication")
-    best = near.withColumn("r", F.row_number().over(w)).where("r = 1").select("raw", "title_id", "publication", "dist")
+    best = cut(near.withColumn("r", F.row_number().over(w)).where("r = 1").select("raw", "title_id", "publication", "dist"))
     # an abbreviated or cut-off title is far from its own form and may lie nearer to another
     unsure = values.select("raw").distinct().join(best.where(F.col("dist") < SURE), "raw", "left_anti")
     short = short_pairs(unsure, canon).withColumn("dist", F.lit(None).cast("int"))
+    short = cut(short)
     found = best.join(short, "raw", "left_anti").unionByName(short)
     missing = values.select("raw").distinct().join(found, "raw", "left_anti")
     return found.unionByName(missing.select("raw", F.lit(-1).alias("title_id"), F.lit(None).cast("string").alias("publication"), F.lit(None).cast("int").alias("dist")))
