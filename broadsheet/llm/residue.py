@@ -38,6 +38,7 @@ PLACEHOLDERS = [
     r"\[[A-Z_]{3,30}\]",
     r"[A-Za-z_]{3,30} ?%>|<% ?[A-Za-z_]{3,30}",
     r"\$[A-Z][A-Z_]{2,30}\b",
+    r"\[[A-Za-z_ ]{2,30} (TK|tk|tbd|TBD)\]",
     r"\[object Object\]",
     r"(?i:\b(undefined|null|nan) (undefined|null|nan)\b)",
 ]
@@ -46,19 +47,19 @@ STRONG = [
     r"lorem ipsum",
     r"(enable|activate|turn on|switch on|allow|requires?|need|needs|without) (java)?scripts?\b|(java)?scripts? (and|or) cookies|(java)?scripts? (is|are) (disabled|turned off|switched off|off|blocked|required)|does not work without (java)?script|(scripts?|javascript|scripting) switched off|(not run|blocks) (java)?scripts?|(turn on|allow|enable|needs?|requires?) scripting",
     r"javascript (ist|sind)? ?(ausgeschaltet|deaktiviert|abgeschaltet)|aktivieren (sie|n) (java)?s[ck]ripte?|skripte? (ist|sind|zulassen|aktivieren|einschalten)|(active|habilite|activez|activer|autorisez) (el |los |les |le )?(java)?scripts?|(java)?scripts? (est|sont) (désactivés?|bloqués?)|(java)?scripts? (está|están) (desactivados?|bloqueados?)",
-    r"(http|fatal|database|server|script|syntax|parse|internal) error|error (code )?# *[-:.]|^(error|fehler|erreur) #|^warning cannot|^warning: |null reference|cannot read property|undefined (index|variable|property|reference)|stack trace|unhandled exception|traceback|query timed out|connection (timed out|refused|reset)|segmentation fault|out of memory",
+    r"(http|fatal|database|server|script|syntax|parse|internal) error|error (code )?# *[-:.]|^(error|fehler|erreur) #|^warning cannot|^warning: |null reference|cannot read property|undefined (index|variable|property|reference)|stack trace|unhandled exception|traceback|query timed out|connection (timed out|refused|reset)|could not connect to|fault was logged|segmentation fault|out of memory",
     r"(internal server error|service unavailable|bad gateway|gateway time-?out|request time-?out|# bad request|# unauthorized)",
-    r"page (was )?not found|page you (asked|requested|want)|(title|page|item|scan|issue) (is|was)n.t (here|found)|(page|scan|title|issue) you (asked|requested|are looking)|seite (wurde )?nicht gefunden|p[áa]gina no encontrada|page (introuvable|non trouvée)|no se encontr[óo] la p[áa]gina",
-    r"access (is |was )?denied|do not have permission|not authori[sz]ed|zugriff verweigert|acceso denegado|accès refusé|# forbidden|log ?in to (continue|view|read)|sign in to (continue|view|read)|please (log|sign) in|reading pass",
+    r"page (was )?not found|page you (asked|requested|want)|(title|page|item|scan|issue) (is|was)n.t (here|found)|(page|scan|title|issue|reel|item|volume|file) you (asked|requested|want|are looking)|(status|http|code) # (page )?not found|^(die |der )?(n|seite|ausgabe|datei|titel) (wurde |konnte )?nicht gefunden( werden)?\.?$|seite nicht gefunden|(existiert nicht|no existe|n.existe pas)\.?$|^zurück zur (n|startseite)\.?$|später noch einmal versuchen|regrese al inicio|vuelva a intentarlo|retournez à l.accueil|réessayez|p[áa]gina no encontrada|page (introuvable|non trouvée)|no se encontr[óo] la p[áa]gina",
+    r"access (is |was )?denied|do not have permission|not authori[sz]ed|(zugriff|^n|: n) verweigert|acceso denegado|accès refusé|# forbidden|log ?in to (continue|view|read)|sign in to (continue|view|read)|please (log|sign) in|reading pass",
     r"too many requests|unusual traffic|checking your browser|check your connection|signed out|session (has )?expired|are you (a )?(human|robot)|verify (that )?you are|rate limit|slow down and",
     r"something went wrong|went wrong|try again later|please try again|unexpected condition|contact the administrator|could not (load|open|find) (this|the) (page|scan|title)|no se pudo (cargar|abrir)|konnte nicht (geladen|angezeigt)|n.a pas pu (être|charger)|impossible de (charger|afficher)|down for upkeep|(viewer|server) did not answer|(image|scan|page) could not be displayed|no text layer|text not available|failed to start|report a broken link",
     r"under construction|(content|story|text|article|page) (is )?(coming soon|to come)|intentionally left blank|check back (soon|later)",
-    r"^(this|here) is (dummy|filler|sample|placeholder) (copy|type|text)|^placeholder (page|text|copy|for)|^dummy (copy|type|text)|^filler (copy|type|text)|^(text|copy|caption|photo|story) to (come|follow)|delete before printing|(headline|body text|text|story|caption) goes here|replace this (with|text)|repeat to fit|do not print|\basdf\b|test test test|blah blah|text text text|words words words|\bqwerty\b|lead paragraph in about|this is (a )?test\b|test headline|hier steht|platzhalter|blindtext|texto de relleno|texte factice|faux texte",
+    r"^(this|here) is (dummy|filler|sample|placeholder) (copy|type|text)|^placeholder (page|text|copy|for)|^dummy (copy|type|text)|^filler (copy|type|text)|^(text|copy|caption|photo|story) to (come|follow)|delete before printing|(headline|body text|text|story|caption) goes here|replace this (with|text)|repeat to fit|do not print|\basdf\b|test test test|blah blah|text text text|words words words|\bqwerty\b|\bfoo bar\b|lead paragraph in about|this is (a )?test\b|test headline|hier steht|platzhalter|blindtext|texto de relleno|texte factice|faux texte",
     r"cookies? (are|is|must|need)|accept (all )?cookies|your browser (does not|is not|must)|(newer|unsupported) browser",
     r"template (error|not found|missing)|missing template|\btodo\b",
 ]
 #: Weak phrases, which count only in widely recurring or dominating messages.
-WEAK = [r"\b(browser|javascript|server|viewer|cookies|settings and refresh|reload|erneut|error|servidor|serveur|navigateur|navegador)\b"]
+WEAK = [r"\b(browser|javascript|(page|web) server|viewer|cookies|settings and refresh|reload|erneut versuchen|servidor|serveur|navigateur|navegador)\b"]
 #: Sources in which a message with a weak phrase must recur.
 MIN_SOURCES = 2
 #: Syllables of pseudo-Latin filler.
