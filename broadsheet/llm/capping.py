@@ -49,8 +49,9 @@ def _beyond() -> Column:
 
 def update(state: CapState, batch: DataFrame, cap: int) -> CapState:
     """Merge a batch(contributor, score, id) of new records into the state. A smaller score is better, then the
-    smaller id. Ids must be unique over all batches; a null contributor is never capped and passes through."""
-    batch = batch.select("contributor", "score", "id")
+    smaller id; a null score is the worst. Ids must be unique over all batches, rows without an id are left out; a null
+    contributor is never capped and passes through."""
+    batch = batch.where("id is not null").select("contributor", F.coalesce(F.col("score").cast("double"), F.lit(float("inf"))).alias("score"), "id")
     gone = None
     if state.cutoffs is not None:
         marked = lookup_join(batch, state.cutoffs, ["contributor"]).withColumn("_out", _beyond())

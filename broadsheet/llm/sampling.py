@@ -65,7 +65,9 @@ def fixed_sample(rows: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, key: str, k: int, order: str, seed: int = 7) -> DataFrame:
-    """The sampled records with all their columns: of repeated deliveries the one first by ``order``."""
+    """The sampled records with all their columns: of repeated deliveries the one first by ``order``. A column that is called
+    position already is replaced by the place in the sample."""
+    rows = rows.drop("position")
     drawn = F.broadcast(fixed_sample(rows, key, k, seed)) if k <= 200_000 else fixed_sample(rows, key, k, seed)
     picked = rows.join(drawn, key)
     others = [c for c in rows.columns if c != key]

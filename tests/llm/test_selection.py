@@ -32,6 +32,12 @@ def test_cap_matches_sort(spark, cap, batches):
     assert {r.id for r in s.kept.collect()} == {r[2] for r in rows} - want
 
 
+def test_cap_nulls(spark):
+    d = spark.createDataFrame([("a", None, "x", 1), ("a", 5, "y", 2), ("a", 1, None, 1), (None, None, "z", None)], "contributor string, score int, id string, piece int").withColumn("rank", F.lit(1))
+    s = capping.cap_contributors(d, 1, 2)
+    assert {r.id for r in s.displaced.collect()} == {"x"} and {r.id for r in s.kept.collect()} == {"y", "z"}
+
+
 def test_cap_empty(spark):
     s = capping.cap_contributors(spark.createDataFrame([], "contributor string, score int, id string, piece int"), 3)
     assert s.kept.count() == 0 and s.displaced.count() == 0
@@ -118,7 +124,7 @@ def test_permutation(n):
 
 def test_sample(spark):
     rows = [(f"k{i % 200}" if i else None, i % 7, T0 + dt.timedelta(days=i), "x") for i in range(500)]
-    d = spark.createDataFrame(rows, "article_id string, year int, arrived_at timestamp, position2 string")
+    d = spark.createDataFrame(rows, "article_id string, year int, arrived_at timestamp, position string")
     s = sampling.sample_rows(d, "article_id", 50, "arrived_at")
     got = s.collect()
     assert len({r.article_id for r in got}) == 50 and sorted(r.position for r in got) == list(range(50))
