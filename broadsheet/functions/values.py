@@ -140,3 +140,8 @@ def poisson1(u: Column) -> Column:
     for total, k in reversed(steps):
         out = F.when(u < total, k).otherwise(out)
     return out
+
+
+def n_positive(share: Column, n: Column) -> Column:
+    """Number of successes behind a share."""
+    return F.round(share * n).cast("long")

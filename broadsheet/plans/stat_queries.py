@@ -695,3 +695,32 @@ def article_values(spark: SparkSession, d: str) -> DataFrame:
 def headline_words(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "articles").select("article_id", "headline").distinct().select(F.explode(F.split(F.lower("headline"), r"\s+")).alias("word"))
     return h.where(T.content_word(F.col("word"), ["of", "the", "in", "at", "for"])).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(S("SELECT role, year, n, round(share, 6) AS share, round(share * n)::BIGINT AS n_positive FROM (SELECT role, year, count(*) AS n, avg(f) AS share FROM frame WHERE f IS NOT NULL GROUP BY 1, 2) WHERE n >= 30"))
+def role_series(spark: SparkSession, d: str) -> DataFrame:
+    """Series behind the roles page: groups of at least 30."""
+    y = frame(spark, d).where("f is not null").groupBy("role", "year").agg(F.count(F.lit(1)).alias("n"), F.avg("f").alias("share")).where("n >= 30")
+    return rounded(y.withColumn("n_positive", V.n_positive(F.col("share"), F.col("n"))))
+
+
+@query(S("SELECT section, round(sum(u * n) / sum(n), 6) AS unknown_mean, sum(n)::BIGINT AS n FROM (SELECT section, year, count(*) AS n, avg((gender = 'UNKNOWN')::INT) AS u FROM frame GROUP BY 1, 2) GROUP BY 1"))
+def unknown_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Unknown share per section, weighted by the size of each year."""
+    y = frame(spark, d).groupBy("section", "year").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gender") == "UNKNOWN").cast("int")).alias("u"))
+    return rounded(y.groupBy("section").agg((F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("unknown_mean"), F.sum("n").alias("n")))
+
+
+@query(S("SELECT section, count(*) FILTER (WHERE s > 0) AS n_positive, count(*) AS n, round(list_sort(list(s))[count(*) // 2 + 1], 6) AS middle FROM (SELECT section, publication, avg(f) - 0.5 AS s FROM frame GROUP BY 1, 2) GROUP BY 1"))
+def specification_strip(spark: SparkSession, d: str) -> DataFrame:
+    """Positive cells of each strip, and its middle cell (the upper one of two)."""
+    c = frame(spark, d).groupBy("section", "publication").agg((F.avg("f") - 0.5).alias("s"))
+    middle = F.element_at(F.array_sort(F.collect_list("s")), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))  # at most one value per newspaper
+    return rounded(c.groupBy("section").agg(F.count_if(F.col("s") > 0).alias("n_positive"), F.count(F.lit(1)).alias("n"), middle.alias("middle")))
+
+
+@query("SELECT count(DISTINCT sha1(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' '))) AS n FROM articles")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of a stream without repeated token sequences."""
+    s = streams.file_stream(spark, f"{d}/articles.parquet*", table(spark, d, "articles"))
+    return streams.collected(streams.deduplicated_stream(s.select("article_id", "text", "arrived_at")).select("article_id")).agg(F.count(F.lit(1)).alias("n"))

@@ -26,6 +26,11 @@ def _run(df: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def collected(stream: DataFrame) -> DataFrame:
+    """All rows an append stream gives for what is available, as a written table."""
+    return _run(stream, "append")
+
+
 def file_stream(spark: SparkSession, pattern: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(pattern)
 
