@@ -21,11 +21,12 @@ def write_jsonl(df: DataFrame, path: str, by: str = "year") -> None:
 
 
 def content_hash(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, digest): order-free content hash, summed up in two levels so that no group's hashes meet in one array: lines are hashed,
-    hashes of one of 256 cells are sorted and hashed, then the cells'."""
+    """(by, n, digest): content hash that depends on neither order nor partitioning. The eight words of each line's sha256 are
+    summed up, map-side first, so nothing is sorted or collected; the digest is the sha256 of the sums."""
     line = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    cells = df.select(*by, line.alias("_h")).groupBy(*by, F.substring("_h", 1, 4).alias("_c")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ""), 256).alias("_d"))
-    return cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_c", "_d"))), lambda x: x["_d"]), ""), 256).alias("digest"))
+    words = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = df.select(*by, line.alias("_h")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(w).cast("string").alias(f"_{i}") for i, w in enumerate(words)])
+    return sums.select(*by, "n", F.sha2(F.concat_ws(":", *[f"_{i}" for i in range(8)]), 256).alias("digest"))
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> int:
