@@ -39,10 +39,14 @@ def yearly_share(df: DataFrame, success: str, cluster: str, by: str | list[str]
 
 
 def bootstrap_sums(sums: DataFrame, keys: list[str], cluster: str, cols: list[str], B: int, seed: int = 0) -> DataFrame:
-    """(keys, b, cols): sums of all replicates, each cluster weighted by a Poisson(1) number fixed by (cluster, b, seed).
+    """(keys, b, cols): sums of all replicates, each cluster weighted by a Poisson(1) number fixed by (cluster, b, seed): four
+    replicates take the four words of one md5.
     The replicates of a row are summed map-side; what is shuffled is groups x B rows per task."""
-    reps = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    reps = reps.withColumn("_w", poisson1(uniform(F.col(cluster), F.col("b"), F.lit(seed)))).where("_w > 0")
+    q = sums.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((B - 1) // 4))))
+    q = q.withColumn("_h", F.md5(F.concat_ws("|", F.col(cluster).cast("string"), F.col("_q").cast("string"), F.lit(str(seed)))))
+    reps = q.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("b", 4 * F.col("_q") + F.col("_r")).where(F.col("b") < B)
+    u = F.conv(F.substring("_h", 8 * F.col("_r") + 1, F.lit(8)), 16, 10).cast("double") / F.lit(float(2**32))
+    reps = reps.withColumn("_w", poisson1(u)).where("_w > 0")
     return reps.groupBy(*keys, "b").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in cols])
 
 

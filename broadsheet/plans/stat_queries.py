@@ -76,7 +76,7 @@ _POISSON_STEPS = " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate(__imp
     S(
         "SELECT year, round(quantile_cont(v, 0.025), 6) AS ci_lo, round(quantile_cont(v, 0.975), 6) AS ci_hi FROM r GROUP BY 1",
         c="SELECT year, article_id, sum(f) AS k, count(*)::DOUBLE AS n FROM frame WHERE f IS NOT NULL GROUP BY 1, 2",
-        x="SELECT year, k, n, b, (('0x' || substring(md5(article_id || '|' || b || '|0'), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM c, range(40) t(b)",
+        x="SELECT year, k, n, b, (('0x' || substring(md5(article_id || '|' || b // 4 || '|0'), 8 * (b % 4)::INT + 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM c, range(40) t(b)",
         p=f"SELECT year, k, n, b, CASE {_POISSON_STEPS} ELSE 14 END AS w FROM x",
         r="SELECT year, b, sum(k * w) / sum(n * w) AS v FROM p WHERE w > 0 GROUP BY 1, 2",
     )
