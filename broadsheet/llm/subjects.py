@@ -291,10 +291,10 @@ def document_subjects(articles: DataFrame, labels: DataFrame, topics: DataFrame,
     if model is None:
         terms = {int(r.topic): [w for w in r.top_terms or [] if w] for r in topics.select("topic", "top_terms").collect() if r.topic is not None}
         model = fit_subjects(labelled_sample(articles, labels), terms)
-    shared = articles.sparkSession.sparkContext.broadcast(model)
+    shared = articles.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = SubjectModel(**shared.value)
         names = np.array(m.topics)
         for big in batches:
             for at in range(0, big.num_rows, _CHUNK):
