@@ -34,8 +34,13 @@ PLACEHOLDERS = [
     r"(?i:\[(insert|your|enter|add|put|name|title|date|placeholder|tbd|tk|byline|headline)\b[^\]\n]{0,40}\])",
     r"(?i:<(insert|your|enter)\b[^>\n]{0,40}>)",
     r"\{[a-z]+[_.][a-z_.]+\}",
-    r"\{[a-z]{3,20}\}",
+    r"\{ ?[A-Za-z]{2}[A-Za-z0-9]*(?:[ _.-][A-Za-z0-9]+)* ?\}",
+    r"\{ ?\d{1,3}(?:[:!][^{}\n]{0,20})? ?\}",
+    r"(?i:[(\[<{] ?(your|insert|enter|add|put|type|write)\b[^()\[\]<>{}\n]{1,40}\bhere ?[)\]>}])",
+    r"(?i:\byour( [a-z]+){1,3} goes here\b)",
+    r"\b(X{4,}|x{4,})\b",
     r"\[[A-Z_]{3,30}\]",
+    r"\[[A-Z]{4,20}( [A-Z]{2,20}){1,2}\]",
     r"[A-Za-z_]{3,30} ?%>|<% ?[A-Za-z_]{3,30}",
     r"\$[A-Z][A-Z_]{2,30}\b",
     r"\[[A-Za-z_ ]{2,30} (TK|tk|tbd|TBD)\]",

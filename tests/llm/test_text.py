@@ -164,6 +164,14 @@ def test_residue(spark):
     assert g["query timed out after # s."].kind == "phrase"
 
 
+def test_open_slots(spark):
+    slots = ["{1}", "{0:d}", "{firstName}", "{ First Name }", "(your editor goes\nhere)", "(insert the price here)", "your first name goes here", "XXXX", "xxxxx", "[FIRST NAME]"]
+    real = ["{.«lj ':;}", "(your readers know it)", "(enter by the side door)", "Chapter XXX", "[BY TELEGRAPH]", "[11]", "who goes here and there"]
+    rows = [(i, f"Scholarships went to {x} and Miss Bell of Elmow on Friday.", "s") for i, x in enumerate(slots + real)]
+    got = residue.flag_residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got} == set(range(len(slots))) and all(r.kinds == ["placeholder"] for r in got)
+
+
 def test_weak_messages_need_sources(spark):
     m = "The scan viewer is busy, please reload."
     one = spark.createDataFrame([(1, m, "a"), (2, m, "a")], "doc_id long, text string, source string")
