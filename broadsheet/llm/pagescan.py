@@ -1,11 +1,11 @@
 """Repair text that was read from scanned pages.
 
-Corpus pass: word counts (lower-case words, and all words in lower case) and counts of page-head lines with dates and
-numbers masked. Only entries with a relative frequency of at least ``REL_FREQ`` are kept, so at most 1 / REL_FREQ
+Corpus pass: word counts (lower-case words, and all words in lower case) and counts of page-head lines and titles with
+dates and numbers masked. Only entries with a relative frequency of at least ``REL_FREQ`` are kept, so at most 1 / REL_FREQ
 entries can exist whatever the size of the corpus; that bound allows the broadcast.
 
-Document pass: head lines are lines of a page-head form whose masked letters repeat over the corpus or resemble the
-title, with fuzzy matching; lines that are only a page number are removed; then broken words are joined (the corpus
+Document pass: head lines are short lines of a page-head form, or with a page number, date, ornament or number at an edge,
+whose masked and digit-folded letters resemble the title or a line repeated over the corpus; lines that are only a page number are removed; then broken words are joined (the corpus
 decides between joined and hyphenated), misread lower-case words are put right through known confusions if the
 corpus knows the corrected word far better, and line ends become blanks within paragraphs."""
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -69,9 +69,55 @@ FOLIO = re.compile(r"^(\(\d{1,3}\)|\[\d{1,3}\]|\d{1,3}|p\. ?\d{1,3}|[—–-] ?\
 _MASKED = re.compile(r"(?i)\b(mon|tues|wednes|thurs|fri|satur|sun)day\b|\b(january|february|march|april|may|june|july|august|september|october|november|december)\b|\bpage\b|\bthe\b|[^a-z]")
 
 
+#: Digits read for letters, put back in words that are mostly letters.
+_FOLD = str.maketrans("0134568", "oieasbb")
+_MIXED = re.compile(r"\b(?:[^\W\d_]+\d|\d[^\W\d_])\w*")
+_LOWER_WORDS = re.compile(r"(?:^|[ (])[a-zà-ÿ].*?[ (][a-zà-ÿ]")
+#: What a line shows of a page head besides the name, whatever its form: a page number or a whole date; ornaments or a number at an edge.
+_DATED = re.compile(r"(?i)\bpage \w{1,5}\b|\b\w{3,9}\.? \w{1,2}[,.] *[\dlioszb]{4}\b|\b[\dlio]{1,2}-[\dlio]{1,2}-[\dlio]{2,4}\b")
+_ORNATE = re.compile(r"^\*.*\*$| \| |^\w{1,3} +[^a-z]+$|^[^a-z]+ {2,}\w{1,4}$")
+#: Likeness of a name that counts as the same.
+NAME_LIKE = 0.85
+
+
+def folded(line: str) -> str:
+    """The line with digits in words that are mostly letters put back to letters ('P4GE' is 'page')."""
+
+    def word(m: re.Match[str]) -> str:
+        w = m.group(0)
+        return w.lower().translate(_FOLD) if 2 * len(DIGIT.findall(w)) <= len(w) else w
+
+    return _MIXED.sub(word, line)
+
+
 def head_key(line: str) -> str:
-    """The letters of a head line without dates, numbers and page words."""
-    return _MASKED.sub("", line.lower()) if len(line) < 120 else ""
+    """The letters of a head line without dates, numbers and page words; digits misread for letters count as letters."""
+    return _MASKED.sub("", folded(line).lower()) if len(line) < 120 else ""
+
+
+def head_mark(line: str) -> int:
+    """2: a short line of names with a page number or a whole date, 1: with ornaments or a number at an edge, else 0."""
+    if not 8 <= len(line) <= 110 or _LOWER_WORDS.search(line):
+        return 0
+    return 2 if _DATED.search(folded(line)) else 1 if _ORNATE.search(line) else 0
+
+
+class Names:
+    """Fuzzy search among repeated keys: the most alike of those that share the most three-letter pieces."""
+
+    def __init__(self, keys: Iterable[str]):
+        self.keys = sorted(k for k in keys if len(k) >= 8)
+        self.exact = set(self.keys)
+        self.pieces: dict[str, list[int]] = {}
+        for n, k in enumerate(self.keys):
+            for g in {k[j : j + 3] for j in range(len(k) - 2)}:
+                self.pieces.setdefault(g, []).append(n)
+
+    def has(self, key: str, least: float = NAME_LIKE) -> bool:
+        if key in self.exact:
+            return True
+        shared = Counter(n for g in {key[j : j + 3] for j in range(len(key) - 2)} for n in self.pieces.get(g, ()))
+        return any(SequenceMatcher(None, key, self.keys[n]).ratio() >= least for n, _ in shared.most_common(10))
 
 
 def is_head_form(line: str) -> bool:
@@ -79,19 +125,21 @@ def is_head_form(line: str) -> bool:
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, item, n): words as they stand in lower case ('low'), all words in lower case ('any'), keys of head-form lines
-    ('head'). Counted map-side per batch, then merged."""
+    """(kind, item, n): words as they stand in lower case ('low'), all words in lower case ('any'), keys of lines of a head form
+    or with a page number or date ('head'), keys of titles ('title'). Counted map-side per batch, then merged."""
+    title = F.col("publication") if "publication" in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, any_, head = Counter(), Counter(), Counter()
+        low, any_, head, name = Counter(), Counter(), Counter(), Counter()
 
         def drain():
-            rows = [(k, w, n) for k, c in (("low", low), ("any", any_), ("head", head)) for w, n in c.items()]
-            for c in (low, any_, head):
+            rows = [(k, w, n) for k, c in (("low", low), ("any", any_), ("head", head), ("title", name)) for w, n in c.items()]
+            for c in (low, any_, head, name):
                 c.clear()
             return pd.DataFrame(rows, columns=["kind", "item", "n"])
 
         for b in batches:
+            name.update(head_key(p) for p in b["_title"] if p)
             for t in b[text]:
                 if not t:
                     continue
@@ -103,23 +151,23 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                         low[w] += n
                 for line in t.split("\n"):
                     line = line.strip()
-                    if line and is_head_form(line):
+                    if line and (is_head_form(line) or head_mark(line) == 2):
                         head[head_key(line)] += 1
             if len(any_) > 200_000:
                 yield drain()
         yield drain()
 
-    return docs.select(text).mapInPandas(run, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    return docs.select(text, title.alias("_title")).mapInPandas(run, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
 
 
 def corpus_statistics(docs: DataFrame, text: str = "text", rel_freq: float = REL_FREQ) -> dict[str, dict[str, int]]:
-    """The kept entries per kind and the total of words under 'total'. At most 3 / rel_freq entries by construction."""
+    """The kept entries per kind and the total of words under 'total'. At most 4 / rel_freq entries by construction."""
     counts = cut(corpus_counts(docs, text))
     totals = {r.kind: int(r.t) for r in counts.groupBy("kind").agg(F.sum("n").alias("t")).collect()}
     least = F.lit(None)
     for kind, t in totals.items():
         least = F.when(F.col("kind") == kind, max(MIN_COUNT, t * rel_freq)).otherwise(least)
-    out: dict[str, dict[str, int]] = {"low": {}, "any": {}, "head": {}}
+    out: dict[str, dict[str, int]] = {"low": {}, "any": {}, "head": {}, "title": {}}
     for r in counts.where(F.col("n") >= least).toLocalIterator():
         out[r.kind][r.item] = r.n
     out["total"] = {"low": totals.get("low", 0), "any": totals.get("any", 0)}
@@ -133,19 +181,28 @@ class Repairer:
         self.low, self.any, self.head = stats["low"], stats["any"], stats["head"]
         self.solid = max(5, stats["total"]["low"] * SOLID)
         self.cache: dict[str, str | None] = {}
-        self.heads: dict[tuple[str, str], bool] = {}
+        self.heads: dict[tuple[str, str, bool, int], bool] = {}
+        self.titles, self.repeated = Names(stats.get("title", ())), Names(k for k, n in self.head.items() if n >= 2)
 
     def head_line(self, line: str, title: str) -> bool:
+        """A line of a head form or with marks of a head whose name is, fuzzily, that of the article's title, of a title of the
+        corpus or, with a page number or date, of a line repeated over the corpus."""
+        form, mark = is_head_form(line), head_mark(line)
+        if not form and not mark:
+            return False
         key = head_key(line)
-        own = re.sub("[^a-z]", "", title.lower())
         if len(key) < 4:
             return False
-        if self.head.get(key, 0) >= 2 or line[0] == "*" or "PAGE" in line or " THE " in line:
+        if form and (self.head.get(key, 0) >= 2 or line[0] == "*" or "PAGE" in line or " THE " in line):
             return True
-        known = self.heads.get((key, own))
+        own = head_key(title)
+        known = self.heads.get((key, own, form, mark))
         if known is None:
-            known = bool(own) and (own in key or SequenceMatcher(None, key, own).ratio() >= 0.7 or key[:6] == own[:6])
-            self.heads[(key, own)] = known = known or any(ch.isdigit() for ch in line) and ("," in line or "|" in line)
+            least = 0.7 if form else NAME_LIKE
+            known = bool(own) and (form and (own in key or key[:6] == own[:6]) or SequenceMatcher(None, key, own).ratio() >= least)
+            known = known or self.titles.has(key) or (form or mark == 2) and self.repeated.has(key)
+            known = known or form and mark == 2  # a newspaper met once repeats nowhere
+            self.heads[(key, own, form, mark)] = known
         return known
 
     def fix_word(self, w: str) -> str | None:
@@ -233,7 +290,7 @@ class Repairer:
         for k, raw in enumerate(lines):
             line = raw.strip()
             if line and len(lines) > 1:
-                if is_head_form(line) and self.head_line(line, title):
+                if self.head_line(line, title):
                     traces.append(("header", line))
                     removed = True
                     continue

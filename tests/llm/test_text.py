@@ -109,6 +109,18 @@ def test_pages(spark):
     assert pagescan.page_traces(d.limit(0)).count() == 0
 
 
+def test_heads_of_any_form(spark):
+    """Heads with misread capitals, or of no listed form, are found by their likeness to the title or to repeated lines."""
+    text = " ".join(SENT) + ".\n{}\n" + PROSE
+    heads = ["5    THE ELMOW EVEN1NG BEACON", "ELMOW EVENING BEACON   P4GE 1", "P4GE 15.  QUILFIELD, MINN.  1939", "Elmow Evening Beacon -- July 16, 1954", "3 THE ELMOW EVENING BEAC0N"]
+    other = ["Elmow Junction   263", "PRICES OF GRAIN   12", "ELMOW, Jan. 5", "The beacon of Elmow was lit", "Quilfield, Minn."]
+    rows = [(f"b{i}", text.format("PAGE 3.  QUILFIELD, MINN.  1939"), None, "elmow evening beacon") for i in range(20)]
+    rows += [(f"h{i}", text.format(x), None, "elmow evening baecon") for i, x in enumerate(heads)] + [(f"o{i}", text.format(x), None, "elmow evening beacon") for i, x in enumerate(other)]
+    rows += [("untitled", text.format("7    THE ELM0W EVENING BEACON"), None, None)]
+    got = pagescan.page_traces(spark.createDataFrame(rows, "article_id string, text string, headline string, publication string")).where("kind = 'header'").collect()
+    assert {(r.article_id, r.piece) for r in got if r.article_id[0] != "b"} == {(f"h{i}", x) for i, x in enumerate(heads)} | {("untitled", "7    THE ELM0W EVENING BEACON")}
+
+
 def test_subjects(spark, data):
     topics = {0: ["wheat", "corn", "bushel", "price"], 1: ["inning", "pitcher", "team", "score"], 2: ["bride", "wedding", "veil", "gown"]}
     r = random.Random(0)
