@@ -69,6 +69,7 @@ class SubjectModel:
     cooc: np.ndarray
     source: dict[str, np.ndarray]
     solid: np.ndarray
+    order: np.ndarray  # topics in the order in which the chain was trained and is decoded
 
 
 def _readable(texts: pa.Array, doc: np.ndarray, seg: np.ndarray, ids: np.ndarray, solid: np.ndarray) -> np.ndarray:
@@ -233,17 +234,16 @@ def fit_subjects(labelled: list[tuple[str, int, str]], terms: dict[int, list[str
             chain[j] = _logistic(x, y, 30.0, pooled)
     else:
         chain[:] = start
-    return SubjectModel(topics, words, np.vstack([logp, np.zeros(k + 1)]), prior, chain, cooc, source, solid)
+    return SubjectModel(topics, words, np.vstack([logp, np.zeros(k + 1)]), prior, chain, cooc, source, solid, order)
 
 
 def decode(model: SubjectModel, share: np.ndarray, part: np.ndarray, n_seg: np.ndarray, prior: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(label matrix, log probability) of the best label set found by beam search for each row."""
     n, k = share.shape
-    order = sorted(range(k), key=lambda j: -float(model.prior[j]))
     lab = np.zeros((n, 1, k), bool)
     logp = np.zeros((n, 1))
     prev_n, prev_share, prev_co = np.zeros((n, 1)), np.zeros((n, 1)), np.zeros((n, 1, k))
-    for j in order:
+    for j in model.order:
         w = logp.shape[1]
         base = _features(share, j, part, n_seg, prior[:, j], np.zeros(n), np.zeros(n), np.zeros(n)) @ model.chain[j]
         z = base[:, None] + prev_n * model.chain[j][8] + prev_share * model.chain[j][9] + prev_co[:, :, j] * model.chain[j][10]

@@ -148,6 +148,21 @@ def test_subjects(spark, data):
     assert subjects.document_subjects(a, lab.limit(0), tp).count() == 0  # nothing learned, nothing claimed
 
 
+def test_chain_order(monkeypatch):
+    """The chain is decoded in the order it was trained in, the most frequent topic first, whatever the topics' numbers."""
+    r = random.Random(0)
+    words = {0: ["wheat", "corn", "bushel", "price"], 1: ["inning", "pitcher", "team", "score"], 2: ["bride", "wedding", "veil", "gown"]}
+    docs = [(". ".join(" ".join(["the", r.choice(words[t]), "and", r.choice(words[t])]) for _ in range(5)) + ".", t, "p") for t in [2] * 60 + [1] * 20 + [0] * 40]
+    seen = []
+    features = subjects._features
+    monkeypatch.setattr(subjects, "_features", lambda share, j, *rest: seen.append(int(j)) or features(share, j, *rest))
+    model = subjects.fit_subjects(docs, words)
+    trained = seen[:]
+    seen.clear()
+    subjects.predict(model, pa.array([d[0] for d in docs[:4]]), ["p"] * 4)
+    assert trained == seen == [2, 0, 1]
+
+
 def test_subjects_held_out(spark, data):
     """Fitted on half of the labels, the other half's topic is among the subjects for most articles (labels are partly wrong)."""
     d = data.replace("sf0.001", "sf0.1")
