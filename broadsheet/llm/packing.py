@@ -2,8 +2,8 @@
 
 Documents are spread evenly over groups of a bounded size, and each group is packed on its own, so at most about one
 poorly filled container per group is lost against a global packing. In a group the largest open document
-is completed by the undominated fillings found around it (branch and bound with a waste bound; best fit
-gives the incumbent). A document longer than the capacity is cut into full parts; only its rest is packed."""
+is completed by each of the undominated fillings found around it in turn, bounded by the containers the rest needs
+at least; best fit gives the incumbent. A document longer than the capacity is cut into full parts; only its rest is packed."""
 
 from __future__ import annotations
 
@@ -18,13 +18,14 @@ from broadsheet.runtime import cut
 
 #: Documents of a group, and the nodes a search for one container may visit before it takes its incumbent.
 GROUP_DOCS, NODES = 1500, 300
+#: Fillings branched over per container, and fillings a group's search may try beyond its first descent.
+WIDTH, STEPS = 4, 400
 MAX_TASKS = 10_000
 
 
 def complete(sizes: list[int], room: int, nodes: int = NODES) -> list[int]:
     """Indices into ``sizes`` (ascending) of a filling of at most ``room`` with the least waste found. Fillings are tried
-    from the largest item down; a branch ends when all smaller items cannot beat the incumbent, or when a
-    filling is dominated (a larger unused item would fit in place of the one chosen)."""
+    from the largest item down; a branch ends when all smaller items cannot beat the incumbent."""
     best: list[int] = []
     best_sum = 0
     left, take = room, []  # the incumbent: best fit, largest item that still fits, again and again
@@ -63,21 +64,115 @@ def complete(sizes: list[int], room: int, nodes: int = NODES) -> list[int]:
     return best
 
 
-def pack(items: list[tuple[object, int]], capacity: int) -> list[list[tuple[object, int]]]:
+def fillings(sizes: list[int], room: int, width: int = WIDTH, nodes: int = NODES) -> list[list[int]]:
+    """Undominated fillings of at most ``room``, as indices into ``sizes`` (ascending), least waste first: at most ``width`` of them,
+    the one of ``complete`` always first. A filling is dominated if a larger unused item fits in place of one of its items, or
+    an unused item fits in beside them."""
+    found: dict[tuple[int, ...], list[int]] = {}
+    budget = [nodes]
+
+    def keep(take: list[int], left: int) -> None:
+        used = set(take)
+        for j in [-1, *take]:
+            v = sizes[j] if j >= 0 else 0
+            i = bisect.bisect_right(sizes, v + left) - 1
+            while i >= 0 and sizes[i] > v:
+                if i not in used:
+                    return
+                i -= 1
+        found.setdefault(tuple(sizes[j] for j in take), take)
+
+    def search(hi: int, left: int, take: list[int]) -> None:
+        j = bisect.bisect_right(sizes, left, 0, hi) - 1
+        if j < 0:
+            keep(take, left)
+        while j >= 0 and budget[0] > 0 and len(found) < 4 * width:
+            budget[0] -= 1
+            search(j, left - sizes[j], [*take, j])
+            v = sizes[j]
+            while j >= 0 and sizes[j] == v:
+                j -= 1
+
+    best = complete(sizes, room, nodes)
+    search(len(sizes), room, [])
+    key = tuple(sizes[j] for j in best)
+    others = sorted((f for k, f in found.items() if k != key), key=lambda f: (-sum(sizes[j] for j in f), len(f)))
+    return [best, *others[: width - 1]]
+
+
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """A lower bound of the containers for ``sizes`` (ascending): for each k up to half the capacity, items over capacity - k need one
+    each, those over half of it too, and the rest from k on fill what the latter leave."""
+    n = len(sizes)
+    prefix = [0]
+    for v in sizes:
+        prefix.append(prefix[-1] + v)
+    best = -(-prefix[n] // capacity)
+    half = bisect.bisect_right(sizes, capacity // 2)
+    for k in {v for v in sizes[:half]}:
+        low, big = bisect.bisect_left(sizes, k), bisect.bisect_right(sizes, capacity - k)
+        big = max(big, half)
+        rest = prefix[half] - prefix[low] - ((big - half) * capacity - (prefix[big] - prefix[half]))
+        best = max(best, n - half + max(0, -(-rest // capacity)))
+    return max(best, n - half)
+
+
+def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Best fit decreasing: indices into ``sizes`` (ascending) per container."""
+    boxes: list[list[int]] = []
+    room: list[tuple[int, int]] = []  # (space left, container), ascending
+    for j in range(len(sizes) - 1, -1, -1):
+        at = bisect.bisect_left(room, (sizes[j], -1))
+        if at < len(room):
+            left, n = room.pop(at)
+        else:
+            left, n = capacity, len(boxes)
+            boxes.append([])
+        boxes[n].append(j)
+        bisect.insort(room, (left - sizes[j], n))
+    return boxes
+
+
+def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
+    """Indices into ``sizes`` (ascending, positive) per container. The largest open item is completed by each of its undominated
+    fillings in turn; a branch ends when its containers and the lower bound of the rest are not fewer than the incumbent's.
+    The incumbent is best fit decreasing. The search ends when the lower bound is met, all branches are done, or
+    after ``steps`` fillings beyond the first descent."""
+    best = best_fit(sizes, capacity)
+    bound = least_containers(sizes, capacity)
+    stack: list[tuple[list[int], list[list[int]], bool]] = [(list(range(len(sizes))), [], True)]
+    budget = steps
+    while stack:
+        left, boxes, descent = stack.pop()
+        if not left:
+            if len(boxes) < len(best) or descent and len(boxes) == len(best):
+                best = boxes
+            if len(best) <= bound:
+                break
+            continue
+        if not descent:
+            budget -= 1
+            if budget < 0:
+                break
+        own = [sizes[j] for j in left]
+        if not descent and len(boxes) + least_containers(own, capacity) >= len(best):
+            continue
+        first, rest = left[-1], left[:-1]
+        own.pop()
+        room = capacity - sizes[first]
+        # the first descent is made before any branch; its siblings wait on the stack with their open items
+        ways = fillings(own, room) if len(best) > bound else [complete(own, room)]
+        for n in range(len(ways) - 1, -1, -1):
+            out = set(ways[n])
+            stack.append(([j for i, j in enumerate(rest) if i not in out], [*boxes, [first, *(rest[i] for i in sorted(out, reverse=True))]], descent and n == 0))
+    return best
+
+
+def pack(items: list[tuple[object, int]], capacity: int, steps: int = STEPS) -> list[list[tuple[object, int]]]:
     """Containers of (key, size) items; no size may exceed the capacity, zero sizes go to the first container."""
     zero = [x for x in items if x[1] <= 0]
     order = sorted((x for x in items if x[1] > 0), key=lambda x: (x[1], str(x[0])))
-    sizes = [x[1] for x in order]
-    out = []
-    while order:
-        first = order.pop()
-        sizes.pop()
-        picked = complete(sizes, capacity - first[1])
-        box = [first]
-        for j in sorted(picked, reverse=True):
-            box.append(order.pop(j))
-            sizes.pop(j)
-        out.append(box)
+    out = [[order[j] for j in box] for box in bin_completion([x[1] for x in order], capacity, steps)]
     if zero:
         if not out:
             out.append([])

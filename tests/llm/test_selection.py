@@ -161,6 +161,17 @@ def test_pack():
     assert packing.pack([], 10) == [] and packing.pack([(1, 0)], 10) == [[(1, 0)]]
 
 
+def test_pack_branches():
+    """Here the fullest filling around the largest item costs a container; another one must be tried."""
+    for sizes in ([6, 9, 15, 20, 20, 24, 26, 27, 29], [6, 12, 13, 17, 23, 24, 24, 27, 28], [7, 9, 15, 21, 22, 24, 25, 28, 29]):
+        boxes = packing.pack(list(enumerate(sizes)), 60)
+        assert len(boxes) == packing.least_containers(sizes, 60) == 3 and sorted(x for b in boxes for x in b) == list(enumerate(sizes)) and all(sum(s for _, s in b) <= 60 for b in boxes)
+    for f in packing.fillings([5, 6, 10, 12, 20], 26):
+        left = 26 - sum([5, 6, 10, 12, 20][j] for j in f)
+        assert left >= 0 and not any(v < s <= v + left for v in [0, *([5, 6, 10, 12, 20][j] for j in f)] for i, s in enumerate([5, 6, 10, 12, 20]) if i not in f)
+    assert packing.least_containers([40, 60, 60, 60], 100) == 3 and packing.least_containers([], 100) == 0
+
+
 def test_pack_documents(spark):
     texts = ["", None, "one", "word " * 50, "word " * 700, "a b c", "a b c"]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, tokens string")
