@@ -31,17 +31,17 @@ def nmf(weights: DataFrame, key: str, term: str, weight: str, k: int = 24, round
     spark = weights.sparkSession
     vocabulary = [r[0] for r in weights.select(term).distinct().orderBy(term).collect()]
     place = {t: i for i, t in enumerate(vocabulary)}
-    docs = cut(weights.groupBy(key).agg(F.collect_list(F.struct(F.col(term), F.col(weight).cast("double"))).alias("x")))
+    spot = F.broadcast(spark.createDataFrame(list(place.items()), f"{term} string, _j int"))  # the capped vocabulary
+    cells = weights.join(spot, term).groupBy(key).agg(F.collect_list(F.struct("_j", F.col(weight).cast("double").alias("_v"))).alias("x"))
+    docs = cut(cells.select(key, F.col("x._j").alias("ids"), F.col("x._v").alias("v")))
     rng = np.random.default_rng(seed)
     h = rng.random((k, len(vocabulary))) + 0.1
 
-    def solve(x: list, g: np.ndarray, hm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.array([place[r[0]] for r in x])
-        v = np.array([r[1] for r in x])
+    def solve(ids: np.ndarray, v: np.ndarray, g: np.ndarray, hm: np.ndarray) -> np.ndarray:
         b, w = hm[:, ids] @ v, np.full(k, 1.0 / k)
         for _ in range(inner):
             w = w * b / np.maximum(g @ w, 1e-12)
-        return w, ids, v
+        return w
 
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(h)
@@ -50,8 +50,8 @@ def nmf(weights: DataFrame, key: str, term: str, weight: str, k: int = 24, round
             hm = shared.value
             g, num, den = hm @ hm.T, np.zeros_like(hm), np.zeros((k, k))
             for b in batches:
-                for x in b["x"]:
-                    w, ids, v = solve([tuple(r.values()) for r in x], g, hm)
+                for ids, v in zip(b["ids"], b["v"], strict=True):
+                    w = solve(ids, v, g, hm)
                     num[:, ids] += np.outer(w, v)
                     den += np.outer(w, w)
             a = np.argwhere(num > 0)
@@ -59,7 +59,7 @@ def nmf(weights: DataFrame, key: str, term: str, weight: str, k: int = 24, round
             low = pd.DataFrame({"t": np.repeat(np.arange(k), k), "j": -1 - np.tile(np.arange(k), k), "v": den.reshape(-1)})
             yield pd.concat([top, low])
 
-        got = docs.select("x").mapInPandas(partial, "t int, j int, v double").groupBy("t", "j").agg(F.sum("v").alias("v")).toPandas()
+        got = docs.select("ids", "v").mapInPandas(partial, "t int, j int, v double").groupBy("t", "j").agg(F.sum("v").alias("v")).toPandas()
         num, den = np.zeros_like(h), np.zeros((k, k))
         up = got[got["j"] >= 0]
         num[up["t"], up["j"]] = up["v"]
@@ -74,9 +74,9 @@ def nmf(weights: DataFrame, key: str, term: str, weight: str, k: int = 24, round
         hm = shared.value
         g = hm @ hm.T
         for b in batches:
-            for d, x in zip(b[key], b["x"], strict=True):
-                w, _, _ = solve([tuple(r.values()) for r in x], g, hm)
-                yield pd.DataFrame({key: [d] * k, "topic": np.arange(k), "weight": w})
+            found = [solve(ids, v, g, hm) for ids, v in zip(b["ids"], b["v"], strict=True)]
+            if found:
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), k), "topic": np.tile(np.arange(k), len(b)), "weight": np.concatenate(found)})
 
     kind = weights.schema[key].dataType.simpleString()
     rows = [(t, vocabulary[j], float(h[t, j])) for t in range(k) for j in np.flatnonzero(h[t] > 1e-9).tolist()]
@@ -119,14 +119,14 @@ def topic_stability(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
     return float(c[np.arange(len(c)), m].mean()), m
 
 
-def _fitted(stages: list, train: DataFrame, features: str, target: str, weight: str, reg: float):
-    """A fitted pipeline, or the prevalence if either class is too small."""
+def _fitted(train: DataFrame, features: str, target: str, weight: str, reg: float):
+    """A fitted classifier, or the prevalence if either class is too small."""
     n = train.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q")).first()
     if n.p < MIN_POS or n.q < MIN_POS:
         return n.p / max(n.p + n.q, 1)
     balanced = train.withColumn("_w", F.col(weight) * F.when(F.col(target) == 1, (n.p + n.q) / (2 * n.p)).otherwise((n.p + n.q) / (2 * n.q)))
     lr = LogisticRegression(featuresCol=features, labelCol=target, weightCol="_w", regParam=reg, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    return Pipeline(stages=[*stages, lr]).fit(balanced)
+    return lr.fit(balanced)
 
 
 def _scored(model, df: DataFrame, out: str) -> DataFrame:
@@ -153,15 +153,19 @@ def with_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
 
 
 def crossfit(df: DataFrame, key: str, targets: list[str], stages: Callable[[], list], weight: str | None = None, k: int = 5, seed: int = 0, reg: float = 0.01) -> DataFrame:
-    """``df`` with out-of-fold probabilities p_<target>; the fold is a hash of the key, so it is stable under reordering."""
+    """``df`` with out-of-fold probabilities p_<target>; the fold is a hash of the key, so it is stable under reordering. The
+    features are fitted once per fold and written to the shared folder; all targets read them there."""
     d = df.withColumn("_one", F.col(weight) if weight else F.lit(1.0)).withColumn("_fold", F.floor(uniform(F.col(key), F.lit(seed)) * k).cast("int"))
     out = None
     for fold in range(k):
         train, test = d.where(F.col("_fold") != fold), d.where(F.col("_fold") == fold)
+        made = Pipeline(stages=stages()).fit(train)
+        train = cut(made.transform(train).select("_f", "_one", *targets))
+        test = made.transform(test).select(*d.columns, "_f")
         for t in targets:
-            test = _scored(_fitted(stages(), train, "_f", t, "_one", reg), test, f"p_{t}")
+            test = _scored(_fitted(train, "_f", t, "_one", reg), test, f"p_{t}")
         out = test if out is None else out.unionByName(test)
-    return out.drop("_one", "_fold")
+    return out.drop("_one", "_fold", "_f")
 
 
 def pooled_embeddings(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], out: str = "embedding", batch: int = 64) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.trend import hac_trend
 
-#: The grid of the reference analysis.
+#: The published specification grid.
 GRID = {
     "tier": ["h", "hp", "hpn"],
     "population": ["ner", "ner+pattern"],

@@ -24,6 +24,7 @@ ENTITIES = (
     "n_quotes_name int, n_quotes_pron int, n_direct_name int, quote_chars_name int, agent_verbs array<string>, patient_verbs array<string>, poss_nouns array<string>, "
     "adjs array<string>, first_tok int, rel_pos double, n_ambiguous_dropped int"
 )
+ARTICLE_COUNTS = "article_id string, n_tokens int, n_sents int, n_ner_person int, n_mentions int, n_pattern_mentions int, n_entities int, n_ambiguous_dropped int, n_speech_events int"
 #: Words either side of a mention in which role words are looked for; longest name in tokens.
 WINDOW, MAX_NAME = 10, 6
 
@@ -127,6 +128,7 @@ class Article:
         self.word = [re.sub(r"^\W+|\W+$", "", t.lower()) for t in self.text]
         self.lexicon = lexicon
         self.persons = self._persons()
+        self.n_mentions, self.n_pattern = len(self.persons), sum(p.source == "pattern" for p in self.persons)
         self.entities, self.dropped = self._resolve()
         self.persons = [p for p in self.persons if p.ent >= 0]
         self.owner = {i: p.ent for p in self.persons for i in (*p.titles, *range(p.s, p.e))}
@@ -265,6 +267,22 @@ class Article:
         signs |= {"F" for c in near if self.lemma[c] in L.NOUN_F} | {"M" for c in near if self.lemma[c] in L.NOUN_M}
         return signs.pop() if len(signs) == 1 else None
 
+    def pronouns(self, e: Entity) -> list[str]:
+        return [s for p in e.members if (s := self.pronoun(p))]
+
+    def genders(self) -> list[tuple[str, str, str, str, str, str]]:
+        """(honorific, with pronouns, with pronouns and nouns, source, pronoun signal, noun signal) of each entity."""
+        out = []
+        for e in self.entities:
+            sig, src = majority(self.pronouns(e))
+            ns = {s for p in e.members if (s := self.noun_signal(p))}
+            gn = "CONFLICT" if len(ns) > 1 else next(iter(ns), "UNKNOWN")
+            if e.hclass in "FM":
+                out.append((e.hclass, e.hclass, e.hclass, "honorific", sig, gn))
+            else:
+                out.append(("UNKNOWN", sig, gn if gn in "FM" else sig, src, sig, gn))
+        return out
+
     # -- roles
     def roles_near(self, p: Person) -> set[str]:
         span = (i for i in range(max(0, p.s - WINDOW), min(self.n, p.e + WINDOW)) if not p.s <= i < p.e and self.sent[i] == self.sent[p.s] and self.pos[i] in ("NOUN", "PROPN"))
@@ -369,40 +387,74 @@ def majority(signals: list[str]) -> tuple[str, str]:
     return (top, "pronoun") if 3 * n >= 2 * len(signals) else ("UNKNOWN", "conflict")
 
 
+def article_entities(key: str, a: Article) -> list[tuple]:
+    """The rows of ``ENTITIES`` of one article."""
+    gender = a.genders()
+    said = a.speech([g[1] for g in gender])
+    out = []
+    for k, e in enumerate(a.entities):
+        if not e.members:
+            continue
+        ms = sorted(e.members, key=lambda p: p.s)
+        lang = [a.language(p) for p in ms]
+        names = [q for q in said if q[0] == k and q[1] == "name"]
+        out.append(
+            (
+                key, f"{key}#{k}", max((" ".join(a.text[p.s : p.e]) for p in ms), key=len), e.surname, e.given, e.hclass, len(ms), sum(p.source == "ner" for p in ms), *gender[k],
+                a.pronouns(e).count("F"), a.pronouns(e).count("M"), sorted(set().union(*[a.roles_near(p) for p in ms])), sorted(set().union(*[a.roles_stated(p) for p in ms])),
+                sorted({a.word[t] for p in ms for t in p.titles}), len(names), sum(q[0] == k and q[1] == "pronoun" for q in said), sum(q[2] for q in names), sum(q[3] for q in names),
+                [x for r in lang for x in r[0]], [x for r in lang for x in r[1]], [x for r in lang for x in r[2]], [x for r in lang for x in r[3]],
+                ms[0].s, round(ms[0].s / max(a.n, 1), 4), a.dropped,
+            )
+        )
+    return out
+
+
+def _entity_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.rsplit(" ", 1)[0] for c in ENTITIES.split(", ")])
+
+
 def extract_entities(tokens: DataFrame, lexicon: dict[str, str]) -> DataFrame:
-    """One row per person of each article (schema ``ENTITIES``); ``lexicon`` maps role words to roles. Articles without
-    persons have no row; entities whose mentions were all ambiguous have none either."""
+    """One row per person of each article (schema ``ENTITIES``) of a token table; ``lexicon`` maps role words to roles. Articles
+    without persons have no row; entities whose mentions were all ambiguous have none either. Use ``extract_articles`` where
+    the parser can run in the same pass: then no token is shuffled."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a = Article(rows, lexicon)
-        key = rows["article_id"].iloc[0]
-        pron = [[s for p in e.members if (s := a.pronoun(p))] for e in a.entities]
-        noun = [{s for p in e.members if (s := a.noun_signal(p))} for e in a.entities]
-        gender = []
-        for e, ps, ns in zip(a.entities, pron, noun, strict=True):
-            sig, src = majority(ps)
-            gn = "CONFLICT" if len(ns) > 1 else next(iter(ns), "UNKNOWN")
-            if e.hclass in "FM":
-                gender.append((e.hclass, e.hclass, e.hclass, "honorific", sig, gn))
-            else:
-                gender.append(("UNKNOWN", sig, gn if gn in "FM" else sig, src, sig, gn))
-        said = a.speech([g[1] for g in gender])
-        out = []
-        for k, e in enumerate(a.entities):
-            if not e.members:
-                continue
-            ms = sorted(e.members, key=lambda p: p.s)
-            lang = [a.language(p) for p in ms]
-            names = [q for q in said if q[0] == k and q[1] == "name"]
-            out.append(
-                (
-                    key, f"{key}#{k}", max((" ".join(a.text[p.s : p.e]) for p in ms), key=len), e.surname, e.given, e.hclass, len(ms), sum(p.source == "ner" for p in ms), *gender[k],
-                    pron[k].count("F"), pron[k].count("M"), sorted(set().union(*[a.roles_near(p) for p in ms])), sorted(set().union(*[a.roles_stated(p) for p in ms])),
-                    sorted({a.word[t] for p in ms for t in p.titles}), len(names), sum(q[0] == k and q[1] == "pronoun" for q in said), sum(q[2] for q in names), sum(q[3] for q in names),
-                    [x for r in lang for x in r[0]], [x for r in lang for x in r[1]], [x for r in lang for x in r[2]], [x for r in lang for x in r[3]],
-                    ms[0].s, round(ms[0].s / max(a.n, 1), 4), a.dropped,
-                )
-            )
-        return pd.DataFrame(out, columns=[c.rsplit(" ", 1)[0] for c in ENTITIES.split(", ")])
+        return _entity_frame(article_entities(rows["article_id"].iloc[0], Article(rows, lexicon)))
 
     return tokens.groupBy("article_id").applyInPandas(run, ENTITIES)
+
+
+def extract_articles(docs: DataFrame, load_parser: Callable[[], Callable[[str], list[tuple]]], lexicon: dict[str, str]) -> DataFrame:
+    """Parse docs(article_id, text) and apply the rules in one narrow pass: an article's tokens never leave the task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parse = load_parser()
+        names = [c.split()[0] for c in TOKENS.split(", ")][1:]
+        for b in batches:
+            out: list[tuple] = []
+            for key, text in zip(b["article_id"], b["text"], strict=True):
+                tokens = parse(text or "")
+                if tokens:
+                    out += article_entities(key, Article(pd.DataFrame(tokens, columns=names), lexicon))
+            yield _entity_frame(out)
+
+    return docs.select("article_id", "text").mapInPandas(run, ENTITIES)
+
+
+def article_counts(key: str, a: Article) -> tuple:
+    """The row of ``ARTICLE_COUNTS`` of one article."""
+    said = a.speech([genders[1] for genders in a.genders()])
+    return (
+        key, a.n, len(set(a.sent)), len({s for s, x in zip(a.span, a.label, strict=True) if x == "PERSON" and not pd.isna(s)}), a.n_mentions,
+        a.n_pattern, sum(bool(e.members) for e in a.entities), a.dropped, len(said),
+    )
+
+
+def count_articles(tokens: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+    """One row per article of a token table with the counts of ``ARTICLE_COUNTS``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([article_counts(rows["article_id"].iloc[0], Article(rows, lexicon))], columns=[c.rsplit(" ", 1)[0] for c in ARTICLE_COUNTS.split(", ")])
+
+    return tokens.groupBy("article_id").applyInPandas(run, ARTICLE_COUNTS)

@@ -4,11 +4,15 @@ shuffle of cluster sums and the result does not depend on partitioning."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from broadsheet.functions.values import poisson1, uniform
+from broadsheet.functions.values import poisson1
 from broadsheet.runtime import with_row
 
 
@@ -151,22 +155,29 @@ def tvd(a: DataFrame, b: DataFrame, field: str) -> DataFrame:
     return g.agg((F.sum("d") / 2).alias("tvd"))
 
 
-def tvd_null(df: DataFrame, field: str, key: str, n: int, draws: int = 500, seed: int = 0) -> DataFrame:
-    """(draw, tvd): distance between ``n`` rows drawn without replacement and the rest, per draw. A draw takes the rows
-    whose hash is below the cutoff of its n-th smallest; the cutoffs are found on value counts of fine hash cells."""
-    cells = 4096
-    d = df.select(F.col(field).alias("v"), key).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    d = d.withColumn("u", uniform(F.col(key), F.col("draw"), F.lit(seed))).withColumn("cell", F.floor(F.col("u") * cells))
-    w = Window.partitionBy("draw").orderBy("cell")
-    per = d.groupBy("draw", "cell").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(w))
-    edge = per.where((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n)).select("draw", F.col("cell").alias("edge"), (n - F.col("upto") + F.col("c")).alias("need"))
-    d = d.join(F.broadcast(edge), "draw")
-    inner = d.where("cell = edge").withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy("u", key)))
-    marked = d.where("cell <> edge").select("draw", "v", (F.col("cell") < F.col("edge")).alias("take")).unionAll(inner.select("draw", "v", (F.col("r") <= F.col("need")).alias("take")))
-    g = marked.groupBy("draw", "v").agg(F.count_if("take").alias("a"), F.count_if(~F.col("take")).alias("b"))
-    t = Window.partitionBy("draw")
-    g = g.withColumn("d", F.abs(F.try_divide("a", F.sum("a").over(t)) - F.try_divide("b", F.sum("b").over(t))))
-    return g.groupBy("draw").agg((F.sum("d") / 2).alias("tvd"))
+def tvd_null(df: DataFrame, field: str, n: int, draws: int = 500, seed: int = 0, most: int = 1_000_000) -> DataFrame:
+    """(draw, tvd): distance between ``n`` rows drawn without replacement and the rest, per draw; null is a value of its own.
+
+    The rows are counted once per value; how many of the ``n`` rows fall on each value is then drawn from the multivariate
+    hypergeometric distribution over those counts, which is exact and copies no row. The counts of at most ``most`` values
+    go to every task (eight bytes each); more distinct values are refused. Fewer than ``n`` + 1 rows give null distances."""
+    counts = df.groupBy(field).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col(field).asc_nulls_first()).select("c").limit(most + 1).toPandas()["c"].to_numpy()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} values of {field}")
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        rest = int(c.sum()) - n
+        for b in batches:
+            out = []
+            for d in b["draw"]:
+                took = np.random.default_rng([seed, int(d)]).multivariate_hypergeometric(c, n, method="marginals") if rest > 0 and n > 0 else None
+                out.append(None if took is None else float(np.abs(took / n - (c - took) / rest).sum() / 2))
+            yield pd.DataFrame({"draw": b["draw"], "tvd": pd.array(out, "Float64")})
+
+    return spark.range(draws).withColumnRenamed("id", "draw").mapInPandas(run, "draw long, tvd double")
 
 
 def pooled_share(df: DataFrame, keys: list[str], k: str, n: str) -> DataFrame:

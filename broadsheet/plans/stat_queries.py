@@ -192,7 +192,7 @@ def tvd(spark: SparkSession, d: str) -> DataFrame:
 def tvd_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Null distances of random prefixes of scans, for the sampling audit."""
     s = table(spark, d, "scans").groupBy("scan_id").agg(F.min("lccn").alias("lccn"))
-    return rounded(shares.tvd_null(s, "lccn", "scan_id", 100, 20))
+    return rounded(shares.tvd_null(s, "lccn", 100, 20))
 
 
 @query(S("SELECT section, sum(f) AS k, count(f) AS n, round(sum(f) / count(f), 6) AS share FROM frame GROUP BY 1"))

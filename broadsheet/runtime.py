@@ -22,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Only a session that names none
-    (a local test) gets a fresh temporary folder."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local session that names none (a test) gets a fresh
+    temporary folder; on a cluster, whose executors could not see it, that is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='broadsheet-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='broadsheet-')}"
     sc.setCheckpointDir(folder)
     return folder
 
@@ -116,6 +120,7 @@ def session(app: str = "broadsheet", cores: str | None = None, shuffle: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "6g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # written lineage cuts go when nobody refers to them
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -23,11 +23,15 @@ YES_NO = {"y": "yes", "n": "no", "u": "unsure"}
 
 
 class _Budget(io.RawIOBase):
-    """A byte stream that ends after a number of bytes."""
+    """A byte stream that ends after a number of bytes; ``spent`` tells that it was cut off."""
 
     def __init__(self, raw, limit: int | None):
         self.raw, self.left = raw, limit
 
+    @property
+    def spent(self) -> bool:
+        return self.left is not None and self.left <= 0
+
     def readable(self) -> bool:
         return True
 
@@ -64,7 +68,8 @@ class _TarReader(DataSourceReader):
         else:
             raw = open(partition.path.removeprefix("file://"), "rb")
         with raw:
-            stream = io.BufferedReader(_Budget(raw, self.limit), 1 << 20)
+            budget = _Budget(raw, self.limit)
+            stream = io.BufferedReader(budget, 1 << 20)
             if stream.peek(2)[:2] == b"\x1f\x8b":
                 stream = gzip.GzipFile(fileobj=stream)
             try:
@@ -73,12 +78,14 @@ class _TarReader(DataSourceReader):
                         if m.isfile() and m.name.endswith(self.suffix):
                             yield (partition.path, m.name, tar.extractfile(m).read())
             except (EOFError, tarfile.ReadError, OSError):
-                return  # cut off by the byte budget
+                if not budget.spent:  # a damaged archive or a broken connection is no end of data
+                    raise
 
 
 class TarMembers(DataSource):
     """``spark.read.format("tar_members")``: one partition per archive, streamed member by member, never held whole. Options:
-    path (comma-separated, globs), max_bytes (compressed bytes to read per archive), suffix."""
+    path (comma-separated, globs), max_bytes (compressed bytes to read per archive), suffix. An archive cut off by max_bytes ends
+    quietly; one that is damaged raises."""
 
     @classmethod
     def name(cls):
@@ -131,11 +138,13 @@ def parse_scans(scans: DataFrame, member: str, payload: str, filters: dict | Non
 
 
 def read_articles(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
-    """Articles written as JSON lines by year; only the asked partitions are listed, missing files are skipped."""
+    """Articles written by ``write_jsonl`` by year; only the folders of the asked years are read, missing files are skipped."""
     from broadsheet.sources.schemas import ARTICLE
 
     d = spark.read.schema(ARTICLE).option("ignoreMissingFiles", "true").json(root)
-    return d.where(F.col("year").isin(years)) if years else d
+    if years and "_p" in d.columns:
+        d = d.where(F.col("_p").isin(years))
+    return (d.where(F.col("year").isin(years)) if years else d).drop("_p")
 
 
 def target_years(config: dict, tier: str) -> list[int]:

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.runtime import cut
 
-def write_stage(df: DataFrame, path: str, key: str, by: str | None = "year") -> None:
-    """Parquet of a stage, one folder per partition value, sorted by key in each file."""
-    d = df.repartition(by).sortWithinPartitions(by, key) if by else df.sortWithinPartitions(key)
+
+def write_stage(df: DataFrame, path: str, key: str, by: str | None = "year", files: int = 16) -> None:
+    """Parquet of a stage, one folder per partition value, sorted by key in each file. The rows of a value are spread over up to
+    ``files`` tasks by a hash of the key, so a value with a third of all rows is no single task."""
+    spread = F.pmod(F.xxhash64(key), F.lit(files))
+    d = df.repartition(F.col(by), spread).sortWithinPartitions(by, key) if by else df.sortWithinPartitions(key)
     w = d.write.mode("overwrite")
     (w.partitionBy(by) if by else w).parquet(path)
 
@@ -30,7 +36,8 @@ def content_hash(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not yet in the parquet table; returns their number. A missing table is created."""
+    """Append the rows whose key is not yet in the parquet table; returns their number. A missing table is created. The new rows
+    are written once to the shared folder before they are counted, for the table is read and appended to in one call."""
     spark = df.sparkSession
     try:
         done = spark.read.parquet(path).select(key).distinct()
@@ -38,11 +45,10 @@ def append_missing(df: DataFrame, path: str, key: str) -> int:
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df = df.persist()
+    df = cut(df)
     n = df.count()
     if n:
         df.write.mode("append").parquet(path)
-    df.unpersist()
     return n
 
 
@@ -72,9 +78,27 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files of a folder."""
+    """(path, bytes, sha256) of the files of a folder. Only the listing goes through Spark's reader; the content is hashed in pieces
+    of a megabyte, so a file may be larger than memory."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return d.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        from pyarrow import fs
+
+        for b in batches:
+            digests = []
+            for p in b["path"]:
+                system, name = fs.FileSystem.from_uri(f"file:///{p.removeprefix('file:').lstrip('/')}" if p.startswith("file:") else p)
+                h = hashlib.sha256()
+                with system.open_input_stream(name) as f:
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+                digests.append(h.hexdigest())
+            yield b.assign(sha256=digests)
+
+    return d.select("path", F.col("length").alias("bytes")).mapInPandas(run, "path string, bytes long, sha256 string")
 
 
 def folder_hash(spark: SparkSession, path: str) -> DataFrame:

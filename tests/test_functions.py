@@ -15,8 +15,8 @@ def one(spark, col, **values):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("Miss Bur-\nchard studied\nhome economics", "Miss Burchard studied home economics"),
-        ("Mr.. Frohman said ,,yes'' today", 'Mr. Frohman said "yes" today'),
+        ("Miss Trai-\nvorne taught\nbook keeping", "Miss Traivorne taught book keeping"),
+        ("Dr.. Quaint said ,,no'' twice", 'Dr. Quaint said "no" twice'),
         ("“No,” she said", '"No," she said'),
         ("é-\nà  b", "éà b"),
         ("", ""),
@@ -29,7 +29,7 @@ def test_normalize(spark, raw, want):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("Evening star. [volume] (Washington, D.C.) 1854-1972", "evening star"), ("Evening star.", "evening star"), ("The central record. 18??-current", "the central record"), (None, "")],
+    [("Elmow beacon. [volume] (Elmow, Ia.) 1871-1944", "elmow beacon"), ("Elmow beacon.", "elmow beacon"), ("The Trielville argus. 18??-current", "the trielville argus"), (None, "")],
 )
 def test_title(spark, raw, want):
     assert one(spark, T.title_normalize(F.col("t")), t=raw) == want

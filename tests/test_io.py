@@ -3,6 +3,7 @@ import json
 import tarfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import duplicates, frame, models
@@ -12,7 +13,7 @@ from broadsheet.streaming import articles as streams
 
 def scan(**kw):
     base = {
-        "lccn": {"title": "Evening star. [volume] (Washington, D.C.) 1854-1972", "lccn": "sn1", "state": "DC"}, "edition": {"date": "1930-05-01", "edition": "ed-1"}, "page_number": "na", "scan_url": "u1",
+        "lccn": {"title": "Elmow beacon. [volume] (Elmow, Ia.) 1871-1944", "lccn": "sn1", "state": "IA"}, "edition": {"date": "1930-05-01", "edition": "ed-1"}, "page_number": "na", "scan_url": "u1",
         "bboxes": [{"id": 1, "legibility": "Legible"}, {"id": 2, "legibility": "Illegible"}],
         "full articles": [
             {"object_ids": [1], "article": "x" * 300, "headline": " A  b ", "byline": None, "full_article_id": "1"}, {"object_ids": [2], "article": "y" * 300, "full_article_id": "2"},
@@ -27,7 +28,7 @@ def test_parse_scan(spark):
     got = readers.parse_scans(spark.createDataFrame(rows, "m string, p string"), "m", "p", license_text="CC0").collect()
     assert len(got) == 1
     r = got[0]
-    assert (r.page_number, r.year, r.publication, r.legibility, r.headline, r.n_words, r.license) == (7, 1930, "evening star", "Legible", "A b", 1, "CC0")
+    assert (r.page_number, r.year, r.publication, r.legibility, r.headline, r.n_words, r.license) == (7, 1930, "elmow beacon", "Legible", "A b", 1, "CC0")
     import hashlib
 
     assert r.article_id == "as1-" + hashlib.sha1(b"u1::1").hexdigest()[:16]
@@ -44,6 +45,9 @@ def test_tar_members(spark, tmp_path):
     d = readers.read_tar_members(spark, str(p))
     assert d.count() == 3
     assert readers.read_tar_members(spark, str(p), max_bytes=40).count() == 0
+    (tmp_path / "broken.tar.gz").write_bytes(p.read_bytes()[:60])
+    with pytest.raises(Exception, match=r"EOF|[Ee]nd|truncat"):
+        readers.read_tar_members(spark, f"{tmp_path}/broken.tar.gz").count()
     assert readers.parse_scans(d, "member", "payload").count() == 3
 
 
@@ -61,6 +65,18 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").where("year = 1900").count() == 1
     sinks.write_jsonl(d.drop("x"), f"{tmp_path}/j")
     assert readers.read_articles(spark, f"{tmp_path}/j").where("year = 1903").count() == 1
+    pruned = readers.read_articles(spark, f"{tmp_path}/j", [1903])
+    assert pruned.count() == 1 and "_p" not in pruned.columns and "PartitionFilters: [_p" in pruned._jdf.queryExecution().executedPlan().toString().replace("isnotnull(_p#", "[_p#").replace("[[", "[")
+    sinks.write_csv(d, f"{tmp_path}/c")
+    assert readers.read_table_csv(spark, f"{tmp_path}/c").where("id = '2'").first().t == "b"
+    sinks.write_text(d, f"{tmp_path}/x", F.concat_ws("|", "id", "t"))
+    assert {r.value for r in spark.read.text(f"{tmp_path}/x").collect()} == {"1|a", "2|b"}
+    (tmp_path / "r.jsonl").write_text('{"entity_id": "a", "parse_ok": true}\n\n{"entity_id": "b", "parse_ok": false}\n')
+    assert [r.entity_id for r in readers.read_replies(spark, f"{tmp_path}/r.jsonl", "entity_id string, parse_ok boolean").collect()] == ["a"]
+    import hashlib
+
+    (tmp_path / "big.bin").write_bytes(b"ab" * (1 << 20))
+    assert sinks.file_hashes(spark, str(tmp_path), "big.bin").first().sha256 == hashlib.sha256(b"ab" * (1 << 20)).hexdigest()
     assert sinks.append_missing(d, f"{tmp_path}/p", "id") == 2
     assert sinks.append_missing(d.union(d.select(F.lit(3), "t", "year", "x").limit(1)), f"{tmp_path}/p", "id") == 1
     assert sinks.export_json(d, f"{tmp_path}/r.json") == 2

@@ -98,7 +98,14 @@ def test_hhi_and_tvd(spark):
     d = spark.createDataFrame([(1, "a"), (1, "b")], "y int, g string")
     assert shares.hhi(d, "g", "y").first().hhi == 0.5
     assert shares.tvd(d.where("g = 'a'"), d.where("g = 'b'"), "g").first().tvd == 1
-    assert shares.tvd_null(spark.range(50).selectExpr("id", "id % 5 v"), "v", "id", 10, 4).count() == 4
+    null = [r.tvd for r in shares.tvd_null(spark.range(200).selectExpr("id % 5 v"), "v", 50, 400).collect()]
+    pop = np.repeat(np.arange(5), 40)
+    direct = []
+    for _ in range(400):
+        x = np.bincount(np.random.default_rng(len(direct)).permutation(pop)[:50], minlength=5)
+        direct.append(np.abs(x / 50 - (40 - x) / 150).sum() / 2)
+    assert len(null) == 400 and abs(np.mean(null) - np.mean(direct)) < 0.01 and abs(np.std(null) - np.std(direct)) < 0.01
+    assert shares.tvd_null(d, "g", 2, 3).first().tvd is None and shares.tvd_null(d.limit(0), "g", 2, 3).count() == 3
 
 
 def test_cap(spark):
