@@ -121,6 +121,32 @@ def test_heads_of_any_form(spark):
     assert {(r.article_id, r.piece) for r in got if r.article_id[0] != "b"} == {(f"h{i}", x) for i, x in enumerate(heads)} | {("untitled", "7    THE ELM0W EVENING BEACON")}
 
 
+def test_heads_need_repetition(spark):
+    """Without the names that repeat over the corpus no head is found; bare numbers must continue the article's pages."""
+    text = " ".join(SENT) + ".\n{}\n{}\n" + PROSE
+    heads = ["* * ELMOW EVENING BEACON * *", "PAGE 4.  QUILFIELD, MINN.  1939", "Quilfield, Minnesota, Friday, March 16, 1906", "12    THE QUILFIELD ARGUS"]
+    rows = [(f"h{i}", text.format(heads[i % 4], n), None, ["elmow evening beacon", "quilfield argus"][i % 4 > 0], p) for i, (n, p) in enumerate([("4", 4), ("5", 4), ("44", 4), ("(44)", 4), ("7", None), ("4", "x"), ("Page Four", 9), ("4", 4)])]
+    d = spark.createDataFrame(rows, "article_id string, text string, headline string, publication string, page_number string")
+    got = {(r.article_id, r.kind, r.piece) for r in pagescan.page_traces(d).collect()}
+    assert {x[0] for x in got if x[1] == "header"} == {r[0] for r in rows}
+    assert {(x[0], x[2]) for x in got if x[1] == "folio"} == {("h0", "4"), ("h1", "5"), ("h3", "(44)"), ("h4", "7"), ("h5", "4"), ("h6", "Page Four"), ("h7", "4")}
+    none = pagescan.study_corpus(d, names=spark.createDataFrame([], "name string, kind string"))
+    assert pagescan.page_traces(d, none).where("kind = 'header'").count() == 0
+
+
+def test_rare_words_are_counted(spark):
+    """Breaks are decided by the exact counts of words far below the share of words that are broadcast."""
+    filler = [(f"f{i}", (PROSE + " ") * 40, None, None) for i in range(60)]
+    rows = filler + [("once", PROSE + " A quandlewick and a moss-grown stile.", None, None), ("a", PROSE + " The quandle- wick and the moss- grown wall, the nothing- else wall.", None, None), ("b", "quandle- wick " + PROSE, None, None)]
+    d = spark.createDataFrame(rows, "article_id string, text string, headline string, publication string")
+    c = pagescan.study_corpus(d)
+    assert "quandlewick" not in c.low and len(c.low) < 60
+    got = {(r.article_id, r.piece) for r in pagescan.page_traces(d, c).where("kind = 'break'").collect()}
+    assert got == {("a", "quandlewick"), ("a", "moss-grown"), ("a", "nothingelse"), ("b", "quandlewick")}
+    out = {r.article_id: r for r in pagescan.repair_pages(d, c).collect()}
+    assert out["a"].text == PROSE + " The quandlewick and the moss-grown wall, the nothingelse wall." and len(out) == len(rows)
+
+
 def test_subjects(spark, data):
     topics = {0: ["wheat", "corn", "bushel", "price"], 1: ["inning", "pitcher", "team", "score"], 2: ["bride", "wedding", "veil", "gown"]}
     r = random.Random(0)
