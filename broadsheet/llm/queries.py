@@ -138,8 +138,8 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_messages(spark: SparkSession, d: str) -> DataFrame:
-    """The recurring messages that are residue, with documents and sources."""
-    return residue.message_groups(residue.message_signs(table(spark, d, "documents")))
+    """The messages that are residue, with documents and sources."""
+    return residue.residue_messages(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,16 +1,19 @@
 """Template residue, filler text and error pages.
 
-One narrow pass cuts every whole text into messages (sentences and lines) and masks quotations, proper names, dates,
-numbers and spelled numbers. Messages with any sign of residue (a phrase, a placeholder, pseudo-Latin) leave the pass
-with the hash of their masked form; all others are ordinary text and cannot come out. The hashes are grouped across
-documents and sources: strong phrases and placeholders decide alone, weak phrases only if the message recurs in several
-sources. Quoted phrases are masked first, so a report about an error page is no case. Patterns run in Arrow's RE2, whose
-time does not grow with the number of alternatives."""
+One narrow pass cuts every whole text into messages (sentences and lines), masks quotations, proper names, addresses, dates,
+numbers and spelled numbers, and keeps the hash of every masked message per document. The hashes are grouped across
+documents and sources; then the groups are classified. Rules decide first: a placeholder, a strong phrase or pseudo-Latin
+marks the group wherever it stands, a weak phrase only if the group recurs in several sources. A recurring group without
+any of them is residue if nearly all documents that show it hold a group the rules found (the menu line or the ticket
+number of an error page). Documents with a group of residue come out. Quoted phrases are masked first, so a report about an
+error page is no case. Patterns run in Arrow's RE2, whose time does not grow with the number of alternatives, and once per
+distinct message of a batch."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -65,8 +68,9 @@ STRONG = [
 ]
 #: Weak phrases, which count only in widely recurring or dominating messages.
 WEAK = [r"\b(browser|javascript|(page|web) server|viewer|cookies|settings and refresh|reload|erneut versuchen|servidor|serveur|navigateur|navegador)\b"]
-#: Sources in which a message with a weak phrase must recur.
-MIN_SOURCES = 2
+#: Sources in which a message with a weak phrase, or with none, must recur; different documents that must show one with none, and
+#: the part of them that must hold residue by the rules.
+MIN_SOURCES, MIN_DOCS, COMPANY = 2, 5, 0.8
 #: Syllables of pseudo-Latin filler.
 LATIN = "lor em ip is sum dol or sit am et con sec tet ur ad pis cing el it sed do eius mod temp inc id id unt ut lab ore mag na al iq ua qua en im min ven iam quis nos trud ex er cit at ion ul la co por vel fac nis int ult tem te a o i um us ibus que se cus ius tu ti ta to".split()
 #: Spelled numbers, masked like figures.
@@ -93,8 +97,8 @@ def unquoted(messages: pa.Array) -> pa.Array:
 
 
 def masked(messages: pa.Array) -> pa.Array:
-    """The normalised form of unquoted messages: names N, numbers and dates #, lower case, blanks squeezed."""
-    x = messages
+    """The normalised form of unquoted messages: names N, addresses A, numbers and dates #, lower case, blanks squeezed."""
+    x = pc.replace_substring_regex(messages, r"\b(https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "A")
     for _ in range(2):
         x = pc.replace_substring_regex(x, r"([\pL\pN,;:] )\p{Lu}\p{Ll}+\b", r"\1N")
     x = pc.utf8_lower(x)
@@ -115,9 +119,27 @@ def signs(plain: pa.Array, mask: pa.Array) -> pa.Array:
     return pc.case_when(tests, *kinds)
 
 
-def message_signs(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, hash, message, sign): the messages of all documents that show a sign of residue."""
-    key_type = docs.schema["doc_id"].dataType.simpleString()
+def _classified(plain: pa.Array, mask: pa.Array) -> tuple[np.ndarray, list[str], pa.Array]:
+    """(number of each message's form, distinct masked forms, sign of each message): the rules run once per distinct form."""
+    pairs = pc.dictionary_encode(pc.binary_join_element_wise(plain, mask, "\x00"))
+    first = np.full(len(pairs.dictionary), -1)
+    codes = pairs.indices.to_numpy()
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    at = pa.array(first)
+    sign = signs(plain.take(at), mask.take(at)).take(pairs.indices)
+    forms = pc.dictionary_encode(mask)
+    return forms.indices.to_numpy(), forms.dictionary.to_pylist(), sign
+
+
+MESSAGES = "source string, hashes array<bigint>, signed array<struct<hash:bigint,message:string,sign:string>>"
+
+
+def document_messages(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, hashes, signed): the distinct hashes of all messages of each document, and those that show a sign of residue."""
+    key_type = docs.schema["doc_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(key_type), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("hash", pa.int64()), ("message", pa.string()), ("sign", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -125,35 +147,70 @@ def message_signs(docs: DataFrame) -> DataFrame:
         for b in batches:
             row, raw = cut_messages(b.column(2))
             plain = unquoted(raw)
-            mask = masked(plain)
-            sign = signs(plain, mask)
-            at = pc.indices_nonzero(pc.is_valid(sign))
-            hit = mask.take(at)
-            hashes = pa.array([xxhash.xxh64_intdigest(m) - (1 << 63) for m in hit.to_pylist()], pa.int64())
-            doc = row.take(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), hashes, hit, sign.take(at)], names=["doc_id", "source", "hash", "message", "sign"])
-
-    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {key_type}, source string, hash bigint, message string, sign string")
+            form, texts, sign = _classified(plain, masked(plain))
+            known = [xxhash.xxh64_intdigest(m) - (1 << 63) for m in texts]
+            hashes: list[dict[int, None]] = [{} for _ in range(b.num_rows)]
+            signed: list[dict[tuple, None]] = [{} for _ in range(b.num_rows)]
+            rows = row.to_pylist()
+            for d, f in zip(rows, form.tolist(), strict=True):
+                if texts[f]:
+                    hashes[d][known[f]] = None
+            for at in pc.indices_nonzero(pc.is_valid(sign)).to_pylist():
+                f = form[at]
+                signed[rows[at]][known[f], texts[f], sign[at].as_py()] = None
+            cells = [[dict(zip(("hash", "message", "sign"), x, strict=True)) for x in s] for s in signed]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(h) for h in hashes], kinds[2]), pa.array(cells, kinds[3])], names=["doc_id", "source", "hashes", "signed"])
+
+    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {key_type.simpleString()}, {MESSAGES}")
 
 
 def message_groups(found: DataFrame) -> DataFrame:
-    """One row per normalised message that is residue: hash, message, n_docs, n_sources, kind. Counted per (message, source) first,
-    so a message with a third of all rows is no hot group."""
-    per = found.groupBy("hash", "sign", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("message"))
-    g = per.groupBy("hash", "sign").agg(F.min("message").alias("message"), F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources"))
-    kind = F.when(F.col("sign") != "weak", F.col("sign")).when(F.col("n_sources") >= MIN_SOURCES, "recurring")
-    return g.withColumn("kind", kind).where("kind is not null").select("hash", "message", "n_docs", "n_sources", "kind")
+    """One row per masked message that recurs in the company of residue or shows a sign: hash, n_docs and n_sources (a text counts once
+    per source), n_marked (documents with a placeholder, phrase or filler), kind (null if it is no residue). For a message without
+    a sign copies of a text count once altogether. Counted per (message, source) first, so a message with a third of
+    all documents is no hot group."""
+    sure = F.exists("signed", lambda x: x["sign"] != "weak")
+    one = found.select(F.xxhash64("hashes").alias("copy"), F.coalesce("source", F.lit("")).alias("source"), "hashes", sure.alias("sure"))
+    one = cut(one.groupBy("copy", "source").agg(F.first("hashes").alias("hashes"), F.max("sure").alias("sure")))
+    shown = one.select("copy", "source", "sure", F.explode("hashes").alias("hash"))
+    per = shown.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("m"))
+    groups = cut(per.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources"), F.sum("m").alias("n_marked")).where("n_marked > 0 or n_sources > 1"))
+    own = cut(found.select(F.explode("signed").alias("x")).select("x.hash", "x.sign").distinct().groupBy("hash").agg(F.max(F.when(F.col("sign") != "weak", F.col("sign"))).alias("rule")))
+    many = (F.col("n_sources") >= MIN_SOURCES) & (F.col("n_docs") >= MIN_DOCS) & (F.col("n_marked") >= COMPANY * F.col("n_docs"))
+    ruled = lookup_join(groups, own, ["hash"], "inner")
+    ruled = ruled.withColumn("kind", F.coalesce("rule", F.when(F.col("n_sources") >= MIN_SOURCES, "recurring"))).drop("rule")
+    silent = cut(lookup_join(groups.where(many), own.select("hash"), ["hash"], "left_anti"))
+    texts = lookup_join(shown, silent.select("hash"), ["hash"], "left_semi").groupBy("hash", "copy").agg(F.max("sure").alias("sure"))
+    texts = texts.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.count_if("sure").alias("s"))
+    silent = silent.join(texts, "hash").withColumn("kind", F.when((F.col("c") >= MIN_DOCS) & (F.col("s") >= COMPANY * F.col("c")), "company"))
+    return ruled.unionByName(silent.drop("c", "s"))
 
 
 def flag_residue(docs: DataFrame) -> DataFrame:
-    """(doc_id, kinds): the documents that hold residue, with the sorted kinds placeholder, phrase, filler,
-    recurring. Null texts are clean; columns other than doc_id, source and text are ignored; repeated
-    doc_ids come out once; null doc_ids too."""
-    found = cut(message_signs(docs))
-    recurring = message_groups(found.where("sign = 'weak'")).select("hash").distinct()
-    sure = found.where("sign <> 'weak'").select("doc_id", F.col("sign").alias("kind"))
-    weak = lookup_join(found.where("sign = 'weak'").select("doc_id", "hash"), recurring, ["hash"], "left_semi").select("doc_id", F.lit("recurring").alias("kind"))
-    return sure.unionByName(weak).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    """(doc_id, kinds): the documents that hold a group of residue, with the sorted kinds placeholder, phrase, filler, recurring (a weak
+    phrase in several sources), company (stands nearly always beside residue). Null texts are clean; columns other than
+    doc_id, source and text are ignored; repeated doc_ids come out once; null doc_ids too."""
+    found = cut(document_messages(docs))
+    sure = found.select("doc_id", F.explode("signed").alias("x")).where("x.sign <> 'weak'").select("doc_id", F.col("x.sign").alias("kind"))
+    by_group = message_groups(found).where("kind in ('recurring', 'company')").select("hash", "kind")
+    rest = lookup_join(found.select("doc_id", F.explode("hashes").alias("hash")), cut(by_group), ["hash"], "inner").select("doc_id", "kind")
+    return sure.unionByName(rest).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def residue_messages(docs: DataFrame) -> DataFrame:
+    """Report of all groups of residue: hash, message (its masked form), n_docs, n_sources, n_marked, kind. The forms of the groups found
+    are read from the texts in a second pass."""
+    groups = cut(message_groups(cut(document_messages(docs))).where("kind is not null"))
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            texts = pc.unique(masked(unquoted(cut_messages(b.column(0))[1])))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(m) - (1 << 63) for m in texts.to_pylist()], pa.int64()), texts], names=["hash", "message"])
+
+    named = lookup_join(docs.select("text").mapInArrow(forms, "hash bigint, message string"), groups.select("hash"), ["hash"], "left_semi")
+    return groups.join(named.groupBy("hash").agg(F.min("message").alias("message")), "hash").select("hash", "message", "n_docs", "n_sources", "n_marked", "kind")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

@@ -213,8 +213,8 @@ def test_residue(spark):
     assert sorted(got) == [i for i, (_, w) in cases.items() if w]
     assert {r.doc_id for r in residue.clean_documents(d).collect()} == {i for i, (_, w) in cases.items() if not w}
     assert residue.flag_residue(d.limit(0)).count() == 0
-    g = {r.message: r for r in residue.message_groups(residue.message_signs(d)).collect()}
-    assert g["query timed out after # s."].kind == "phrase"
+    g = {r.message: r for r in residue.residue_messages(d).collect()}
+    assert g["query timed out after # s."].kind == "phrase" and residue.residue_messages(d.limit(0)).count() == 0
 
 
 def test_open_slots(spark):
@@ -232,8 +232,33 @@ def test_weak_messages_need_sources(spark):
     assert residue.flag_residue(one).count() == 0 and residue.flag_residue(two).count() == 4
 
 
+def test_company_of_residue(spark):
+    """A message without any phrase is residue if it recurs over the sources and stands nearly always beside residue."""
+    menu = "Titles | shelves | help for readers"
+    rows = [(i, f"Page not found.\n\nTicket {i} was filed.\n\n{menu}", f"s{i % 3}") for i in range(8)] + [(100 + i, f"{PROSE} {i} men came. The elders voted {i} cents.", f"s{i % 3}") for i in range(8)]
+    rows += [(200, f"Hier fehlt etwas {PROSE[:0]}.\n\n{menu}", "s1"), (300, PROSE + " {{name}} spoke. The elders voted 9 cents.", "s2")]
+    rows += [(400 + i, f"Page not found.\n\nA copied notice stands here.{PROSE[:0]}", "s1") for i in range(9)] + [(450, "A copied notice stands here.", "s2")]  # copies count once
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kinds for r in residue.flag_residue(d).collect()}
+    assert set(got) == {*range(8), 200, 300, *range(400, 409)} and got[200] == ["company"] and got[0] == ["company", "phrase"]
+    lone = d.where("doc_id = 200 or doc_id >= 100 and doc_id < 200")
+    assert residue.flag_residue(lone).count() == 0
+
+
+def test_held_out_phrases(spark, data, monkeypatch):
+    """Without the phrases for missing pages, part of their documents still comes out by the company of their messages."""
+    d = spark.read.parquet(data.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    every = {r.doc_id for r in residue.flag_residue(d).collect()}
+    for gone in (5, 7):
+        left = "|".join(f"(?:{p})" for k, p in enumerate(residue.STRONG) if k != gone)
+        monkeypatch.setattr(residue, "_STRONG", left)
+        rules = {r.doc_id for r in residue.document_messages(d).where(F.exists("signed", lambda x: x["sign"] != "weak")).select("doc_id").collect()}
+        got = {r.doc_id for r in residue.flag_residue(d).collect()}
+        assert rules < got <= every and len(rules) < len(every)
+
+
 def test_masks():
-    x = residue.masked(residue.unquoted(pa.array(['Mr. Amos Bell of Elmow counted 1,204 on May 3 and said "no" to forty-two men.'])))
-    assert x.to_pylist() == ["mr. amos n of n counted # on n # and said q to # men."]
+    x = residue.masked(residue.unquoted(pa.array(['Mr. Amos Bell of Elmow counted 1,204 on May 3 and said "no" to forty-two men at www.elm.org/x or a.b@elm.org.'])))
+    assert x.to_pylist() == ["mr. amos n of n counted # on n # and said q to # men at a or a"]
     row, m = residue.cut_messages(pa.array(["One line\nbroken. Two!\n\nThree", None, ""]))
     assert [v for v in m.to_pylist() if v] == ["One line broken.", "Two!", "Three"]
