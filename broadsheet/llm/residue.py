@@ -131,15 +131,16 @@ def _classified(plain: pa.Array, mask: pa.Array) -> tuple[np.ndarray, list[str],
     return forms.indices.to_numpy(), forms.dictionary.to_pylist(), sign
 
 
-MESSAGES = "source string, hashes array<bigint>, signed array<struct<hash:bigint,message:string,sign:string>>"
+MESSAGES = "source string, copy bigint, hashes array<bigint>, signed array<struct<hash:bigint,message:string,sign:string>>"
 
 
 def document_messages(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, hashes, signed): the distinct hashes of all messages of each document, and those that show a sign of residue."""
+    """(doc_id, source, copy, hashes, signed): a hash of each document's text, the distinct hashes of all its messages, and the messages that
+    show a sign of residue."""
     key_type = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kinds = [to_arrow_type(key_type), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("hash", pa.int64()), ("message", pa.string()), ("sign", pa.string())]))]
+    kinds = [to_arrow_type(key_type), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("hash", pa.int64()), ("message", pa.string()), ("sign", pa.string())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -159,7 +160,8 @@ def document_messages(docs: DataFrame) -> DataFrame:
                 f = form[at]
                 signed[rows[at]][known[f], texts[f], sign[at].as_py()] = None
             cells = [[dict(zip(("hash", "message", "sign"), x, strict=True)) for x in s] for s in signed]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(h) for h in hashes], kinds[2]), pa.array(cells, kinds[3])], names=["doc_id", "source", "hashes", "signed"])
+            copy = [xxhash.xxh64_intdigest(t or "") - (1 << 63) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(copy, kinds[2]), pa.array([list(h) for h in hashes], kinds[3]), pa.array(cells, kinds[4])], names=["doc_id", "source", "copy", "hashes", "signed"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {key_type.simpleString()}, {MESSAGES}")
 
@@ -170,7 +172,7 @@ def message_groups(found: DataFrame) -> DataFrame:
     a sign copies of a text count once altogether. Counted per (message, source) first, so a message with a third of
     all documents is no hot group."""
     sure = F.exists("signed", lambda x: x["sign"] != "weak")
-    one = found.select(F.xxhash64("hashes").alias("copy"), F.coalesce("source", F.lit("")).alias("source"), "hashes", sure.alias("sure"))
+    one = found.select("copy", F.coalesce("source", F.lit("")).alias("source"), "hashes", sure.alias("sure"))
     one = cut(one.groupBy("copy", "source").agg(F.first("hashes").alias("hashes"), F.max("sure").alias("sure")))
     shown = one.select("copy", "source", "sure", F.explode("hashes").alias("hash"))
     per = shown.groupBy("hash", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("m"))
