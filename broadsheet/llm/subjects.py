@@ -6,9 +6,11 @@ only weights the components, so a second subject and wrong labels do not spoil t
 of a topic is the part of its topical words in sentences of that topic.
 
 Chain: one logistic classifier per topic, in order of frequency, over the topic's share, the largest other share,
-structure (number of sentences, share of digits, topical part), the prior of the source and the labels already decided
-with their co-occurrence weights. Its training documents are mixtures of sentences of labelled documents with known shares;
-a topic counts as a subject from a third of the document on. Beam search keeps the most probable label sets."""
+structure (number of sentences, topical part), the prior of the source and the labels already decided
+with their co-occurrence weights. Its training documents are mixtures of sentences of two labelled documents, and their targets
+come from the labels: a label counts from a third of the mixture's topical words on. Documents whose words speak against
+their label are left out, for some labels are wrong. A quarter of the documents is held out of the chain; on mixtures of these
+its log odds are calibrated. Beam search keeps the most probable label sets."""
 
 from __future__ import annotations
 
@@ -28,6 +30,8 @@ from broadsheet.runtime import lookup_join
 MAX_LABELLED, MAX_WORDS, ROUNDS, BEAM, SUBJECT_SHARE = 4000, 20_000, 3, 4, 1 / 3
 #: Pseudo-words by which a component's word table is drawn to that of the corpus.
 SMOOTHING = 3.0
+#: Labelled documents of the chain have at least this share of their label; one of ``HELD_OUT`` of them is kept for calibration.
+PURE, HELD_OUT = 0.75, 4
 #: Part of the sentences that is taken for remarks before anything is known.
 NEUTRAL = 0.6
 #: Least topical words and their least part of the document for it to have a subject at all.
@@ -35,6 +39,8 @@ MIN_TOPICAL, MIN_PART = 0.9, 0.015
 #: A word is solid if it makes up this share of the sample's words (or occurs five times in a small sample); a text is readable if
 #: it has at least ``READABLE`` solid words for each of its words in lower case.
 SOLID_SHARE, READABLE = 5e-5, 0.4
+#: Features of a step of the chain.
+N_FEATURES = 11
 _END = "zzendzz"
 _CHUNK = 2000
 _FUNCTION = {w for ws in COMMON.values() for w in ws}
@@ -70,6 +76,7 @@ class SubjectModel:
     source: dict[str, np.ndarray]
     solid: np.ndarray
     order: np.ndarray  # topics in the order in which the chain was trained and is decoded
+    scale: np.ndarray  # calibrated log odds are scale[0] + scale[1] x log odds
 
 
 def _readable(texts: pa.Array, doc: np.ndarray, seg: np.ndarray, ids: np.ndarray, solid: np.ndarray) -> np.ndarray:
@@ -128,7 +135,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, centre: np.ndarray) -> np
     return w
 
 
-def fit_subjects(labelled: list[tuple[str, int, str]], terms: dict[int, list[str]], seed: int = 5, n_mix: int = 4000) -> SubjectModel:
+def fit_subjects(labelled: list[tuple[str, int, str]], terms: dict[int, list[str]], seed: int = 5, n_mix: int = 12_000) -> SubjectModel:
     """Fit on (text, topic or -1, source) rows and the listed terms of each topic."""
     topics = sorted(terms)
     k = len(topics)
@@ -181,60 +188,85 @@ def fit_subjects(labelled: list[tuple[str, int, str]], terms: dict[int, list[str
     prior = np.full(k + 1, 0.5 / k)
     prior[k] = 0.5
 
-    # mixtures of sentences of two documents with known shares
-    free = _posteriors(logp, prior, seg, ids, n_seg)
-    by_doc = [np.flatnonzero(doc == d) for d in range(len(labelled))] if n_seg else []
-    usable = [d for d in range(len(labelled)) if len(by_doc[d]) >= 3] if by_doc else []
-    src = [s for _, _, s in labelled]
     freq = np.bincount(label[label >= 0], minlength=k) + 1.0
+    src = [s for _, _, s in labelled]
     source: dict[str, np.ndarray] = {}
     for d, s in enumerate(src):
         if label[d] >= 0 and s:
             source.setdefault(s, np.zeros(k))[label[d]] += 1
     base_rate = freq / freq.sum()
     source = {s: np.log((c + 5 * base_rate) / (c.sum() + 5) / base_rate) for s, c in source.items()}
-    rows_share, rows_true, rows_part, rows_seg, rows_prior = [], [], [], [], []
-    for _ in range(n_mix if usable else 0):
-        a, b = rng.choice(usable, 2)
-        f = rng.random() if rng.random() < 0.6 else 1.0
-        pick = np.concatenate([s[rng.random(len(s)) < q] for s, q in ((by_doc[a], f), (by_doc[b], 1 - f))])
-        if len(pick) < 2:
-            continue
-        zero = np.zeros(len(pick), int)
-        sh, top, part = _shares(zero, length[pick], free[pick], 1)
-        true, ttop, _ = _shares(zero, length[pick], post[pick], 1)
-        if ttop[0] < MIN_TOPICAL:
-            continue
-        rows_share.append(sh[0])
-        rows_true.append(true[0] >= SUBJECT_SHARE)
-        rows_part.append(part[0])
-        rows_seg.append(len(pick))
-        rows_prior.append(source.get(src[a], np.zeros(k)))
-    n_feat = 11
+    free = _posteriors(logp, prior, seg, ids, n_seg)
+    mixed = Mixtures(doc, length, free, label, [source.get(s, np.zeros(k)) for s in src], k)
     order = np.argsort(-freq, kind="stable")
-    chain, cooc = np.zeros((k, n_feat)), np.zeros((k, k))
-    start = np.zeros(n_feat)
+    start = np.zeros(N_FEATURES)
     start[[0, 1]] = (-8.0, 24.0)  # without training rows: a subject from a third on
-    if rows_share:
-        share, true = np.array(rows_share), np.array(rows_true)
-        part, nseg, pri = np.array(rows_part), np.array(rows_seg, float), np.array(rows_prior)
-        both = true.astype(float).T @ true + 0.5
-        ones = true.sum(axis=0) + 1.0
-        cooc = np.log(both * len(true) / np.outer(ones, ones)).clip(-3, 3)
-        xs, ys = [], []
-        prev_n, prev_share, prev_co = np.zeros(len(true)), np.zeros(len(true)), np.zeros((len(true), k))
-        for j in order:
-            xs.append(_features(share, j, part, nseg, pri[:, j], prev_n, prev_share, prev_co[:, j]))
-            ys.append(true[:, j].astype(float))
-            prev_n = prev_n + true[:, j]
-            prev_share = prev_share + true[:, j] * share[:, j]
-            prev_co = prev_co + true[:, [j]] * cooc[j]
-        pooled = _logistic(np.concatenate(xs), np.concatenate(ys), 1.0, start)
-        for j, x, y in zip(order, xs, ys, strict=True):
-            chain[j] = _logistic(x, y, 30.0, pooled)
-    else:
-        chain[:] = start
-    return SubjectModel(topics, words, np.vstack([logp, np.zeros(k + 1)]), prior, chain, cooc, source, solid, order)
+    model = SubjectModel(topics, words, np.vstack([logp, np.zeros(k + 1)]), prior, np.tile(start, (k, 1)), np.zeros((k, k)), source, solid, order, np.array([0.0, 1.0]))
+    rows = mixed.draw(mixed.usable[np.arange(len(mixed.usable)) % HELD_OUT > 0], n_mix, rng)
+    if rows is not None:
+        fit_chain(model, *rows, start)
+    held = mixed.draw(mixed.usable[np.arange(len(mixed.usable)) % HELD_OUT == 0], n_mix // 2, rng)
+    if rows is not None and held is not None:
+        z, y = chain_odds(model, *held)
+        model.scale = _logistic(np.stack([np.ones(len(z)), z], axis=1), y, 1.0, model.scale)
+    return model
+
+
+class Mixtures:
+    """Documents made of the sentences of two labelled documents, with the labels that make up a third of their topical words."""
+
+    def __init__(self, doc: np.ndarray, length: np.ndarray, post: np.ndarray, label: np.ndarray, prior: list[np.ndarray], k: int):
+        self.length, self.post, self.label, self.prior, self.k = length, post, label, prior, k
+        self.by_doc = [np.flatnonzero(doc == d) for d in range(len(label))] if len(doc) else []
+        share = _shares(doc, length, post, len(label))[0] if len(doc) else np.zeros((len(label), k))
+        pure = [d for d in range(len(label)) if self.by_doc and label[d] >= 0 and len(self.by_doc[d]) >= 3 and share[d, label[d]] >= PURE]
+        self.usable = np.array(pure, int)
+
+    def draw(self, docs: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, ...] | None:
+        """(shares, labels, topical parts, numbers of sentences, source priors) of up to ``n`` mixtures."""
+        out: list[tuple] = []
+        for _ in range(n if len(docs) else 0):
+            a, b = rng.choice(docs, 2)
+            f = rng.random() if rng.random() < 0.6 else 1.0
+            both = [s[rng.random(len(s)) < q] for s, q in ((self.by_doc[a], f), (self.by_doc[b], 1 - f))]
+            pick = np.concatenate(both)
+            if len(pick) < 2:
+                continue
+            mass = [float((self.length[s] * (1 - self.post[s, -1])).sum()) for s in both]
+            if sum(mass) < MIN_TOPICAL:
+                continue
+            share, _, part = _shares(np.zeros(len(pick), int), self.length[pick], self.post[pick], 1)
+            true = np.zeros(self.k)
+            np.add.at(true, self.label[[a, b]], np.array(mass) / sum(mass))
+            out.append((share[0], true >= SUBJECT_SHARE, part[0], float(len(pick)), self.prior[a]))
+        return tuple(np.array(x) for x in zip(*out, strict=True)) if out else None
+
+
+def _steps(model: SubjectModel, share: np.ndarray, true: np.ndarray, part: np.ndarray, n_seg: np.ndarray, prior: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(topic, features) along the chain, with the true labels of the topics before."""
+    prev_n, prev_share, prev_co = np.zeros(len(true)), np.zeros(len(true)), np.zeros((len(true), len(model.topics)))
+    for j in model.order:
+        yield j, _features(share, j, part, n_seg, prior[:, j], prev_n, prev_share, prev_co[:, j])
+        prev_n = prev_n + true[:, j]
+        prev_share = prev_share + true[:, j] * share[:, j]
+        prev_co = prev_co + true[:, [j]] * model.cooc[j]
+
+
+def fit_chain(model: SubjectModel, share: np.ndarray, true: np.ndarray, part: np.ndarray, n_seg: np.ndarray, prior: np.ndarray, start: np.ndarray) -> None:
+    """Fit co-occurrence weights and one classifier per topic, each drawn to the classifier of all topics together."""
+    both = true.astype(float).T @ true + 0.5
+    ones = true.sum(axis=0) + 1.0
+    model.cooc = np.log(both * len(true) / np.outer(ones, ones)).clip(-3, 3)
+    steps = list(_steps(model, share, true, part, n_seg, prior))
+    pooled = _logistic(np.concatenate([x for _, x in steps]), np.concatenate([true[:, j].astype(float) for j, _ in steps]), 1.0, start)
+    for j, x in steps:
+        model.chain[j] = _logistic(x, true[:, j].astype(float), 30.0, pooled)
+
+
+def chain_odds(model: SubjectModel, share: np.ndarray, true: np.ndarray, part: np.ndarray, n_seg: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds, labels) of all topics of all rows, before calibration."""
+    z, y = zip(*[(x @ model.chain[j], true[:, j].astype(float)) for j, x in _steps(model, share, true, part, n_seg, prior)], strict=True)
+    return np.concatenate(z), np.concatenate(y)
 
 
 def decode(model: SubjectModel, share: np.ndarray, part: np.ndarray, n_seg: np.ndarray, prior: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +279,7 @@ def decode(model: SubjectModel, share: np.ndarray, part: np.ndarray, n_seg: np.n
         w = logp.shape[1]
         base = _features(share, j, part, n_seg, prior[:, j], np.zeros(n), np.zeros(n), np.zeros(n)) @ model.chain[j]
         z = base[:, None] + prev_n * model.chain[j][8] + prev_share * model.chain[j][9] + prev_co[:, :, j] * model.chain[j][10]
+        z = model.scale[0] + model.scale[1] * z
         yes, no = -np.logaddexp(0, -z), -np.logaddexp(0, z)
         logp = np.concatenate([logp + no, logp + yes], axis=1)
         keep = np.argsort(-logp, axis=1, kind="stable")[:, :width]

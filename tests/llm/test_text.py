@@ -189,6 +189,26 @@ def test_chain_order(monkeypatch):
     assert trained == seen == [2, 0, 1]
 
 
+def test_chain_is_calibrated():
+    """On mixtures of documents the chain never saw, its probabilities are as often right as they say; targets are the labels."""
+    import numpy as np
+
+    r = random.Random(3)
+    words = {0: ["wheat", "corn", "bushel", "price"], 1: ["inning", "pitcher", "team", "score"], 2: ["bride", "wedding", "veil", "gown"]}
+    doc = lambda t: ". ".join(" ".join(["the", r.choice(words[t]), "and", r.choice(words[t if r.random() < 0.8 else (t + 1) % 3])]) for _ in range(6)) + "."
+    docs = [(doc(i % 3), i % 3, "p") for i in range(300)]
+    model = subjects.fit_subjects(docs[:200], words)
+    d, length, seg, ids, _ = subjects._segments(pa.array([x[0] for x in docs[200:]]), model.words)
+    post = subjects._posteriors(model.logp, model.prior, seg, ids, len(length))
+    mixed = subjects.Mixtures(d, length, post, np.array([x[1] for x in docs[200:]]), [np.zeros(3)] * 100, 3)
+    rows = mixed.draw(mixed.usable, 1500, np.random.default_rng(1))
+    z, y = subjects.chain_odds(model, *rows)
+    p = 1 / (1 + np.exp(-(model.scale[0] + model.scale[1] * z)))
+    cell = np.minimum((p * 5).astype(int), 4)
+    assert sum(abs(p[cell == c].mean() - y[cell == c].mean()) * (cell == c).mean() for c in range(5) if (cell == c).any()) < 0.05
+    assert (rows[1].sum(axis=1) >= 1).all() and (subjects.decode(model, rows[0], *rows[2:])[0] == rows[1]).mean() > 0.93
+
+
 def test_subjects_held_out(spark, data):
     """Fitted on half of the labels, the other half's topic is among the subjects for most articles (labels are partly wrong)."""
     d = data.replace("sf0.001", "sf0.1")
