@@ -71,11 +71,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Text statistics and failed rules of every article."""
+    """Text statistics of every article and the failed rules of all three sets."""
     s = _statistics(spark, d)
-    per = s.groupBy("article_id").agg(F.min(F.struct(*prose.STATISTICS, "reasons", "is_prose")).alias("x"))
+    per = s.groupBy("article_id").agg(F.min(F.struct(*prose.STATISTICS, *prose.SETS, "is_prose")).alias("x"))
     counts = {c: F.col(c).cast("long") for c in prose.STATISTICS if c.startswith("n_")}
-    return per.select("article_id", "x.*").withColumn("reasons", F.concat_ws(",", "reasons")).withColumns(counts)
+    return per.select("article_id", "x.*").withColumns({c: F.concat_ws(",", c) for c in prose.SETS}).withColumns(counts)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -151,21 +151,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _COMMON_SQL = ", ".join("'" + w + "'" for w in sorted({w for ws in prose.COMMON.values() for w in ws}))
-_R = prose.RULES
+_D, _L, _O = prose.RULES["document"], prose.RULES["line"], prose.RULES["archive"]
+
+
+def _failed(*checks: tuple[str, str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in checks) + "], lambda x: x IS NOT NULL), ',')"
+
+
+_DOCUMENT = _failed(
+    ("no_words", "n_words < 1"), ("stop_words", f"n_words > 0 AND n_stop < {_D['min_stop_words']}"), ("letter_words", f"n_words > 0 AND letter_token_share < {_D['min_letter_words']}::DOUBLE"),
+    ("word_length", f"n_words > 0 AND (mean_word < {_D['min_mean_word']}::DOUBLE OR mean_word > {_D['max_mean_word']}::DOUBLE)"), ("symbols", f"n_words > 0 AND mark_share > {_D['max_symbol_words']}::DOUBLE"),
+    ("bullets", f"n_words > 0 AND bullet_line_share > {_D['max_bullet_lines']}::DOUBLE"), ("ellipses", f"n_words > 0 AND ellipsis_line_share > {_D['max_ellipsis_lines']}::DOUBLE"), ("repetition", f"n_words > 0 AND top_pair_share > {_D['max_top_pair']}::DOUBLE"),
+)
+_LINE = _failed(("punctuation", f"n_words > 0 AND punct_line_share < {_L['min_punct_lines']}::DOUBLE"), ("short_lines", f"n_words > 0 AND short_line_share > {_L['max_short_lines']}::DOUBLE"), ("repeated_lines", f"n_words > 0 AND repeated_line_share > {_L['max_repeated_lines']}::DOUBLE"))
+_ARCHIVE = _failed(
+    ("few_common_words", f"n_words > 0 AND common_share < {_O['min_common_share']}::DOUBLE"), ("rows", f"n_words > 0 AND common_share < {_O['row_common_share']}::DOUBLE AND digit_share > {_O['row_digit_share']}::DOUBLE"),
+    ("symbols", f"n_words > 0 AND symbol_share > {_O['max_symbol_share']}::DOUBLE"), ("few_letters", f"n_words > 0 AND letter_share < {_O['min_letter_share']}::DOUBLE"), ("digits", f"n_words > 0 AND digit_share > {_O['max_digit_share']}::DOUBLE"),
+    ("few_words", f"n_words >= 20 AND n_distinct < sqrt(n_words) * {_O['min_distinct']}::DOUBLE"),
+)
+_STOP = "greatest(" + ", ".join(f"len(list_intersect(w, {ws!r}))" for ws in prose.STOP.values()) + ")"
 _PROSE_SQL = rf"""
 WITH a AS (SELECT DISTINCT article_id, coalesce(text, '') AS t FROM articles WHERE article_id IS NOT NULL),
-b AS (SELECT article_id, t, regexp_extract_all(t, '\p{{L}}+') AS w, list_filter(string_split(t, chr(10)), lambda x: length(trim(x)) > 0) AS l, length(regexp_replace(t, '\s+', '', 'g')) AS dense,
- length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS digits, length(t) - length(regexp_replace(t, '[.,;:''"()?!\-]+', '', 'g')) AS marks FROM a),
-c AS (SELECT *, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS letters, len(w) AS n, len(l) AS nl FROM b),
-s AS (SELECT article_id, length(t) AS n_chars, n AS n_words, letters::DOUBLE / nullif(n, 0) AS mean_word, letters::DOUBLE / nullif(dense, 0) AS letter_share, digits::DOUBLE / nullif(dense, 0) AS digit_share,
+b AS (SELECT article_id, t, regexp_extract_all(lower(t), '\p{{L}}+') AS w, list_filter(string_split(t, chr(10)), lambda x: length(trim(x)) > 0) AS l, length(regexp_replace(t, '\s+', '', 'g')) AS dense,
+ length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS digits, length(t) - length(regexp_replace(t, '[.,;:''"()?!\-]+', '', 'g')) AS marks, len(regexp_extract_all(t, '[^\s]+')) AS nt FROM a),
+c AS (SELECT *, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS letters, len(w) AS n, len(l) AS nl, list_aggregate(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), 'histogram') AS pairs FROM b),
+s AS (SELECT article_id, length(t) AS n_chars, n AS n_words, nt AS n_tokens, {_STOP} AS n_stop, letters::DOUBLE / nullif(n, 0) AS mean_word, len(regexp_extract_all(t, '\p{{L}}[^\s]*'))::DOUBLE / nullif(nt, 0) AS letter_token_share,
+ len(regexp_extract_all(t, '#|\.\.\.|…'))::DOUBLE / nullif(nt, 0) AS mark_share, letters::DOUBLE / nullif(dense, 0) AS letter_share, digits::DOUBLE / nullif(dense, 0) AS digit_share,
  (dense - letters - digits - marks)::DOUBLE / nullif(dense, 0) AS symbol_share, nl AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,"'')]\s*$')))::DOUBLE / nullif(nl, 0) AS punct_line_share,
- len(list_filter(l, lambda x: regexp_matches(x, '^\s*([-*•–—]|[0-9]{{1,3}}[.)]) ')))::DOUBLE / nullif(nl, 0) AS bullet_line_share, len(list_filter(l, lambda x: length(x) < 25))::DOUBLE / nullif(nl, 0) AS short_line_share,
- len(list_filter(w, lambda x: lower(x) IN ({_COMMON_SQL})))::DOUBLE / nullif(n, 0) AS common_share, len(list_filter(w, lambda x: x <> lower(x)))::DOUBLE / nullif(n, 0) AS capital_share, len(list_distinct(w)) AS n_distinct FROM c),
-r AS (SELECT *, array_to_string(list_filter([CASE WHEN n_words < 1 THEN 'no_words' END, CASE WHEN n_words >= 1 AND common_share < {_R["min_common_share"]}::DOUBLE THEN 'few_common_words' END,
- CASE WHEN n_words >= 1 AND common_share < {_R["row_common_share"]}::DOUBLE AND digit_share > {_R["row_digit_share"]}::DOUBLE THEN 'rows' END, CASE WHEN n_words >= 1 AND symbol_share > {_R["max_symbol_share"]}::DOUBLE THEN 'symbols' END,
- CASE WHEN n_words >= 1 AND letter_share < {_R["min_letter_share"]}::DOUBLE THEN 'few_letters' END, CASE WHEN n_words >= 1 AND digit_share > {_R["max_digit_share"]}::DOUBLE THEN 'digits' END,
- CASE WHEN n_words >= 1 AND (mean_word < {_R["min_mean_word"]}::DOUBLE OR mean_word > {_R["max_mean_word"]}::DOUBLE) THEN 'word_length' END, CASE WHEN n_words >= 20 AND n_distinct < sqrt(n_words) * {_R["min_distinct"]}::DOUBLE THEN 'repetition' END,
- CASE WHEN n_words >= 1 AND bullet_line_share > {_R["max_bullet_share"]}::DOUBLE THEN 'bullets' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s)"""
+ len(list_filter(l, lambda x: regexp_matches(x, '^\s*([-*•–—]|[0-9]{{1,3}}[.)]) ')))::DOUBLE / nullif(nl, 0) AS bullet_line_share, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$')))::DOUBLE / nullif(nl, 0) AS ellipsis_line_share,
+ len(list_filter(l, lambda x: length(x) < {prose.SHORT_LINE}))::DOUBLE / nullif(nl, 0) AS short_line_share, (nl - len(list_distinct(l)))::DOUBLE / nullif(nl, 0) AS repeated_line_share,
+ len(list_filter(w, lambda x: x IN ({_COMMON_SQL})))::DOUBLE / nullif(n, 0) AS common_share,
+ coalesce(list_max(list_transform(list_filter(map_entries(pairs), lambda e: e.value >= {prose.PAIR_TIMES}), lambda e: e.value * (length(e.key) - 1))), 0)::DOUBLE / nullif(letters, 0) AS top_pair_share, len(list_distinct(w)) AS n_distinct FROM c),
+r AS (SELECT *, {_DOCUMENT} AS reasons, {_LINE} AS line_reasons, {_ARCHIVE} AS archive_reasons FROM s)"""
 
 SQL: dict[str, str] = {
     "p4_statistics": _PROSE_SQL + " SELECT *, reasons = '' AS is_prose FROM r",
