@@ -2,7 +2,9 @@
 
 An incremental state table holds each contributor's kept records; its cutoff is the order key of the last
 record that still fits. A new batch is first filtered against the cutoffs (most records of a full contributor
-end there), the rest is merged with the kept lists, new cutoffs are found, and displaced records are logged.
+end there), the rest joins the kept lists, new cutoffs are found for the contributors that overflow, and displaced records
+are logged. The state is saved to and loaded from a folder, so the next delivery may be another run. A record is written
+once when it is kept and once when it is displaced; no batch rewrites the lists.
 A contributor is never gathered in one task: positions come from a range-sorted table whose partitions
 split a hot contributor, and only one row per (partition, contributor) is aggregated.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,13 +23,29 @@ from broadsheet.runtime import cut, lookup_join, sorted_parts
 
 @dataclass
 class CapState:
-    """kept(contributor, score, id), cutoffs(contributor, cut_score, cut_id) of full contributors, and
-    displaced(contributor, id), all written to the shared folder."""
+    """log(contributor, score, id): records as they were kept, batch by batch; cutoffs(contributor, cut_score, cut_id) of the
+    contributors that overflowed, by which records of the log no longer count; sizes(contributor, n) of the kept lists;
+    displaced(contributor, id)."""
 
-    kept: DataFrame | None = None
+    log: DataFrame | None = None
     cutoffs: DataFrame | None = None
+    sizes: DataFrame | None = None
     displaced: DataFrame | None = None
 
+    @property
+    def kept(self) -> DataFrame:
+        """(contributor, score, id): the records within the caps."""
+        return self.log if self.cutoffs is None else _within(self.log, self.cutoffs)
+
+    def save(self, path: str) -> None:
+        """Write the state as four parquet tables; the log is written without the records that no longer count."""
+        for name, rows in (("log", self.kept), ("cutoffs", self.cutoffs), ("sizes", self.sizes), ("displaced", self.displaced)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CapState:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("log", "cutoffs", "sizes", "displaced")])
+
 
 def cutoffs(rows: DataFrame, cap: int) -> DataFrame:
     """(contributor, cut_score, cut_id): the key of the cap-th record of every contributor with more than
@@ -47,34 +65,46 @@ def _beyond() -> Column:
     return F.col("cut_score").isNotNull() & ((F.col("score") > F.col("cut_score")) | ((F.col("score") == F.col("cut_score")) & (F.col("id") > F.col("cut_id"))))
 
 
+def _within(rows: DataFrame, cut_at: DataFrame) -> DataFrame:
+    return lookup_join(rows, cut_at, ["contributor"]).where(~_beyond()).select("contributor", "score", "id")
+
+
 def update(state: CapState, batch: DataFrame, cap: int) -> CapState:
     """Merge a batch(contributor, score, id) of new records into the state. A smaller score is better, then the
     smaller id; a null score is the worst. Ids must be unique over all batches, rows without an id are left out; a null
     contributor is never capped and passes through."""
     batch = batch.where("id is not null").select("contributor", F.coalesce(F.col("score").cast("double"), F.lit(float("inf"))).alias("score"), "id")
-    gone = None
+    out = []
     if state.cutoffs is not None:
-        marked = lookup_join(batch, state.cutoffs, ["contributor"]).withColumn("_out", _beyond())
-        gone = marked.where("_out").select("contributor", "id")
-        batch = marked.where("not _out").select("contributor", "score", "id")
-    merged = batch if state.kept is None else state.kept.unionByName(batch)
-    new = cut(cutoffs(merged.where("contributor is not null"), cap))
-    marked = cut(lookup_join(merged, new, ["contributor"]).withColumn("_out", _beyond()).select("contributor", "score", "id", "_out"))
-    if state.cutoffs is not None:  # a full contributor without better records keeps its cutoff
-        new = new.unionByName(state.cutoffs.join(new, "contributor", "left_anti"))
-    out = marked.where("_out").select("contributor", "id")
-    for x in (gone, state.displaced):
-        out = out if x is None else out.unionByName(x)
-    return CapState(marked.where("not _out").drop("_out"), cut(new), cut(out))
-
-
-def cap_contributors(rows: DataFrame, cap: int, batches: int = 3) -> CapState:
+        marked = cut(lookup_join(batch, state.cutoffs, ["contributor"]).select("contributor", "score", "id", _beyond().alias("_out")))
+        out.append(marked.where("_out").select("contributor", "id"))
+        fresh = marked.where("not _out").drop("_out")
+    else:
+        fresh = cut(batch)
+    log = fresh if state.log is None else state.log.unionByName(fresh)
+    came = fresh.where("contributor is not null").groupBy("contributor").agg(F.count(F.lit(1)).alias("came"))
+    sizes = came.withColumn("n", F.lit(0).cast("long")) if state.sizes is None else state.sizes.join(came, "contributor", "full_outer")
+    sizes = cut(sizes.select("contributor", (F.coalesce("n", F.lit(0)) + F.coalesce("came", F.lit(0))).alias("n"), F.coalesce("came", F.lit(0)).alias("came")))
+    # only contributors that overflow now are sorted; their records before this batch are those within the old cutoffs
+    over = sizes.where((F.col("n") > cap) & (F.col("came") > 0)).select("contributor")
+    live = lookup_join(log, over, ["contributor"], "left_semi")
+    live = cut(live if state.cutoffs is None else _within(live, state.cutoffs))
+    new = cut(cutoffs(live, cap))
+    out.append(lookup_join(live, new, ["contributor"]).where(_beyond()).select("contributor", "id"))
+    gone = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    gone = cut(gone)
+    kept_on = new if state.cutoffs is None else cut(new.unionByName(state.cutoffs.join(new, "contributor", "left_anti")))
+    return CapState(log, kept_on, sizes.select("contributor", F.least("n", F.lit(max(cap, 0))).alias("n")), gone if state.displaced is None else state.displaced.unionByName(gone))
+
+
+def cap_contributors(rows: DataFrame, cap: int, batches: int = 3, state: CapState | None = None) -> CapState:
     """Run all batches of rows(contributor, score, id, piece) through the state table. Pieces go in order into
-    ``batches`` runs of about equal size; a null piece counts as the first. Empty input gives empty tables."""
+    ``batches`` runs of about equal size; a null piece counts as the first. Empty input gives empty tables. ``state`` is
+    that of an earlier run with the same cap."""
     rows = rows.withColumn("piece", F.coalesce(F.col("piece").cast("long"), F.lit(-(2**62))))
     edges = rows.agg(F.percentile_approx("piece", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     bounds = [None, *sorted(set(edges or [])), None]
-    state = CapState()
+    state = state or CapState()
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = rows if lo is None else rows.where(F.col("piece") > lo)
         state = update(state, part if hi is None else part.where(F.col("piece") <= hi), cap)

@@ -32,6 +32,21 @@ def test_cap_matches_sort(spark, cap, batches):
     assert {r.id for r in s.kept.collect()} == {r[2] for r in rows} - want
 
 
+def test_state_outlives_the_run(spark, tmp_path):
+    """A run that loads the saved state and gets the rest of the records ends where one run over all records ends."""
+    rows = records()
+    d = spark.createDataFrame(rows, "contributor string, score int, id string, piece int")
+    first, rest = d.where("piece is null or piece < 5"), d.where("piece >= 5")
+    capping.cap_contributors(first, 40, 2).save(f"{tmp_path}/state")
+    again = capping.cap_contributors(rest, 40, 2, capping.CapState.load(spark, f"{tmp_path}/state"))
+    whole = capping.cap_contributors(d, 40, 1)
+    for a, b in ((again.displaced, whole.displaced), (again.kept, whole.kept)):
+        assert sorted(r.id for r in a.collect()) == sorted(r.id for r in b.collect())
+    assert {r.contributor: r.n for r in again.sizes.collect()} == {r["contributor"]: r["count"] for r in whole.kept.where("contributor is not null").groupBy("contributor").count().collect()}
+    again.save(f"{tmp_path}/next")
+    assert capping.CapState.load(spark, f"{tmp_path}/next").kept.count() == whole.kept.count()
+
+
 def test_cap_nulls(spark):
     d = spark.createDataFrame([("a", None, "x", 1), ("a", 5, "y", 2), ("a", 1, None, 1), (None, None, "z", None)], "contributor string, score int, id string, piece int").withColumn("rank", F.lit(1))
     s = capping.cap_contributors(d, 1, 2)
