@@ -9,6 +9,7 @@ shard are disjoint ranges of a permuted block order; inside a shard rows are shu
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,8 +100,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
             if q[s]:
                 ranges.append((s, shard, at, at + q[s]))
                 at += q[s]
-    # block -> shard is one row per block (documents / block_docs): an ordinary join, broadcast only if small
-    blocks = spark.createDataFrame([(s, n) for s, n in top.items()], "source string, n long").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # block -> shard is one row per block (documents / block_docs), numbered through over the listed sources; an ordinary join
+    names, first = list(top), np.cumsum([0, *top.values()])
 
     def place(batches):
         lookup: dict[str, tuple[list[int], list[int]]] = {}
@@ -109,13 +110,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None,
             lookup[s][0].append(lo)
             lookup[s][1].append(shard)
         for b in batches:
-            b["shard"] = 0
+            at = np.searchsorted(first, b["id"].to_numpy(), side="right") - 1
+            b = pd.DataFrame({"source": [names[i] for i in at], "block": b["id"].to_numpy() - first[at], "shard": 0})
             for s, rows in b.groupby("source").groups.items():
                 got = permute(b.loc[rows, "block"].to_numpy(), top[s], seed).astype("int64")
                 b.loc[rows, "shard"] = np.array(lookup[s][1])[np.searchsorted(lookup[s][0], got, side="right") - 1]
             yield b[["source", "block", "shard"]]
 
-    shard_of = blocks.mapInPandas(place, "source string, block long, shard int")
+    shard_of = spark.range(int(first[-1])).mapInPandas(place, "source string, block long, shard int")
     mixed = laid.join(shard_of, ["source", "block"])
     w = Window.partitionBy("shard", "bucket").orderBy("key", "doc_id", "use")
     keyed = mixed.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "use")).withColumn("bucket", F.shiftrightunsigned("key", 54))

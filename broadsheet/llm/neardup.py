@@ -34,6 +34,8 @@ ROWS, BANDS = 4, 32
 CELL_BYTES = 5
 #: Members of a node of the index, members of a cell from which on it is split into blocks of that size.
 FAN_OUT, HOT_CELL = 8, 4000
+#: Rows of sorted cells a task holds at once (about 40 bytes each, and one cell's block pair more), copies of a text paired in a task.
+HELD_ROWS, COPY_BLOCK = 200_000, 2000
 
 _U = np.uint64
 
@@ -227,22 +229,34 @@ def candidate_pairs(prints: DataFrame, threshold: float) -> DataFrame:
     spread = spread.join(prints.select("id", "hi", "lo"), "id")
     bound = bit_bound(threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if table is None or not table.num_rows:
-            return
+    def search(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, cell = table["id"].to_numpy(), table["cell"].to_numpy()
         code = np.stack([table["hi"].to_numpy().view(_U), table["lo"].to_numpy().view(_U)], axis=1)
-        order = np.argsort(cell, kind="stable")
-        ids, cell, code = ids[order], cell[order], code[order]
         for i, j in GrayIndex(cell, code).pairs(bound):
             both = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
             both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
             if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return spread.repartition("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells stream by in order; whole cells are searched as soon as enough rows are held."""
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= HELD_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cell = table["cell"].to_numpy()
+                whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+                yield from search(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+                n -= whole
+        if held:
+            yield from search(pa.Table.from_batches(held))
+
+    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -287,11 +301,12 @@ def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: floa
     return cut(good.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")), cut(classes)
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, label): the smallest node of each connected component of pairs(a, b); star contraction, a written table per round."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each connected component of pairs(a, b); star contraction, a written table per round, until
+    nothing moves. Labels only fall, so it ends; pointer jumping makes the rounds few."""
     edges = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
@@ -300,7 +315,6 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         labels = step.select("node", "label")
         if not moved:
             return labels
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
 def near_duplicate_classes(docs: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -320,5 +334,11 @@ def near_duplicate_pairs(docs: DataFrame, key: str, text: str, k: int, threshold
     pairs, classes = verified_pairs(docs, key, text, k, threshold)
     ca, cb = classes.select(F.col("key").alias("x"), F.col("rep").alias("a")), classes.select(F.col("key").alias("y"), F.col("rep").alias("b"))
     across = pairs.select("a", "b").join(ca, "a").join(cb, "b")
-    inside = classes.select(F.col("key").alias("x"), "rep").join(classes.select(F.col("key").alias("y"), "rep"), "rep").where("x < y")
+    # copies: the pairs of a large class are spread over pairs of blocks
+    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("nb", F.ceil(F.col("n") / COPY_BLOCK).cast("int"))
+    copies = lookup_join(classes, sizes.select("rep", "nb"), ["rep"], "inner").withColumn("xb", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    blocks = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    left = copies.select(F.col("key").alias("x"), "rep", "xb", blocks.alias("yb"))
+    right = copies.select(F.col("key").alias("y"), "rep", F.col("xb").alias("yb"), blocks.alias("xb"))
+    inside = left.join(right, ["rep", "xb", "yb"]).where("x < y")
     return across.select("x", "y").unionByName(inside.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -133,11 +133,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return boxes
 
 
-def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS, nodes: int = NODES) -> list[list[int]]:
     """Indices into ``sizes`` (ascending, positive) per container. The largest open item is completed by each of its undominated
     fillings in turn; a branch ends when its containers and the lower bound of the rest are not fewer than the incumbent's.
     The incumbent is best fit decreasing. The search ends when the lower bound is met, all branches are done, or
-    after ``steps`` fillings beyond the first descent."""
+    after ``steps`` fillings beyond the first descent; ``nodes`` bounds the search for the fillings of one container. Both are the
+    caller's: larger ones search on, and ``packing_report`` gives the gap that is left."""
     best = best_fit(sizes, capacity)
     bound = least_containers(sizes, capacity)
     stack: list[tuple[list[int], list[list[int]], bool]] = [(list(range(len(sizes))), [], True)]
@@ -161,18 +162,18 @@ def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[
         own.pop()
         room = capacity - sizes[first]
         # the first descent is made before any branch; its siblings wait on the stack with their open items
-        ways = fillings(own, room) if len(best) > bound else [complete(own, room)]
+        ways = fillings(own, room, nodes=nodes) if len(best) > bound else [complete(own, room, nodes)]
         for n in range(len(ways) - 1, -1, -1):
             out = set(ways[n])
             stack.append(([j for i, j in enumerate(rest) if i not in out], [*boxes, [first, *(rest[i] for i in sorted(out, reverse=True))]], descent and n == 0))
     return best
 
 
-def pack(items: list[tuple[object, int]], capacity: int, steps: int = STEPS) -> list[list[tuple[object, int]]]:
+def pack(items: list[tuple[object, int]], capacity: int, steps: int = STEPS, nodes: int = NODES) -> list[list[tuple[object, int]]]:
     """Containers of (key, size) items; no size may exceed the capacity, zero sizes go to the first container."""
     zero = [x for x in items if x[1] <= 0]
     order = sorted((x for x in items if x[1] > 0), key=lambda x: (x[1], str(x[0])))
-    out = [[order[j] for j in box] for box in bin_completion([x[1] for x in order], capacity, steps)]
+    out = [[order[j] for j in box] for box in bin_completion([x[1] for x in order], capacity, steps, nodes)]
     if zero:
         if not out:
             out.append([])
@@ -180,10 +181,10 @@ def pack(items: list[tuple[object, int]], capacity: int, steps: int = STEPS) ->
     return out
 
 
-def pack_documents(docs: DataFrame, sizes: DataFrame, path: str = VOCABULARY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, sizes: DataFrame, path: str = VOCABULARY, group_docs: int = GROUP_DOCS, steps: int = STEPS, nodes: int = NODES) -> DataFrame:
     """One row per (size_name, doc_id, part): container_id, tokens, capacity. Every document comes out once per size:
     in one part if it fits, else in full parts and a rest, none of them shared but the rest. Null and empty texts
-    have 0 tokens and take no space. A table of sizes with non-positive capacities gives no rows for them."""
+    have 0 tokens and take no space. ``group_docs``, ``steps`` and ``nodes`` bound the search of a group. A table of sizes with non-positive capacities gives no rows for them."""
     tokens = cut(docs.select("doc_id", token_count(F.col("text"), path).alias("tokens")))
     n = tokens.count()
     groups = max(1, -(-n // group_docs))
@@ -203,7 +204,7 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, path: str = VOCABULARY, gr
                     box += 1
                 if t - full * cap > 0 or full == 0:
                     rest.append(((d, full), t - full * cap))
-            for filled in pack(rest, cap):
+            for filled in pack(rest, cap, steps, nodes):
                 out.extend((name, cap, f"{name}-{g}-{box}", d, part, t) for (d, part), t in filled)
                 box += 1
         return pd.DataFrame(out, columns=["size_name", "capacity", "container_id", "doc_id", "part", "tokens"])
@@ -214,7 +215,8 @@ def pack_documents(docs: DataFrame, sizes: DataFrame, path: str = VOCABULARY, gr
 
 
 def packing_report(packed: DataFrame) -> DataFrame:
-    """Per size: containers, documents, tokens, the tokens' lower bound of containers and the share of unused space."""
+    """Per size: containers, documents, tokens, the tokens' lower bound of containers, the gap to it and the share of unused space."""
     boxes = packed.groupBy("size_name", "capacity", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     agg = boxes.groupBy("size_name", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return agg.withColumn("lower_bound", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+    agg = agg.withColumn("lower_bound", F.ceil(F.col("tokens") / F.col("capacity")))
+    return agg.withColumn("gap", F.col("containers") - F.col("lower_bound")).withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))

@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 from broadsheet.runtime import cut
 
 #: Shortest reference form and largest edit distance by form length.
-MIN_FORM, MAX_K = 6, 4
+MIN_FORM, MAX_K = 1, 4
 #: From this distance on, a title that reads as an abbreviation of exactly one newspaper is taken as such.
 SURE = 3
+#: Letters that an abbreviated word needs for a slip in it to be read over.
+SLIP_LETTERS = 5
 
 #: Usual abbreviations after a place name, lower case.
 STATE_ABBR = (
@@ -62,7 +64,7 @@ def title_variants(raw: Column) -> Column:
     with_place = F.when(F.length(place) > 0, F.concat(s, squeeze(place)))
     half = F.regexp_extract(F.lower(raw), r"^([^()]*?)[.]? \p{L}+( falls| springs| junction)?, *[a-z. ]+\)(\s.*)?$", 1)
     unopened = F.when(F.length(half) > 0, squeeze(half))
-    return F.array_distinct(F.filter(F.array(s, no_first, no_the, with_place, unopened), lambda x: x.isNotNull() & (F.length(x) >= MIN_FORM - 1)))
+    return F.array_distinct(F.filter(F.array(s, no_first, no_the, with_place, unopened), lambda x: x.isNotNull() & (F.length(x) >= MIN_FORM)))
 
 
 def canon_forms(canon: DataFrame) -> DataFrame:
@@ -80,7 +82,8 @@ def canon_forms(canon: DataFrame) -> DataFrame:
 
 
 def _k(length: Column) -> Column:
-    return F.when(length >= 16, MAX_K).when(length >= 12, 3).when(length >= 9, 2).otherwise(1)
+    """Largest edit distance by form length; forms of fewer than six letters must match exactly."""
+    return F.when(length >= 16, MAX_K).when(length >= 12, 3).when(length >= 9, 2).when(length >= 6, 1).otherwise(0)
 
 
 def pigeonhole_pairs(left: DataFrame, forms: DataFrame) -> DataFrame:
@@ -106,17 +109,30 @@ def pigeonhole_pairs(left: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def short_pairs(left: DataFrame, canon: DataFrame) -> DataFrame:
-    """(raw, title_id, publication): titles cut off at the end or with abbreviated words ('thil. herald'). Candidates by
-    equality of the first three letters, verified by a pattern; only titles with a single partner are kept."""
+    """(raw, title_id, publication): titles cut off at the end or with abbreviated words ('thil. herald'). Candidates are all pairs in
+    which some word of the title and some word of the name begin alike, so one slip leaves another word to find it by. They are
+    verified by a pattern or, with two edits in all (two letters that changed places), word by word against the beginnings of the name's words; only
+    titles with a single partner are kept."""
     t = F.regexp_replace(spoken_title(F.col("raw")), r"^(the|ye) ", "")
     t = F.regexp_replace(F.regexp_replace(t, "&", " and "), r"(?<=\p{L})['’](?=\p{L})", "_")  # "rep'r" leaves out letters
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}._ ]", " "), r"\s+", " "))
-    q = left.select("raw", t.alias("t")).distinct().where(F.length("t") >= 8)
+    words = F.filter(F.split("t", r"[ _]+|(?<=\.)"), lambda w: F.length(w) > 0)
+    q = left.select("raw", t.alias("t")).distinct().withColumn("tw", words).where((F.length("t") >= 8) | (F.size("tw") > 1) & (F.length("t") >= 6))
     pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("t"), r"\.$", ""), "_", r"[\\p{L}]*"), r"\.\s*", r"[\\p{L}-]*( \\p{L}+)? ?")
-    q = q.withColumn("pre", F.substring("t", 1, 3)).withColumn("pat", F.concat(F.lit("^"), F.regexp_replace(pattern, " ", "[ -]+"), F.lit(r"[\p{L}-]*( and .*)?$")))
-    c = canon.select("title_id", "publication", F.substring("publication", 1, 3).alias("pre"))
-    hit = q.join(c, "pre").where(F.expr("publication rlike pat") & (F.length("publication") > F.length("t") - 2))
-    return hit.groupBy("raw").agg(F.count(F.lit(1)).alias("n"), F.first("title_id").alias("title_id"), F.first("publication").alias("publication")).where("n = 1").drop("n")
+    q = q.withColumn("pat", F.concat(F.lit("^"), F.regexp_replace(pattern, " ", "[ -]+"), F.lit(r"[\p{L}-]*( and .*)?$")))
+    c = canon.select("title_id", "publication", F.split("publication", "[ -]+").alias("cw"))
+    begin = lambda ws: F.array_distinct(F.filter(F.transform(ws, lambda w: F.substring(F.regexp_replace(w, r"[^\p{L}\p{N}]", ""), 1, 3)), lambda w: F.length(w) == 3))
+    pairs = q.select("raw", F.explode(begin(F.col("tw"))).alias("pre")).join(c.select("title_id", "publication", F.explode(begin(F.col("cw"))).alias("pre")), "pre").select("raw", "title_id", "publication").distinct()
+    hit = pairs.join(q, "raw").withColumn("cw", F.split("publication", "[ -]+"))
+    bare = F.transform("tw", lambda w: F.regexp_replace(w, r"\.$", ""))
+    slips = F.aggregate(F.zip_with(bare, "cw", lambda a, b: F.levenshtein(a, F.substr(b, F.lit(1), F.length(a)))), F.lit(0), lambda n, x: n + x)
+    spelled = (F.size("tw") == F.size("cw")) & (F.size("tw") > 1) & F.coalesce(slips <= 2, F.lit(False)) & F.col("t").contains(".")
+    # letters that are all as they should be go before slips; a short abbreviation with a slip could be anything
+    long = F.forall("tw", lambda w: ~w.endswith(".") | (F.length(w) > SLIP_LETTERS))
+    rank = F.when(F.expr("publication rlike pat") & (F.length("publication") > F.length("t") - 2), 0).when(spelled & long, 1)
+    best = hit.withColumn("rank", rank).where("rank is not null").groupBy("raw", "rank").agg(F.count(F.lit(1)).alias("n"), F.first("title_id").alias("title_id"), F.first("publication").alias("publication"))
+    best = best.groupBy("raw").agg(F.min_by(F.struct("n", "title_id", "publication"), "rank").alias("x"))
+    return best.select("raw", "x.*").where("n = 1").drop("n")
 
 
 def match_titles(values: DataFrame, canon: DataFrame) -> DataFrame:

@@ -15,19 +15,26 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def encoding(path: str = VOCABULARY):
+    with open(path, "rb") as f:
+        return _encoding(f.read())
+
+
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
-    """Tokens of the whole text; 0 for null and empty texts. Special tokens in a text are ordinary text."""
+    """Tokens of the whole text; 0 for null and empty texts. Special tokens in a text are ordinary text. The vocabulary file is read
+    on the driver and sent along (about a megabyte); executors need no copy of it."""
+    with open(path, "rb") as f:
+        vocabulary = f.read()
 
     @F.pandas_udf("long")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoding(path).encode_ordinary
+        encode = _encoding(vocabulary).encode_ordinary
         for s in batches:
             yield pd.Series([len(encode(t)) if t else 0 for t in s], dtype="int64")
 

@@ -64,6 +64,8 @@ def test_near_duplicates(spark, k, t, monkeypatch):
     got = {(r.a, r.b) for r in neardup.near_duplicate_pairs(d, "id", "text", k, t).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and ("s1", "s2") in got
     monkeypatch.setattr(neardup, "HOT_CELL", 2)  # every cell is split into blocks
+    monkeypatch.setattr(neardup, "COPY_BLOCK", 1)
+    monkeypatch.setattr(neardup, "HELD_ROWS", 7)  # and searched in small pieces
     assert {(r.a, r.b) for r in neardup.near_duplicate_pairs(d, "id", "text", k, t).collect()} == got
     classes = {r.id: r for r in neardup.near_duplicate_classes(d, "id", "text", k, t).collect()}
     assert len(classes) == len({i for i, x in rows if i and x})
