@@ -8,6 +8,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.operators import panel
 from broadsheet.operators.trend import hac_trend
 
 #: The published specification grid.
@@ -22,6 +23,9 @@ GRID = {
     "resolution": ["mixed_unknown", "v2_merge"],
 }
 WIDTH = {"year": 1, "bin5": 5, "decade": 10}
+#: The smaller grid of thresholded methods on the application sample, and that of models with absorbed effects.
+METHOD_GRID = {"tier": ["h", "hp"], "population": ["ner"], "dedup": ["keep", "drop_near"], "ocr": ["all", "clean"], "papers": ["all", "excl_evening_star", "capped"], "bins": ["year", "bin5", "decade"], "content": ["all", "news_only"], "resolution": ["mixed_unknown"]}
+EFFECT_GRID = {"tier": ["h", "hp", "hpn"], "papers": ["all", "excl_evening_star", "capped"], "ocr": ["all", "clean"]}
 
 
 def select_spec(df: DataFrame, spec: dict[str, str]) -> DataFrame:
@@ -89,6 +93,32 @@ def multiverse(df: DataFrame, outcomes: dict[tuple[str, str], str], estimands: d
     return yearly.unionByName(binned).join(total, keys)
 
 
+def effect_cells(df: DataFrame, outcomes: dict[str, str], estimands: dict[str, Column], effects: dict[str, list[str]], grid: dict[str, list[str]] = EFFECT_GRID, cluster: str = "publication", centre: int = 1930) -> DataFrame:
+    """(tier, papers, ocr, estimand, adjust, slope_pp_dec, se, ci_lo, ci_hi, p, n, n_clusters): linear models with the absorbed effects of
+    each entry of ``effects`` over the primary population. The frame is aggregated once, to cells of (year, clusters, effects,
+    flags) that are bounded by ``panel.MAX_CELLS``; every model is solved on its part of them."""
+    keys = list(dict.fromkeys(["year", cluster, *(f for fs in effects.values() for f in fs)]))
+    flags = {"ocr_clean": False, "evening_star": False, "in_cap": False}
+    d = df.where(F.coalesce("ner_ok", F.lit(False))).select(
+        *keys, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in flags.items()], *[e.alias(f"e_{i}") for i, e in enumerate(estimands.values())], *[F.col(c).cast("double").alias(f"y_{t}") for t, c in outcomes.items()]
+    )
+    sums = [x for t in outcomes for x in (F.sum(f"y_{t}").alias(f"wy_{t}"), F.count(f"y_{t}").alias(f"n_{t}"))]
+    c = d.groupBy(*keys, *flags, *[f"e_{i}" for i in range(len(estimands))]).agg(*sums).limit(panel.MAX_CELLS + 1).toPandas()
+    if len(c) > panel.MAX_CELLS:
+        raise ValueError(f"more than {panel.MAX_CELLS} cells; use coarser effects")
+    rows = []
+    for tier, papers, ocr in itertools.product(*(grid[k] for k in ("tier", "papers", "ocr"))):
+        keep = {"all": True, "excl_evening_star": ~c["evening_star"], "capped": c["in_cap"]}[papers] & (c["ocr_clean"] | (ocr == "all"))
+        for i, e in enumerate(estimands):
+            part = c[keep & c[f"e_{i}"] & (c[f"n_{tier}"] > 0)]
+            part = part[keys].assign(w=part[f"n_{tier}"].astype(float), wy=part[f"wy_{tier}"], n=part[f"n_{tier}"])
+            part = part.groupby(keys, dropna=False, as_index=False).sum()
+            for name, fe in effects.items():
+                r = panel.lpm_of_cells(part, fe, cluster, "year", centre=centre)
+                rows.append((tier, papers, ocr, e, name, *(r[k] for k in ("slope_pp_dec", "se", "ci_lo", "ci_hi", "p", "n", "n_clusters"))))
+    return df.sparkSession.createDataFrame(rows, "tier string, papers string, ocr string, estimand string, adjust string, slope_pp_dec double, se double, ci_lo double, ci_hi double, p double, n long, n_clusters int")
+
+
 def multiverse_summary(cells: DataFrame, keys: list[str], slope: str = "slope_pp_dec", lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:
     """Per key: n_cells and share_positive over cells with a slope, share_sig_positive and share_sig_negative over all
     cells, slope_min, slope_median, slope_max, sign_survives_all."""

@@ -17,6 +17,8 @@ from broadsheet.functions.stats import t_quantile, t_two_sided
 from broadsheet.runtime import with_row
 
 MAX_CELLS = 2_000_000
+#: Clusters up to which the wild bootstrap goes through all sign vectors.
+EXACT_CLUSTERS = 12
 
 
 def cells(df: DataFrame, y: str, keys: list[str], weight: str | None = None) -> pd.DataFrame:
@@ -60,8 +62,12 @@ def _meat(score: np.ndarray, codes: np.ndarray) -> tuple[float, int]:
 def lpm_trend(df: DataFrame, y: str, fe: list[str] | None = None, cluster: str = "publication", cluster2: str | None = "year", weight: str | None = None, year: str = "year", centre: int = 1930) -> dict:
     """Slope of y on decades in percentage points with absorbed effects and one- or two-way cluster errors; the two-way variance
     is at least either one-way variance, and t has the smaller number of clusters less one degrees of freedom."""
+    return lpm_of_cells(cells(df, y, [year, *(fe or []), cluster, *([cluster2] if cluster2 else [])], weight), fe, cluster, cluster2, year, centre)
+
+
+def lpm_of_cells(c: pd.DataFrame, fe: list[str] | None = None, cluster: str = "publication", cluster2: str | None = "year", year: str = "year", centre: int = 1930) -> dict:
+    """``lpm_trend`` on cells(keys, w, wy, n) that are already there; cells of the same keys may come in several rows."""
     fe = fe or []
-    c = cells(df, y, [year, *fe, cluster, *([cluster2] if cluster2 else [])], weight)
     out = {"fe": "+".join(fe) or "none", "n": int(c["n"].sum()), "slope_pp_dec": None, "se": None, "ci_lo": None, "ci_hi": None, "p": None, "n_clusters": None, "mean_y": None}
     if c.empty:
         return out
@@ -152,7 +158,8 @@ def adjusted_yearly(df: DataFrame, y: str, fe: list[str], year: str = "year", cl
 
 
 def wild_cluster_p(df: DataFrame, y: str, fe: list[str], cluster: str = "year", B: int = 1999, seed: int = 0, year: str = "year", centre: int = 1930) -> dict:
-    """Restricted wild cluster bootstrap with Rademacher signs for a zero slope; only one score and one square per cluster are needed."""
+    """Restricted wild cluster bootstrap with Rademacher signs for a zero slope; only one score and one square per cluster are needed.
+    With at most ``EXACT_CLUSTERS`` clusters all sign vectors are gone through instead of ``B`` random ones, and p is exact."""
     c = cells(df, y, [year, *fe, cluster])
     w = c["w"].to_numpy(float)
     z = absorb(np.stack([c["wy"].to_numpy(float) / w, (c[year].to_numpy(float) - centre) / 10], axis=1), w, [_codes(c[f]) for f in fe])
@@ -165,8 +172,12 @@ def wild_cluster_p(df: DataFrame, y: str, fe: list[str], cluster: str = "year",
         return b / np.sqrt(np.maximum((u * u).sum(axis=-1), 1e-300)) * q.sum()
 
     t0 = float(t_stat(s))
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(B, len(s)))
-    return {"t": t0, "p": float((np.abs(t_stat(signs * s)) >= abs(t0)).mean()), "n_clusters": len(s), "B": B}
+    if len(s) <= EXACT_CLUSTERS:
+        B = 1 << len(s)
+        signs = 1.0 - 2 * ((np.arange(B)[:, None] >> np.arange(len(s))) & 1)
+    else:
+        signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(B, len(s)))
+    return {"t": t0, "p": float((np.abs(t_stat(signs * s)) >= abs(t0) - 1e-9).mean()), "n_clusters": len(s), "B": B}
 
 
 def logit_ame(df: DataFrame, y: str, fe: list[str] | None = None, cluster: str = "publication", year: str = "year", centre: int = 1930) -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from broadsheet.functions import text as T
 from broadsheet.functions import values as V
 from broadsheet.operators import agreement, claims as claim_rules, frame as frames, models, multiverse as mv, panel, ranking, rules, shares, trend
+from broadsheet.plans import model_sql as M
 from broadsheet.plans.bindings import CENTRE, EARLY, FRAME_SQL, LATE, TYPES, frame, topics
 from broadsheet.runtime import cut, table, with_row
 from broadsheet.sources.readers import parse_labels
@@ -109,7 +110,7 @@ def speaker_gap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(shares.speaker_gap(frame(spark, d), "f", "quoted", "article_id", "year"))
 
 
-@query()
+@query(M.speaker_gap(FRAME_SQL, 40))
 def speaker_gap_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(shares.speaker_gap(frame(spark, d), "f", "quoted", "article_id", "year", B=40))
 
@@ -131,7 +132,7 @@ def shift_share(spark: SparkSession, d: str) -> DataFrame:
     return rounded(shares.shift_share(frame(spark, d), "section", "f", "article_id", EARLY, LATE))
 
 
-@query()
+@query(M.shift_share(FRAME_SQL, "publication", 40))
 def shift_share_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(shares.shift_share(frame(spark, d), "publication", "f", "article_id", EARLY, LATE, B=40))
 
@@ -232,7 +233,10 @@ def hac_trend_by_publication(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trend.hac_trend(y, ["publication"], centre=CENTRE))
 
 
-@query()
+_ROLE_YEARLY = "SELECT 'r_' || role AS role, year, count(*)::DOUBLE AS n, sum(f) / count(*) AS share FROM (SELECT role, year, f FROM frame WHERE f IS NOT NULL UNION ALL SELECT 'AUTHORITY', year, f FROM frame WHERE f IS NOT NULL AND authority) GROUP BY 1, 2"
+
+
+@query(M.trend_intervals(FRAME_SQL, _ROLE_YEARLY))
 def hac_trend_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Trends per role with t intervals, p and q values."""
     y = shares.role_trends(frame(spark, d), FLAGS, "f", "article_id")
@@ -252,7 +256,10 @@ def binned_shares(spark: SparkSession, d: str) -> DataFrame:
     return rounded(f.agg(F.avg("year").alias("mid"), F.avg("f").alias("share"), F.count(F.lit(1)).alias("n")))
 
 
-@query()
+_TREND = "round(slope, 6) AS slope_pp_dec, round(se, 6) AS se, round(level, 6) AS level, ny AS n_years FROM hac"
+
+
+@query(M.query(FRAME_SQL, {"y": "SELECT section, year, count(*) AS n, avg(f) AS share FROM frame WHERE f IS NOT NULL GROUP BY 1, 2"} | M.hac("y", ["section"]), f"SELECT section, {_TREND}"))
 def binned_trends(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trend.binned_trend(frame(spark, d), ["section"], "f", 1, centre=CENTRE))
 
@@ -278,26 +285,44 @@ def lpm_trend_plain(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel.lpm_trend_plain(frame(spark, d), "f", "publication", centre=CENTRE))
 
 
-@query()
+_SPECS = [[], ["section"], ["section", "publication"], ["section", "publication", "page_band"]]
+
+
+@query(M.lpm(FRAME_SQL, _SPECS))
 def lpm_trend(spark: SparkSession, d: str) -> DataFrame:
     """Trends with absorbed effects and two-way cluster errors."""
-    return rounded(panel.trend_table(frame(spark, d), "f", [[], ["section"], ["section", "publication"], ["section", "publication", "page_band"]], centre=CENTRE))
+    return rounded(panel.trend_table(frame(spark, d), "f", _SPECS, centre=CENTRE))
 
 
-@query()
+@query(M.adjusted(FRAME_SQL, ["section", "publication"]))
 def adjusted_yearly(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(panel.adjusted_yearly(frame(spark, d), "f", ["section", "publication"], cluster="publication", B=20))
+    return rounded(panel.adjusted_yearly(frame(spark, d), "f", ["section", "publication"]))
 
 
 @query()
+def adjusted_yearly_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(panel.adjusted_yearly(frame(spark, d), "f", ["section", "publication"], cluster="publication", B=20))
+
+
+@query(M.wild(FRAME_SQL))
 def wild_cluster(spark: SparkSession, d: str) -> DataFrame:
     r = panel.wild_cluster_p(frame(spark, d), "f", ["section"], centre=CENTRE)
-    return spark.createDataFrame([(round(r["t"], 6), r["p"], r["n_clusters"], r["B"])], "t double, p double, n_clusters int, B int")
+    return spark.createDataFrame([(round(r["t"], 6), round(r["p"], 6), r["n_clusters"], r["B"])], "t double, p double, n_clusters int, B int")
 
 
-@query()
+@query(M.logit(FRAME_SQL))
 def logit_ame(spark: SparkSession, d: str) -> DataFrame:
-    r = panel.logit_ame(frame(spark, d), "f", ["section"], centre=CENTRE)
+    return _logit(spark, d, [])
+
+
+@query()
+def logit_ame_topics(spark: SparkSession, d: str) -> DataFrame:
+    """With dummies for the sections."""
+    return _logit(spark, d, ["section"])
+
+
+def _logit(spark: SparkSession, d: str, fe: list[str]) -> DataFrame:
+    r = panel.logit_ame(frame(spark, d), "f", fe, centre=CENTRE)
     return rounded(spark.createDataFrame([(float(r["ame_pp_dec"]), float(r["se"]), r["n"], r["n_clusters"])], "ame_pp_dec double, se double, n long, n_clusters int"))
 
 
@@ -334,17 +359,60 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return trend.with_t_interval(m, "n_years")
 
 
-@query()
+def _grid_frame(spark: SparkSession, d: str) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """The frame of the full grid (see ``model_sql.GRID_FRAME``) and its outcomes by tier and resolution."""
+    f = frame(spark, d).withColumn("year", 1900 + 9 * (F.col("year") - 1995))
+    tiers = {"h": F.when(F.col("weight") % 2 == 0, F.col("f")), "hp": F.col("f"), "hpn": F.coalesce("f", F.when(F.col("weight") % 3 == 0, F.lit(1.0)))}
+    f = f.withColumns({f"y_{t}": c for t, c in tiers.items()} | {f"y_{t}_v2": F.when(F.col("quoted"), c) for t, c in tiers.items()})
+    return f, {(t, r): f"y_{t}" + ("_v2" if r == "v2_merge" else "") for t in tiers for r in mv.GRID["resolution"]}
+
+
+_ESTIMANDS = {"female_share": F.lit, "authority_share@A": ["ECONOMY", "PROMO"], "authority_share@B": ["ECONOMY", "PROMO", "SMALL"], "civic_share@A": ["STANDARD"], "civic_share@B": ["MEDIUM", "STANDARD"]}
+
+
+def _estimands() -> dict:
+    return {k: F.lit(True) if callable(v) else F.col("role").isin(v) for k, v in _ESTIMANDS.items()}
+
+
+def _full_cells(spark: SparkSession, d: str) -> DataFrame:
+    f, outcomes = _grid_frame(spark, d)
+    return trend.with_t_interval(mv.multiverse(f, outcomes, _estimands(), mv.GRID), "n_years")
+
+
+@query(M.multiverse(FRAME_SQL, mv.GRID, M.ESTIMANDS))
 def multiverse_cells(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_cells(spark, d))
+    """The whole aggregate grid: 864 specifications of five estimands."""
+    return rounded(_full_cells(spark, d))
+
+
+@query(M.multiverse(FRAME_SQL, mv.METHOD_GRID, M.METHODS))
+def multiverse_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of thresholded methods: 144 specifications of eight method flags."""
+    f, outcomes = _grid_frame(spark, d)
+    score = {"C": F.col("weight"), "D": (F.col("weight") * 7) % 50}
+    flags = {f"authority_share@{m}{t}": V.over(c / 50.0, t) for m, c in score.items() for t in (0.3, 0.5, 0.7)}
+    flags |= {"authority_share@A(app)": _estimands()["authority_share@A"], "authority_share@B(app)": _estimands()["authority_share@B"]}
+    grid = mv.METHOD_GRID
+    outcomes = {k: c for k, c in outcomes.items() if k[0] in grid["tier"] and k[1] in grid["resolution"]}
+    return rounded(trend.with_t_interval(mv.multiverse(f, outcomes, flags, grid), "n_years"))
 
 
 @query()
+def multiverse_effects(spark: SparkSession, d: str) -> DataFrame:
+    """The 72 models with and without absorbed effects."""
+    f, outcomes = _grid_frame(spark, d)
+    e = _estimands()
+    return rounded(mv.effect_cells(f, {t: outcomes[t, "mixed_unknown"] for t in ("h", "hp", "hpn")}, {k: e[k] for k in ("female_share", "authority_share@B")}, {"none": [], "topic+paper": ["section", "publication"]}))
+
+
+_BY = [["estimand"], ["estimand", "resolution"], ["estimand", "tier"], ["estimand", "papers"]]
+
+
+@query(M.multiverse_summary(FRAME_SQL, mv.GRID, M.ESTIMANDS, _BY))
 def multiverse_summary(spark: SparkSession, d: str) -> DataFrame:
-    c = cut(_cells(spark, d))
-    keys = [["estimand"], ["estimand", "papers"], ["estimand", "resolution"]]
+    c = cut(_full_cells(spark, d))
     out = None
-    for k in keys:
+    for k in _BY:
         s = mv.multiverse_summary(c, k).withColumn("by", F.lit("+".join(k)))
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
     return rounded(out)
@@ -417,7 +485,16 @@ def pairwise_kappa(spark: SparkSession, d: str) -> DataFrame:
     return rounded(agreement.pairwise_kappa(frame(spark, d), ["quoted", "ocr_clean", "in_cap"], ["year"]))
 
 
-@query()
+_PAIRS = "(SELECT 'quoted-ocr_clean' AS pair, year, quoted AS a, ocr_clean AS b FROM frame UNION ALL SELECT 'quoted-in_cap', year, quoted, in_cap FROM frame UNION ALL SELECT 'ocr_clean-in_cap', year, ocr_clean, in_cap FROM frame)"
+
+
+@query(
+    M.query(
+        FRAME_SQL,
+        {"y": f"SELECT pair, year, n, (po - pe) / (1 - pe) AS share FROM (SELECT pair, year, avg((a = b)::INT) AS po, count(*) AS n, avg(a::INT) * avg(b::INT) + (1 - avg(a::INT)) * (1 - avg(b::INT)) AS pe FROM {_PAIRS} GROUP BY pair, year)"} | M.hac("y", ["pair"]),
+        "SELECT pair, round(slope / 100, 6) AS slope_per_decade, round(se / 100, 6) AS se, ny AS n_years FROM hac",
+    )
+)
 def kappa_trend(spark: SparkSession, d: str) -> DataFrame:
     k = agreement.pairwise_kappa(frame(spark, d), ["quoted", "ocr_clean", "in_cap"], ["year"])
     t = trend.hac_trend(k, ["pair"], "kappa", "n", centre=CENTRE)

@@ -9,6 +9,7 @@ from broadsheet.functions import text as T
 from broadsheet.functions import values as V
 from broadsheet.operators import duplicates, ranking, rules, words
 from broadsheet.operators.trend import bh_fdr, with_normal_p
+from broadsheet.plans import model_sql as M
 from broadsheet.plans.bindings import articles, topics
 from broadsheet.runtime import cut, table
 from broadsheet.sources.readers import member_metadata, parse_scans
@@ -141,12 +142,19 @@ def dictionary_rate(spark: SparkSession, d: str) -> DataFrame:
     return r.select("article_id", F.round("dict_rate", 6).alias("dict_rate"), "dict_ntok")
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT scan_id, date, list_transform(bboxes, lambda b: b.id) AS ids, list_transform(bboxes, lambda b: coalesce(b.legibility, 'NA')) AS marks FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY arrived_at, member_name) AS r FROM scans) WHERE r = 1),
+m AS (SELECT scan_id, CASE WHEN length(date) >= 10 AND regexp_matches(date, '^[0-9]{{4}}') THEN TRY_CAST(substring(date, 1, 4) AS INTEGER) END AS year, list_transform([1, 2], lambda i: coalesce(list_last(list_filter(list_zip(ids, marks), lambda z: z[1] = i))[2], 'NA')) AS l FROM s),
+a AS (SELECT scan_id, article_id, regexp_replace(min(coalesce(text, '')), '^{WS}+|{WS}+$', '', 'g') AS t FROM articles GROUP BY 1, 2),
+j AS (SELECT year, CASE WHEN list_contains(l, 'Illegible') THEN 'Illegible' WHEN list_contains(l, 'Questionable') THEN 'Questionable' WHEN list_contains(l, 'Legible') THEN 'Legible' ELSE 'NA' END AS legibility, length(t) AS n, trim(regexp_replace(t, '{WS}+', ' ', 'g')) AS u FROM a JOIN m USING (scan_id) WHERE year IS NOT NULL)
+SELECT year, legibility, count(*) AS n_articles, sum(n)::BIGINT AS chars, sum(len(string_split(u, ' ')))::BIGINT AS words FROM j WHERE n BETWEEN 200 AND 20000 AND legibility <> 'Illegible' GROUP BY 1, 2"""
+)
 def parsed_scans(spark: SparkSession, d: str) -> DataFrame:
-    """Scans rebuilt as JSON from their rows and parsed again, with the documents of the same number as articles."""
-    s = table(spark, d, "scans").groupBy("scan_id").agg(F.min(F.struct("member_name", "title", "lccn", "state", "date", "edition", "page_number", "scan_url", "bboxes")).alias("r")).select("scan_id", "r.*")
-    a = table(spark, d, "articles").groupBy("scan_id", "article_id").agg(F.min(F.struct("text", "headline", "byline")).alias("a"))
-    arts = a.groupBy("scan_id").agg(F.collect_list(F.struct(F.array(F.lit(1), F.lit(2)).alias("object_ids"), F.col("a.text").alias("article"), F.col("a.headline").alias("headline"), F.col("a.byline").alias("byline"), F.col("article_id").alias("full_article_id"))).alias("x"))
+    """Scans rebuilt as JSON from their rows (the first to arrive) and parsed again with the articles of the scan."""
+    row = F.struct("member_name", "title", "lccn", "state", "date", "edition", "page_number", "scan_url", "bboxes")
+    s = table(spark, d, "scans").groupBy("scan_id").agg(F.min_by(row, F.struct("arrived_at", "member_name")).alias("r")).select("scan_id", "r.*")
+    a = table(spark, d, "articles").groupBy("scan_id", "article_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("headline").alias("headline"), F.min("byline").alias("byline"))
+    arts = a.groupBy("scan_id").agg(F.collect_list(F.struct(F.array(F.lit(1), F.lit(2)).alias("object_ids"), F.col("text").alias("article"), "headline", "byline", F.col("article_id").alias("full_article_id"))).alias("x"))
     j = s.join(arts, "scan_id").select(
         "member_name",
         F.to_json(F.struct(F.struct("title", "lccn", "state").alias("lccn"), F.struct("date", "edition").alias("edition"), "page_number", "scan_url", "bboxes", F.col("x").alias("full articles"))).alias("payload"),
@@ -230,10 +238,15 @@ def log_odds_pooled(spark: SparkSession, d: str) -> DataFrame:
     return r.select("word", "n", F.round("delta", 6).alias("delta"), F.round("z", 6).alias("z"))
 
 
-@query()
+@query(
+    f"WITH {_COUNTS}, {_LO}, pl AS (SELECT word, sum(n_a + n_b) AS n, sum(delta / var) / sum(1 / var) AS delta, sum(delta / var) / sum(1 / var) * sqrt(sum(1 / var)) AS z FROM lo WHERE st IN (SELECT st FROM t WHERE ta >= 200 AND tb >= 200) GROUP BY 1 HAVING sum(n_a + n_b) >= 25), "
+    f"pp AS (SELECT *, {M.normal_p('z')} AS p FROM pl), r AS (SELECT *, row_number() OVER (ORDER BY p, abs(z) DESC) AS r, count(*) OVER () AS m FROM pp) "
+    "SELECT word, n, round(delta, 6) AS delta, round(z, 6) AS z, round(p, 6) AS p, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r"
+)
 def log_odds_significance(spark: SparkSession, d: str) -> DataFrame:
     """Pooled log-odds with normal p-values and false-discovery control."""
-    return bh_fdr(with_normal_p(words.pooled_log_odds(_counts(spark, d), "a", "b", "st")), "p")
+    r = bh_fdr(with_normal_p(words.pooled_log_odds(_counts(spark, d), "a", "b", "st")), "p")
+    return r.select("word", "n", *[F.round(c, 6).alias(c) for c in ("delta", "z", "p", "q")])
 
 
 @query(
