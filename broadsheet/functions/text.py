@@ -117,7 +117,7 @@ def quote_length(c: Column) -> Column:
 def context_window(text: Column, start: Column, end: Column, pad: int = 160) -> Column:
     """struct(ctx, from_char): the text from ``pad`` characters before ``start`` to ``pad`` after ``end``, widened to blanks."""
     a, b = F.greatest(start - pad, F.lit(0)), F.least(end + pad, F.length(text))
-    head = F.regexp_extract(F.substring(text, F.lit(1), a), r"[^\s]*$", 0)
+    head = F.regexp_extract(F.substring(text, F.lit(1), a), r"[^\s]*\z", 0)
     tail = F.regexp_extract(F.substr(text, b + 1), r"^[^\s]*", 0)
     return F.struct(F.concat(head, F.substr(text, a + 1, b - a), tail).alias("ctx"), (a - F.length(head)).alias("from_char"))
 

@@ -44,6 +44,27 @@ class _Budget(io.RawIOBase):
         return len(data)
 
 
+def _local(path: str) -> str | None:
+    """The local name of a path without a scheme or with the scheme of files, else None."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return None if "://" in path else path
+
+
+def _open(path: str):
+    """A byte stream of a local file, a web address or a path of a file system that Arrow knows."""
+    if (name := _local(path)) is not None:
+        return open(name, "rb")
+    if path.startswith(("http://", "https://")):
+        import urllib.request
+
+        return urllib.request.urlopen(path, timeout=60)  # noqa: S310
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(name, compression=None)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -58,16 +79,13 @@ class _TarReader(DataSourceReader):
     def partitions(self):
         import glob
 
-        return [_File(f) for p in self.paths for f in (sorted(glob.glob(p)) if "://" not in p else [p])]
+        found = [f for p in self.paths for f in (sorted(glob.glob(name)) if (name := _local(p)) is not None else [p])]
+        if not found:
+            raise FileNotFoundError(f"no archive matches {', '.join(self.paths)}")
+        return [_File(f) for f in found]
 
     def read(self, partition):
-        if "://" in partition.path and not partition.path.startswith("file://"):
-            import urllib.request
-
-            raw = urllib.request.urlopen(partition.path, timeout=60)  # noqa: S310
-        else:
-            raw = open(partition.path.removeprefix("file://"), "rb")
-        with raw:
+        with _open(partition.path) as raw:
             budget = _Budget(raw, self.limit)
             stream = io.BufferedReader(budget, 1 << 20)
             if stream.peek(2)[:2] == b"\x1f\x8b":
