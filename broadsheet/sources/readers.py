@@ -79,7 +79,7 @@ class _TarReader(DataSourceReader):
     def partitions(self):
         import glob
 
-        found = [f for p in self.paths for f in (sorted(glob.glob(name)) if (name := _local(p)) is not None else [p])]
+        found = [f for p in self.paths for f in ([p] if _local(p) is None else sorted(glob.glob(_local(p))))]
         if not found:
             raise FileNotFoundError(f"no archive matches {', '.join(self.paths)}")
         return [_File(f) for f in found]
