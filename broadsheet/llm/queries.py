@@ -184,7 +184,44 @@ s AS (SELECT article_id, length(t) AS n_chars, n AS n_words, nt AS n_tokens, {_S
  coalesce(list_max(list_transform(list_filter(map_entries(pairs), lambda e: e.value >= {prose.PAIR_TIMES}), lambda e: e.value * (length(e.key) - 1))), 0)::DOUBLE / nullif(letters, 0) AS top_pair_share, len(list_distinct(w)) AS n_distinct FROM c),
 r AS (SELECT *, {_DOCUMENT} AS reasons, {_LINE} AS line_reasons, {_ARCHIVE} AS archive_reasons FROM s)"""
 
+
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_BLANK = r"[\s\x{85}\p{Z}]"
+_N = len(residue.MASKS)
+_RESIDUE_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents), "
+    + "c AS (SELECT *, string_split_regex(regexp_replace("
+    + f"regexp_replace(regexp_replace(t, {_re(residue.LINE_END)}, '\\1 \\2', 'g'), {_re(residue.LINE_END)}, '\\1 \\2', 'g'), {_re(residue.SENTENCE_END)}, '\\1' || chr(10), 'g'), '\\n+') AS m FROM d), "
+    + f"r AS (SELECT doc_id, source, t, regexp_replace(u, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS u FROM (SELECT doc_id, source, t, unnest(m) AS u FROM c)), "
+    + f"p AS (SELECT *, regexp_replace(u, {_re(residue.QUOTED)}, ' Q ', 'g') AS x0 FROM r), "
+    + ", ".join(f"k{i} AS (SELECT *, " + (f"lower(x{i})" if m is None else f"regexp_replace(x{i}, {_re(m[0])}, {_re(m[1])}, 'g')") + f" AS x{i + 1} FROM {'p' if i == 0 else f'k{i - 1}'})" for i, m in enumerate(residue.MASKS))
+    + f", f AS (SELECT doc_id, source, t, x0 AS plain, regexp_replace(x{_N}, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS message FROM k{_N - 1}), "
+    + f"v AS (SELECT DISTINCT plain, message, len(regexp_extract_all(message, {_re(residue.LONG_WORD)})) AS nw, len(regexp_extract_all(message, {_re(residue._LATIN)})) AS nl FROM f), "
+    + f"q AS (SELECT plain, message, CASE WHEN regexp_matches(plain, {_re(residue._HOLDER)}) THEN 'placeholder' WHEN regexp_matches(message, {_re(residue._STRONG)}) THEN 'phrase' WHEN nw >= 4 AND nl >= 0.85::DOUBLE * nw THEN 'filler' WHEN regexp_matches(message, {_re(residue._WEAK)}) THEN 'weak' END AS sign FROM v), "
+    + "s AS (SELECT f.doc_id, f.source, f.t, f.message, q.sign FROM f JOIN q ON f.plain = q.plain AND f.message = q.message WHERE f.message <> ''), "
+    + "y AS (SELECT t, source, bool_or(coalesce(sign, 'weak') <> 'weak') AS sure FROM s GROUP BY 1, 2), n AS (SELECT DISTINCT t, source, message FROM s), "
+    + "per AS (SELECT message, count(*) AS n_docs, count(DISTINCT source) AS n_sources, count(*) FILTER (WHERE sure) AS n_marked, count(DISTINCT t) AS nt, count(DISTINCT t) FILTER (WHERE sure) AS ns FROM n JOIN y USING (t, source) GROUP BY 1), "
+    + "own AS (SELECT message, max(sign) FILTER (WHERE sign <> 'weak') AS rule FROM s WHERE sign IS NOT NULL GROUP BY 1), "
+    + f"kinds AS (SELECT per.message, n_docs, n_sources, n_marked, CASE WHEN own.message IS NULL THEN CASE WHEN n_sources >= {residue.MIN_SOURCES} AND n_docs >= {residue.MIN_DOCS} AND n_marked >= {residue.COMPANY}::DOUBLE * n_docs AND nt >= {residue.MIN_DOCS} AND ns >= {residue.COMPANY}::DOUBLE * nt THEN 'company' END "
+    + f"ELSE coalesce(rule, CASE WHEN n_sources >= {residue.MIN_SOURCES} THEN 'recurring' END) END AS kind FROM per LEFT JOIN own USING (message)), "
+    + "found AS (SELECT doc_id FROM s WHERE sign <> 'weak' UNION SELECT doc_id FROM s JOIN kinds USING (message) WHERE kind IN ('recurring', 'company')) "
+)
+
 SQL: dict[str, str] = {
+    "p10_found": _RESIDUE_SQL + "SELECT doc_id FROM found",
+    "p10_clean": _RESIDUE_SQL + "SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
+    "p10_messages": _RESIDUE_SQL + "SELECT message, n_docs, n_sources, n_marked, kind FROM kinds WHERE kind IS NOT NULL",
+    "p5_classes": """
+WITH RECURSIVE t AS (SELECT DISTINCT article_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM articles WHERE article_id IS NOT NULL),
+k AS (SELECT article_id, w, min(article_id) OVER (PARTITION BY w) AS rep FROM t WHERE len(w) > 0),
+s AS (SELECT DISTINCT article_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g FROM (SELECT article_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM k WHERE article_id = rep)),
+n AS (SELECT article_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.article_id AS x, b.article_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.article_id < b.article_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n p ON p.article_id = x JOIN n q ON q.article_id = y WHERE k >= 0.8 * (p.n + q.n - k)), z AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT x AS node, x AS seen FROM z UNION SELECT r.node, z.y FROM r JOIN z ON z.x = r.seen), l AS (SELECT node, min(seen) AS near FROM r GROUP BY 1), d AS (SELECT x, count(*) AS links FROM z GROUP BY 1)
+SELECT article_id, coalesce(near, rep) AS "group", rep AS copies_group, coalesce(links, 0) AS links FROM k LEFT JOIN l ON l.node = rep LEFT JOIN d ON d.x = rep""",
     "p4_statistics": _PROSE_SQL + " SELECT *, reasons = '' AS is_prose FROM r",
     "p4_found": _PROSE_SQL + " SELECT article_id FROM r WHERE reasons <> ''",
     "p5_found": """

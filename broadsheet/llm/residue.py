@@ -82,34 +82,39 @@ _LATIN = r"\b(?:" + "|".join(sorted(set(LATIN), key=len, reverse=True)) + r"){2,
 _NUMBERS = r"\b(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")(?:-[a-z]+)?\b"
 
 
+#: A line end inside a sentence; the end of a sentence; a quotation; a word that counts for filler.
+LINE_END, SENTENCE_END, QUOTED, LONG_WORD = r"([^.!?\n])\n([^\n])", r"([.!?][\"'”]?)\s+", r"[\"“„«][^\"“”„«»]*[\"”“»]", r"\b\pL{4,}\b"
+_NAME = (r"([\pL\pN,;:] )\p{Lu}\p{Ll}+\b", r"\1N")
+#: Replacements that mask a message, in order: addresses A, names N (neighbours share a blank, so twice), lower case (None), numbers
+#: and dates #, blanks.
+MASKS = [(r"\b(https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "A"), _NAME, _NAME, None, (_NUMBERS, "#"), (r"\$?\d[\d,.:]*", "#"), (r"\s+", " ")]
+
+
 def cut_messages(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(row of each message, message): line ends inside a sentence are blanks; sentences and lines are cut apart."""
     t = pc.fill_null(texts, "")
     for _ in range(2):  # neighbouring one-character lines share a character of the pattern
-        t = pc.replace_substring_regex(t, r"([^.!?\n])\n([^\n])", r"\1 \2")
-    t = pc.replace_substring_regex(t, r"([.!?][\"'”]?)\s+", "\\1\n")
+        t = pc.replace_substring_regex(t, LINE_END, r"\1 \2")
+    t = pc.replace_substring_regex(t, SENTENCE_END, "\\1\n")
     parts = pc.split_pattern_regex(t, pattern=r"\n+")
     return pc.list_parent_indices(parts), pc.utf8_trim_whitespace(pc.list_flatten(parts))
 
 
 def unquoted(messages: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(messages, r"[\"“„«][^\"“”„«»]*[\"”“»]", " Q ")
+    return pc.replace_substring_regex(messages, QUOTED, " Q ")
 
 
 def masked(messages: pa.Array) -> pa.Array:
-    """The normalised form of unquoted messages: names N, addresses A, numbers and dates #, lower case, blanks squeezed."""
-    x = pc.replace_substring_regex(messages, r"\b(https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", "A")
-    for _ in range(2):
-        x = pc.replace_substring_regex(x, r"([\pL\pN,;:] )\p{Lu}\p{Ll}+\b", r"\1N")
-    x = pc.utf8_lower(x)
-    x = pc.replace_substring_regex(x, _NUMBERS, "#")
-    x = pc.replace_substring_regex(x, r"\$?\d[\d,.:]*", "#")
-    return pc.utf8_trim_whitespace(pc.replace_substring_regex(x, r"\s+", " "))
+    """The normalised form of unquoted messages."""
+    x = messages
+    for m in MASKS:
+        x = pc.utf8_lower(x) if m is None else pc.replace_substring_regex(x, *m)
+    return pc.utf8_trim_whitespace(x)
 
 
 def signs(plain: pa.Array, mask: pa.Array) -> pa.Array:
     """placeholder, phrase, filler or weak for each message, else null."""
-    words = pc.count_substring_regex(mask, r"\b\pL{4,}\b")
+    words = pc.count_substring_regex(mask, LONG_WORD)
     latin = pc.count_substring_regex(mask, _LATIN)
     filler = pc.and_(pc.greater_equal(words, 4), pc.greater_equal(pc.cast(latin, pa.float64()), pc.multiply(0.85, pc.cast(words, pa.float64()))))
     kinds = pa.array(["placeholder", "phrase", "filler", "weak"])
@@ -200,7 +205,7 @@ def flag_residue(docs: DataFrame) -> DataFrame:
 
 
 def residue_messages(docs: DataFrame) -> DataFrame:
-    """Report of all groups of residue: hash, message (its masked form), n_docs, n_sources, n_marked, kind. The forms of the groups found
+    """Report of all groups of residue: message (its masked form), n_docs, n_sources, n_marked, kind. The forms of the groups found
     are read from the texts in a second pass."""
     groups = cut(message_groups(cut(document_messages(docs))).where("kind is not null"))
 
@@ -212,7 +217,7 @@ def residue_messages(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(m) - (1 << 63) for m in texts.to_pylist()], pa.int64()), texts], names=["hash", "message"])
 
     named = lookup_join(docs.select("text").mapInArrow(forms, "hash bigint, message string"), groups.select("hash"), ["hash"], "left_semi")
-    return groups.join(named.groupBy("hash").agg(F.min("message").alias("message")), "hash").select("hash", "message", "n_docs", "n_sources", "n_marked", "kind")
+    return groups.join(named.groupBy("hash").agg(F.min("message").alias("message")), "hash").select("message", "n_docs", "n_sources", "n_marked", "kind")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
