@@ -221,3 +221,36 @@ def multiverse_summary(frame: str, grid: dict[str, list[str]], estimands: dict[s
         for b in by
     ]
     return query(f"{frame}, {GRID_FRAME}", ctes, " UNION ALL ".join(parts))
+
+
+def claims(frame: str, grid: dict[str, list[str]], B: int) -> str:
+    """(id, status) of the claims over the trends, shares and grids of the frame."""
+    yearly = "SELECT 1 AS k, year, sum(n) AS n, sum(s) / sum(n) AS share FROM (SELECT year, article_id, sum({y}) AS s, count(*)::DOUBLE AS n FROM frame WHERE {y} IS NOT NULL AND {c} GROUP BY 1, 2) GROUP BY year"
+    ctes = grid_cells(grid, ESTIMANDS)
+    ctes |= {"cy": yearly.format(y="f", c="true"), "ca": yearly.format(y="f", c="authority"), "cu": yearly.format(y="(CASE WHEN gender = 'UNKNOWN' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", c="true")}
+    ctes["cg"] = "SELECT 1 AS k, cy.year, cy.n, ca.share - cy.share AS share FROM cy JOIN ca USING (year)"
+    for name in ("cy", "cg", "cu"):
+        ctes |= hac(name, ["k"], name=f"h{name}") | {f"i{name}": f"SELECT {with_t(f'h{name}')}"}
+    ctes["ra"] = "SELECT 'r_' || role AS role, year, count(*)::DOUBLE AS n, sum(f) / count(*) AS share FROM (SELECT role, year, f FROM frame WHERE f IS NOT NULL UNION ALL SELECT 'AUTHORITY', year, f FROM frame WHERE f IS NOT NULL AND authority) GROUP BY 1, 2"
+    ctes |= hac("ra", ["role"], name="hr")
+    ctes |= {
+        "ss": "SELECT article_id, CAST(year AS VARCHAR) AS period, sum(f) AS nf, count(*)::DOUBLE AS nn, coalesce(sum(f) FILTER (WHERE quoted), 0) AS sf, (count(*) FILTER (WHERE quoted))::DOUBLE AS sn FROM frame WHERE f IS NOT NULL GROUP BY 1, 2",
+        "se": "SELECT * FROM ss UNION ALL SELECT article_id, 'all', nf, nn, sf, sn FROM ss",
+        "sr": weights("se", "article_id", "period, nf, nn, sf, sn, article_id", B),
+        "sv": "SELECT period, b, sum(w * sf) / greatest(sum(w * sn), 1) - sum(w * nf) / sum(w * nn) AS v FROM sr GROUP BY 1, 2",
+        "sh": "SELECT period, quantile_cont(v, 0.975) AS hi FROM sv GROUP BY 1",
+        "rb": "SELECT estimand, min(slope) AS lo, coalesce(bool_and(slope > 0) OR bool_and(slope < 0), false) AS same FROM cell WHERE slope IS NOT NULL GROUP BY 1",
+    }
+    status = lambda name, sup, ten: f"SELECT '{name}' AS id, CASE WHEN coalesce({sup}, false) THEN 'supported' WHEN coalesce({ten}, false) THEN 'tentative' ELSE 'unsupported' END AS status"
+    rising = "(SELECT ci_lo > 0 FROM icy)"
+    both = "((SELECT bool_and(ca.share < cy.share) FROM ca JOIN cy USING (year)) AND (SELECT ci_lo > 0 FROM icg))"
+    parts = [
+        status("H1", f"{rising} AND (SELECT same AND lo > 0 FROM rb WHERE estimand = 'female_share')", rising),
+        status("H2", "false", both),  # one method only
+        status("H3", "false", "false"),  # no adjusted trend among the inputs
+        status("H4", "(SELECT max(abs(slope)) / min(abs(slope)) > 2 OR NOT (bool_and(slope > 0) OR bool_and(slope < 0)) FROM hr)", "false"),
+        status("H5", "false", "false"),
+        status("H6", "false", "(SELECT ci_lo > 0 OR ci_hi < 0 FROM icu)"),
+        status("H7", "(SELECT bool_and(hi < 0) FROM sh)", "(SELECT hi < 0 FROM sh WHERE period = 'all')"),
+    ]
+    return query(f"{frame}, {GRID_FRAME}", ctes, " UNION ALL ".join(parts))

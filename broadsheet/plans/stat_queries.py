@@ -354,11 +354,6 @@ def multiverse_counts(spark: SparkSession, d: str) -> DataFrame:
     return flags.join(cells, "resolution").where(_SEL).groupBy(*names, "estimand").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    m = mv.multiverse(_mv_frame(spark, d), {("hp", "mixed_unknown"): "f", ("hp", "v2_merge"): "f_v2"}, {"female_share": F.lit(True), "authority_share": F.col("r_AUTHORITY")}, {**GRID, "bins": ["year"]}, CENTRE)
-    return trend.with_t_interval(m, "n_years")
-
-
 def _grid_frame(spark: SparkSession, d: str) -> tuple[DataFrame, dict[tuple[str, str], str]]:
     """The frame of the full grid (see ``model_sql.GRID_FRAME``) and its outcomes by tier and resolution."""
     f = frame(spark, d).withColumn("year", 1900 + 9 * (F.col("year") - 1995))
@@ -424,7 +419,7 @@ def summary_of_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mv.multiverse_summary(c, ["publication"]).drop("share_sig_positive", "share_sig_negative"))
 
 
-@query()
+@query(M.claims(FRAME_SQL, mv.GRID, 20))
 def claims(spark: SparkSession, d: str) -> DataFrame:
     """Claim rules over the trends, shares and grids of this frame."""
     f = cut(_mv_frame(spark, d))
@@ -434,7 +429,8 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     gap = y.join(ya.select("year", F.col("share").alias("share_auth")), "year").withColumn("share", F.col("share_auth") - F.col("share"))
     trends = tr(y, "female_share", "B", "primary").unionByName(tr(y, "female_share", "B", "raw")).unionByName(tr(gap, "authority_gap", "B", "primary")).unionByName(tr(shares.yearly_share(f.withColumn("u", (F.col("gender") == "UNKNOWN").cast("double")), "u", "article_id"), "unknown_share", "B", "primary"))
     yearly = y.join(ya.select("year", F.col("share").alias("share_auth")), "year").withColumn("method", F.lit("B"))
-    robust = mv.multiverse_summary(_cells(spark, d), ["estimand"]).select("estimand", F.lit("B").alias("method"), "slope_min", "sign_survives_all")
+    part = F.split("estimand", "@")
+    robust = mv.multiverse_summary(_full_cells(spark, d), ["estimand"]).select(part[0].alias("estimand"), F.get(part, F.lit(1)).alias("method"), "slope_min", "sign_survives_all")
     contrasts = shares.speaker_gap(f, "f", "quoted", "article_id", "year", B=20).select("period", "ci_hi")
     by_role = trend.with_t_interval(trend.hac_trend(shares.role_trends(f, FLAGS, "f", "article_id"), ["role"], centre=CENTRE), "n_years")
     spread = agreement.slope_spread(by_role.withColumn("one", F.lit("x")), "one", "slope_pp_dec", "ci_lo", "ci_hi", "role").select(F.col("one").alias("role"), "ratio", "same_sign")
