@@ -119,6 +119,26 @@ def topic_stability(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
     return float(c[np.arange(len(c)), m].mean()), m
 
 
+def topic_runs(weights: DataFrame, key: str, term: str, weight: str, k: int = 24, rounds: int = 15, seeds: tuple[int, ...] = (0, 1, 2)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, terms, stability): the factorisation of the first seed, and one row (seed, topic, matched, cosine) per further seed
+    and topic with the topic of that run it matches best. The topic-term matrices are k x capped vocabulary."""
+    docs, terms = nmf(weights, key, term, weight, k, rounds, seed=seeds[0])
+    first = _matrix(terms, term, k)
+    rows = []
+    for s in seeds[1:]:
+        other = _matrix(nmf(weights, key, term, weight, k, rounds, seed=s)[1], term, k)
+        both = first.columns.union(other.columns)
+        a, b = (m.reindex(columns=both, fill_value=0.0).to_numpy() for m in (first, other))
+        _, match = topic_stability(a, b)
+        unit = [m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (a, b)]
+        rows += [(s, t, int(match[t]), float(unit[0][t] @ unit[1][match[t]])) for t in range(k)]
+    return docs, terms, weights.sparkSession.createDataFrame(rows, "seed int, topic int, matched int, cosine double")
+
+
+def _matrix(terms: DataFrame, term: str, k: int) -> pd.DataFrame:
+    return terms.toPandas().pivot(index="topic", columns=term, values="weight").reindex(range(k)).fillna(0.0)
+
+
 def _fitted(train: DataFrame, features: str, target: str, weight: str, reg: float):
     """A fitted classifier, or the prevalence if either class is too small."""
     n = train.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("q")).first()

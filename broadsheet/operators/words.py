@@ -41,10 +41,13 @@ def pooled_log_odds(counts: DataFrame, a: str, b: str, stratum: str, min_total:
     return g.where(F.col("n") >= min_count).select("word", "n", F.expr("dw / w").alias("delta"), F.expr("dw / w * sqrt(w)").alias("z"))
 
 
-def tfidf(df: DataFrame, key: str, words: Column, max_terms: int = 25_000, min_df: int = 15, max_df: float = 0.35) -> DataFrame:
+def tfidf(df: DataFrame, key: str, words: Column, max_terms: int = 25_000, min_df: int = 15, max_df: float = 0.35, stop: list[str] | None = None) -> DataFrame:
     """(key, word, tfidf): sublinear term frequency times smooth inverse document frequency, unit length per document.
+    Words of ``stop`` are no terms, whatever their case in the list.
     Terms in fewer than ``min_df`` documents or more than the share ``max_df`` are left out; the ``max_terms`` most frequent stay."""
     tf = word_counts(df, words, [key])
+    if stop:
+        tf = tf.where(~F.col("word").isin(sorted({w.lower() for w in stop})))
     n = df.select(key).distinct().agg(F.count(F.lit(1)).alias("N"))
     dfs = with_row(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")), n)
     terms = dfs.where((F.col("df") >= min_df) & (F.col("df") <= F.col("N") * max_df)).orderBy(F.desc("total"), "word").limit(max_terms)

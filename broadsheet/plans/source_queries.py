@@ -13,7 +13,7 @@ from broadsheet.functions import values as V
 from broadsheet.operators import models
 from broadsheet.plans.bindings import CONTENT, articles
 from broadsheet.runtime import cut, shared_dir, table
-from broadsheet.sources import readers, sinks
+from broadsheet.sources import fetch, readers, sinks
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -93,6 +93,21 @@ def article_lines(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
+_WORDS = " || ':' || ".join(f"sum(('0x' || substring(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT article_id, scan_id, year FROM articles WHERE year IS NOT NULL), s AS (SELECT year, scan_id, count(*) AS n FROM a GROUP BY 1, 2), "
+    "k AS (SELECT year, scan_id FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY year ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s) WHERE b < 30), "
+    "r AS (SELECT year, count(*) AS scans_read FROM s GROUP BY 1), x AS (SELECT a.year, a.scan_id, a.article_id, sha256('{\"article_id\":\"' || a.article_id || '\",\"text\":\"\",\"year\":' || a.year || '}') AS h FROM a JOIN k USING (year, scan_id)) "
+    f"SELECT year, CASE year " + " ".join(f"WHEN {y} THEN '{fetch.request_key(y, 30)}'" for y in range(1900, 1964, 3)) + f" END AS key, 30::BIGINT AS quota, '{readers.PROCESSING_VERSION}' AS version, any_value(scans_read) AS scans_read, count(DISTINCT scan_id) AS scans_kept, count(*) AS n_articles, 0::BIGINT AS n_chars, sha256({_WORDS}) AS digest FROM x JOIN r USING (year) GROUP BY 1"
+)
+def year_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of all years under a quota, with the key of the request and the digest of what was kept (ids only here)."""
+    a = table(spark, d, "articles").where("year is not null").select("article_id", "scan_id", "year").distinct().withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0))
+    return fetch.manifest_of(a, fetch.sampled_articles(a, 30), 30)
+
+
 @query("SELECT y::INTEGER AS year FROM range(1900, 1964, 3) t(y)")
 def year_grid(spark: SparkSession, d: str) -> DataFrame:
     years = readers.target_years({"tiers": {"standard": {"years": {"start": 1900, "stop": 1963, "step": 3}}}}, "standard")

@@ -683,13 +683,26 @@ def embedding_crossfit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("p_y").alias("mean_p")))
 
 
+def _topic_weights(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.feature import StopWordsRemover
+
+    from broadsheet.operators import words
+
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0))
+    return cut(words.tfidf(table(spark, d, "documents"), "doc_id", found, stop=StopWordsRemover.loadDefaultStopWords("english")))
+
+
+@query()
+def topic_stability_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The topic model of three seeds: how well the topics of the first run are found again by the others."""
+    s = models.topic_runs(_topic_weights(spark, d), "doc_id", "word", "tfidf")[2]
+    return rounded(s.groupBy("seed").agg(F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("least_cosine"), F.count(F.lit(1)).alias("topics")))
+
+
 @query()
 def topic_factors(spark: SparkSession, d: str) -> DataFrame:
     """Non-negative factorisation of the documents' TF-IDF table: leading terms per topic."""
-    from broadsheet.operators import words
-
-    w = words.tfidf(table(spark, d, "documents"), "doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), max_terms=2000, min_df=15, max_df=0.2)
-    _, h = models.nmf(w, "doc_id", "word", "tfidf", k=8, rounds=6)
+    _, h = models.nmf(_topic_weights(spark, d), "doc_id", "word", "tfidf")
     return rounded(ranking.first_n(h.withColumn("_h", F.lpad(F.conv(F.format_string("%.0f", (1e9 - F.col("weight") * 1e6)), 10, 16), 10, "0")), ["topic"], [F.col("_h"), F.col("word")], 18).drop("_h"))
 
 

@@ -51,6 +51,24 @@ def test_tar_members(spark, tmp_path):
     assert readers.parse_scans(d, "member", "payload").count() == 3
 
 
+def test_fetch_year(spark, tmp_path):
+    from broadsheet.sources import fetch
+
+    with tarfile.open(tmp_path / "y.tar.gz", "w:gz") as t:
+        for i in range(6):
+            data = scan(scan_url=f"u{i}", edition={"date": "1931-05-01" if i == 5 else "1930-05-01", "edition": "e"}).encode()
+            info = tarfile.TarInfo(f"x/1930-05-01_p{i}_sn_{i}.json")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    m = fetch.fetch_year(spark, f"{tmp_path}/y.tar.gz", 1930, 3, f"{tmp_path}/out").first()
+    assert (m.year, m.quota, m.scans_read, m.scans_kept, m.n_articles, m.n_chars) == (1930, 3, 5, 3, 3, 900) and m.key == fetch.request_key(1930, 3)
+    assert spark.read.json(f"{tmp_path}/out/articles/1930").count() == 3
+    (tmp_path / "y.tar.gz").unlink()  # the same request is not read again, another one is
+    assert fetch.fetch_year(spark, f"{tmp_path}/y.tar.gz", 1930, 3, f"{tmp_path}/out").first() == m
+    with pytest.raises(Exception, match="no archive"):
+        fetch.fetch_year(spark, f"{tmp_path}/y.tar.gz", 1930, 4, f"{tmp_path}/out").first()
+
+
 def test_labels(spark):
     lines = spark.createDataFrame([("1|y|F|AC|n|3|a|b note",), ("",), ("2|n|U|-|n|1|",), ("2|n|U|-|n|1|",)], "value string")
     got = readers.parse_labels(lines, F.col("value"), {"A": "ARTS_SPORTS", "C": "CIVIC"})
