@@ -2,7 +2,7 @@
 
 The year is constant in a cell of (year, effects, clusters), so counts and sums of the outcome per cell are enough for slopes,
 residual scores and cluster errors: Spark aggregates the cells, a small solver works on them. ``MAX_CELLS`` guards the
-collected size; a frame with more cells is refused with an error."""
+collected size; beyond it ``lpm_trend`` sweeps the effects out of the cells where they are, the other models are refused."""
 
 from __future__ import annotations
 
@@ -14,20 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.stats import t_quantile, t_two_sided
-from broadsheet.runtime import with_row
+from broadsheet.runtime import cut, null_safe_join, with_row
 
 MAX_CELLS = 2_000_000
 #: Clusters up to which the wild bootstrap goes through all sign vectors.
 EXACT_CLUSTERS = 12
 
 
-def cells(df: DataFrame, y: str, keys: list[str], weight: str | None = None) -> pd.DataFrame:
+def cell_table(df: DataFrame, y: str, keys: list[str], weight: str | None = None) -> DataFrame:
     """(keys, w, wy, n) per cell; rows with a null outcome are left out, null keys are a value of their own."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    g = df.where(F.col(y).isNotNull()).groupBy(*dict.fromkeys(keys)).agg(F.sum(w).alias("w"), F.sum(F.col(y).cast("double") * w).alias("wy"), F.count(F.lit(1)).alias("n"))
-    g = g.limit(MAX_CELLS + 1).toPandas()
+    return df.where(F.col(y).isNotNull()).groupBy(*dict.fromkeys(keys)).agg(F.sum(w).alias("w"), F.sum(F.col(y).cast("double") * w).alias("wy"), F.count(F.lit(1)).alias("n"))
+
+
+def cells(df: DataFrame, y: str, keys: list[str], weight: str | None = None) -> pd.DataFrame:
+    """The collected cells."""
+    g = cell_table(df, y, keys, weight).limit(MAX_CELLS + 1).toPandas()
     if len(g) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells; use coarser keys")
+    return _sorted_cells(g, keys)
+
+
+def _sorted_cells(g: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return g.sort_values(list(dict.fromkeys(keys)), na_position="first", kind="stable").reset_index(drop=True)
 
 
@@ -62,7 +70,55 @@ def _meat(score: np.ndarray, codes: np.ndarray) -> tuple[float, int]:
 def lpm_trend(df: DataFrame, y: str, fe: list[str] | None = None, cluster: str = "publication", cluster2: str | None = "year", weight: str | None = None, year: str = "year", centre: int = 1930) -> dict:
     """Slope of y on decades in percentage points with absorbed effects and one- or two-way cluster errors; the two-way variance
     is at least either one-way variance, and t has the smaller number of clusters less one degrees of freedom."""
-    return lpm_of_cells(cells(df, y, [year, *(fe or []), cluster, *([cluster2] if cluster2 else [])], weight), fe, cluster, cluster2, year, centre)
+    keys = [year, *(fe or []), cluster, *([cluster2] if cluster2 else [])]
+    table = cell_table(df, y, keys, weight)
+    small = table.limit(MAX_CELLS + 1).toPandas()
+    if len(small) > MAX_CELLS:
+        return lpm_of_table(table, fe, cluster, cluster2, year, centre)
+    return lpm_of_cells(_sorted_cells(small, keys), fe, cluster, cluster2, year, centre)
+
+
+def lpm_of_table(c: DataFrame, fe: list[str] | None = None, cluster: str = "publication", cluster2: str | None = "year", year: str = "year", centre: int = 1930, tol: float = 1e-9, rounds: int = 500) -> dict:
+    """``lpm_of_cells`` for cells too many to collect: the weighted means of the effects are swept out by aggregations and joins, one
+    written table per round, until none moves by more than ``tol``; clusters are summed where they are."""
+    fe = fe or []
+    d = c.withColumn("_y", F.col("wy") / F.col("w")).withColumn("_x", (F.col(year) - centre) / F.lit(10.0))
+    mean = lambda v: (F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(f"_m{v}")
+    take = {v: F.col(v) - F.col(f"_m{v}") for v in ("_y", "_x")}
+    whole = d.agg(mean("_y"), mean("_x"), F.sum("wy").alias("wy"), F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    d = cut(with_row(d, d.agg(mean("_y"), mean("_x"))).withColumns(take).drop("_m_y", "_m_x"))
+    for _ in range(rounds if fe else 0):
+        moved = 0.0
+        for f in fe:
+            m = cut(d.groupBy(f).agg(mean("_y"), mean("_x")))
+            moved = max(moved, m.agg(F.max(F.greatest(F.abs("_m_y"), F.abs("_m_x")))).first()[0] or 0.0)
+            d = null_safe_join(d, m, [f]).withColumns(take).drop("_m_y", "_m_x")
+        d = cut(d)
+        if moved < tol or len(fe) == 1:
+            break
+    s = d.agg(F.sum(F.expr("w*_x*_x")).alias("xx"), F.sum(F.expr("w*_x*_y")).alias("xy")).first()
+    out = {"fe": "+".join(fe) or "none", "n": int(whole.n), "slope_pp_dec": None, "se": None, "ci_lo": None, "ci_hi": None, "p": None, "n_clusters": None, "mean_y": None}
+    if s.xx is None or s.xx <= 1e-12:
+        return out
+    b = s.xy / s.xx
+    d = d.withColumn("_u", F.expr("w*_x") * (F.col("_y") - b * F.col("_x")))
+
+    def meat(*by: str) -> tuple[float, int]:
+        r = d.groupBy(*by).agg(F.sum("_u").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.count(F.lit(1)).alias("g")).first()
+        return r.q * r.g / max(r.g - 1, 1), r.g
+
+    var, g = meat(cluster)
+    if cluster2:
+        (v2, g2), (v12, _) = meat(cluster2), meat(cluster, cluster2)
+        var, g = max(var + v2 - v12, var, v2), min(g, g2)
+    return out | _interval(b, math.sqrt(var) / s.xx, g, whole.wy / whole.w)
+
+
+def _interval(b: float, se: float, g: int, mean_y: float) -> dict:
+    """Slope, error, interval and p in percentage points, with g clusters."""
+    dof = max(g - 1, 1)
+    q = t_quantile(0.975, dof)
+    return {"slope_pp_dec": 100 * b, "se": 100 * se, "ci_lo": 100 * (b - q * se), "ci_hi": 100 * (b + q * se), "p": t_two_sided(b / se, dof) if se > 0 else None, "n_clusters": g, "mean_y": float(mean_y)}
 
 
 def lpm_of_cells(c: pd.DataFrame, fe: list[str] | None = None, cluster: str = "publication", cluster2: str | None = "year", year: str = "year", centre: int = 1930) -> dict:
@@ -87,9 +143,7 @@ def lpm_of_cells(c: pd.DataFrame, fe: list[str] | None = None, cluster: str = "p
         v2, g2 = _meat(score, two)
         v12, _ = _meat(score, _codes(pd.Series(list(zip(one, two, strict=True)))))
         var, g = max(var + v2 - v12, var, v2), min(g, g2)
-    se, dof = math.sqrt(var) / sxx, max(g - 1, 1)
-    q = t_quantile(0.975, dof)
-    return out | {"slope_pp_dec": 100 * b, "se": 100 * se, "ci_lo": 100 * (b - q * se), "ci_hi": 100 * (b + q * se), "p": t_two_sided(b / se, dof) if se > 0 else None, "n_clusters": g, "mean_y": float(c["wy"].sum() / w.sum())}
+    return out | _interval(b, math.sqrt(var) / sxx, g, c["wy"].sum() / w.sum())
 
 
 def trend_table(df: DataFrame, y: str, specs: list[list[str]], **kw) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from broadsheet.functions import text as T
 from broadsheet.functions import values as V
@@ -212,6 +213,15 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return words.word_counts(_topical(spark, d), _words(F.col("text")), ["section"])
 
 
+@query(f"SELECT topic, word, n, rank FROM (SELECT topic, word, n, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word) AS rank FROM (SELECT topic, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word, count(*) AS n FROM ({_TOPICAL}) GROUP BY 1, 2)) WHERE rank <= 18")
+def topic_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The leading terms of every labelled topic."""
+    n = words.word_counts(_topical(spark, d), _words(F.col("text")), ["topic"])
+    down = F.lpad(F.conv((F.lit(2**39) - F.col("n")).cast("string"), 10, 16), 10, "0")  # a hexadecimal key that falls with the count
+    top = ranking.first_n(n.withColumn("_h", down), ["topic"], [F.col("_h"), F.col("word")], 18)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("_h", "word")).cast("long")).select("topic", "word", "n", "rank")
+
+
 _COUNTS = f"""w AS (SELECT topic % 3 AS st, topic % 2 = 0 AS side, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM ({_TOPICAL})),
 c AS (SELECT st, word, count(*) FILTER (WHERE side)::DOUBLE AS n_a, count(*) FILTER (WHERE NOT side)::DOUBLE AS n_b FROM w GROUP BY 1, 2)"""
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A side of a join is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when it was counted and has at most this many rows and, as text, bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: Replicas of the small side when a counted side is too large to broadcast.
 SALTS = 16
 
@@ -46,10 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table that may have hot keys with a lookup table that has unique keys.
 
-    The lookup side is counted (up to ``limit`` + 1 rows): within the bound it is broadcast, beyond it
+    The lookup side is counted and measured (up to ``limit`` + 1 rows): within the bounds it is broadcast, beyond them
     it is replicated ``SALTS`` times so that a hot key of ``big`` spreads over that many tasks.
     ``how`` is left, inner, left_semi or left_anti."""
-    if small.limit(limit + 1).count() <= limit:
+    wide = [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c, t in small.dtypes if t == "string" or t.startswith("array")]
+    size = small.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(wide, F.lit(8 * len(small.columns)))), F.lit(0)).alias("b")).first()
+    if size.n <= limit and size.b <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or [F.col(on[0])]), F.lit(SALTS)).cast("int")

@@ -64,6 +64,19 @@ def test_fixed_effects_remove_confounding(spark):
     assert panel.logit_ame(d, "y")["ame_pp_dec"] < -4
 
 
+def test_many_cells(spark, monkeypatch):
+    """Cells beyond the bound are solved where they are, with the same result."""
+    rng = np.random.default_rng(8)
+    rows = [(int(1900 + 3 * rng.integers(0, 12)), f"p{rng.integers(0, 9)}", None if rng.random() < 0.1 else f"s{rng.integers(0, 4)}", float(rng.random() < 0.4)) for _ in range(3000)]
+    d = spark.createDataFrame(rows, "year int, publication string, section string, y double")
+    for fe in ([], ["section"], ["section", "publication"]):
+        want = panel.lpm_trend(d, "y", fe)
+        monkeypatch.setattr(panel, "MAX_CELLS", 5)
+        got = panel.lpm_trend(d, "y", fe)
+        monkeypatch.undo()
+        assert got.keys() == want.keys() and all(got[k] == want[k] if isinstance(want[k], str | int) else abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_absorb_is_least_squares():
     rng = np.random.default_rng(2)
     e = [rng.integers(0, 4, 60), rng.integers(0, 5, 60)]
