@@ -212,7 +212,7 @@ def multiverse(frame: str, grid: dict[str, list[str]], estimands: dict[str, str]
 
 
 def multiverse_summary(frame: str, grid: dict[str, list[str]], estimands: dict[str, str], by: list[list[str]]) -> str:
-    ctes = grid_cells(grid, estimands) | {"i": f"SELECT *, {with_t('cell')}"}
+    ctes = grid_cells(grid, estimands) | {"i": f"SELECT * REPLACE (round(slope, 9) AS slope, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi) FROM (SELECT *, {with_t('cell')})"}
     every = list(dict.fromkeys(k for b in by for k in b))
     parts = [
         "SELECT " + ", ".join(k if k in b else f"NULL::VARCHAR AS {k}" for k in every) + f", '{'+'.join(b)}' AS \"by\", count(slope) AS n_cells, round(count(*) FILTER (WHERE slope > 0)::DOUBLE / nullif(count(slope), 0), 6) AS share_positive, "
@@ -239,7 +239,7 @@ def claims(frame: str, grid: dict[str, list[str]], B: int) -> str:
         "sr": weights("se", "article_id", "period, nf, nn, sf, sn, article_id", B),
         "sv": "SELECT period, b, sum(w * sf) / greatest(sum(w * sn), 1) - sum(w * nf) / sum(w * nn) AS v FROM sr GROUP BY 1, 2",
         "sh": "SELECT period, quantile_cont(v, 0.975) AS hi FROM sv GROUP BY 1",
-        "rb": "SELECT estimand, min(slope) AS lo, coalesce(bool_and(slope > 0) OR bool_and(slope < 0), false) AS same FROM cell WHERE slope IS NOT NULL GROUP BY 1",
+        "rb": "SELECT estimand, min(slope) AS lo, coalesce(bool_and(slope > 0) OR bool_and(slope < 0), false) AS same FROM (SELECT estimand, round(slope, 9) AS slope FROM cell) WHERE slope IS NOT NULL GROUP BY 1",
     }
     status = lambda name, sup, ten: f"SELECT '{name}' AS id, CASE WHEN coalesce({sup}, false) THEN 'supported' WHEN coalesce({ten}, false) THEN 'tentative' ELSE 'unsupported' END AS status"
     rising = "(SELECT ci_lo > 0 FROM icy)"

@@ -370,8 +370,10 @@ def _estimands() -> dict:
 
 
 def _full_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with slopes to nine digits, for the sign of a slope that is zero but for rounding would be chance."""
     f, outcomes = _grid_frame(spark, d)
-    return trend.with_t_interval(mv.multiverse(f, outcomes, _estimands(), mv.GRID), "n_years")
+    cells = trend.with_t_interval(mv.multiverse(f, outcomes, _estimands(), mv.GRID), "n_years")
+    return cells.withColumns({c: F.round(c, 9) for c in ("slope_pp_dec", "ci_lo", "ci_hi")})
 
 
 @query(M.multiverse(FRAME_SQL, mv.GRID, M.ESTIMANDS))
