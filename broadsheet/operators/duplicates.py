@@ -14,11 +14,12 @@ from broadsheet.functions.text import exact_key, shingles
 from broadsheet.runtime import cut, null_safe_join
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): smallest node of each connected component of edges(a, b); pointer jumping on written tables."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): smallest node of each connected component of edges(a, b); pointer jumping on written tables until nothing
+    moves. Labels only fall, so it ends."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).select(F.col("a").alias("node"), "label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         step = step.join(labels.select(F.col("node").alias("new"), F.col("label").alias("far")), "new", "left")
@@ -26,7 +27,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = step.select("node", "label")
         if not step.where("label <> old").limit(1).count():
             return labels
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
 def exact_groups(df: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
