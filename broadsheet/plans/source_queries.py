@@ -78,7 +78,7 @@ def tar_budget(spark: SparkSession, d: str) -> DataFrame:
     """With a byte budget each archive ends early and quietly, and what is read is a part of the whole."""
     path = _archives(spark, d) + "/*.tar.gz"
     every = readers.read_tar_members(spark, path).select("archive", "member")
-    some = cut(readers.read_tar_members(spark, path, 2000).select("archive", "member"))
+    some = cut(readers.read_tar_members(spark, path, 400).select("archive", "member"))
     n = every.agg(F.count(F.lit(1)).alias("n")).first().n
     lost = some.join(every, ["archive", "member"], "left_anti").limit(1).count()
     return some.agg((F.count(F.lit(1)) < n).alias("fewer")).withColumn("whole", F.lit(lost == 0))
