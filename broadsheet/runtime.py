@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files nobody refers to any more: its cleaner acts only when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table that may have hot keys with a lookup table that has unique keys.
 
