@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.runtime import cut, lookup_join
+from broadsheet.runtime import cut, lookup_join, release
 
 #: Minimum hashes per band and bands; together the bits of a fingerprint.
 ROWS, BANDS = 4, 32
@@ -222,6 +222,7 @@ def candidate_pairs(prints: DataFrame, threshold: float) -> DataFrame:
     entries = cell_entries(prints)
     counts = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(entries.join(counts, "cell"))
+    release(prints.sparkSession)
     blocks = F.ceil(F.col("n") / HOT_CELL).cast("int")
     spread = shared.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -266,10 +267,12 @@ def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: floa
     prints = cut(fingerprints(docs, "key", "text", k))
     reps = prints.groupBy("seq").agg(F.min("key").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("bands").alias("bands"))
     reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
+    release(docs.sparkSession)  # each step's shuffles are of no use once its result is written
     classes = prints.select("key", "seq").distinct().join(reps.select("seq", "rep"), "seq").select("key", "rep")
     pairs = cut(candidate_pairs(reps, threshold))
+    release(docs.sparkSession)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "rep"), "id")
-    wanted = wanted.select("id", F.col("rep").alias("key"))
+    wanted = cut(wanted.select("id", F.col("rep").alias("key")))
     # texts of repeated keys are the same: one of them is enough
     own = lookup_join(docs, wanted, ["key"], "inner").groupBy("id").agg(F.min("text").alias("t"))
 
@@ -282,6 +285,7 @@ def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: floa
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([data[8 * cuts[i] : 8 * cuts[i + 1]] for i in range(b.num_rows)], pa.binary())], names=["id", "s"])
 
     sets = cut(own.mapInArrow(shingles, "id bigint, s binary"))
+    release(docs.sparkSession)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +302,10 @@ def verified_pairs(docs: DataFrame, key: str, text: str, k: int, threshold: floa
     good = both.mapInArrow(verify, "a bigint, b bigint, similarity double")
     names = reps.select("id", "rep")
     good = good.join(names.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    return cut(good.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")), cut(classes)
+    good = cut(good.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity"))
+    classes = cut(classes)
+    release(docs.sparkSession)
+    return good, classes
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -335,7 +342,7 @@ def near_duplicate_pairs(docs: DataFrame, key: str, text: str, k: int, threshold
     ca, cb = classes.select(F.col("key").alias("x"), F.col("rep").alias("a")), classes.select(F.col("key").alias("y"), F.col("rep").alias("b"))
     across = pairs.select("a", "b").join(ca, "a").join(cb, "b")
     # copies: the pairs of a large class are spread over pairs of blocks
-    sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("nb", F.ceil(F.col("n") / COPY_BLOCK).cast("int"))
+    sizes = cut(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("nb", F.ceil(F.col("n") / COPY_BLOCK).cast("int")))
     copies = lookup_join(classes, sizes.select("rep", "nb"), ["rep"], "inner").withColumn("xb", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
     blocks = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     left = copies.select(F.col("key").alias("x"), "rep", "xb", blocks.alias("yb"))
