@@ -61,7 +61,9 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
     lines = F.filter(F.split(t, r"\n"), lambda x: F.length(F.trim(x)) > 0)
     common = sorted({w for ws in COMMON.values() for w in ws})
-    pairs = F.when(F.size("_w") > 1, F.array_sort(F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))))
+    # a pair of words is a number: a hash of both, with their letters in the last 16 bits
+    pair = lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(-1 << 16)).bitwiseOR(F.least(F.length(a) + F.length(b), F.lit((1 << 16) - 1)).cast("long"))
+    pairs = F.when(F.size("_w") > 1, F.sort_array(F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), pair)))
     d = df.withColumn("_w", words).withColumn("_l", lines)
     n, nl, nc = F.size("_w"), F.size("_l"), F.length(t)
     letters = F.aggregate("_w", F.lit(0), lambda acc, w: acc + F.length(w))
@@ -73,9 +75,9 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     stop = lambda k: F.size(F.array_intersect("_w", F.array(*[F.lit(w) for w in STOP[k]])))
     # the pair of words that takes up most characters: runs of the sorted pairs
     run = F.aggregate(
-        F.coalesce(pairs, F.array().cast("array<string>")),
-        F.struct(F.lit("").alias("p"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(x.alias("p"), F.when(x == a["p"], a["n"] + 1).otherwise(F.lit(1)).alias("n"), F.greatest(a["best"], F.when((x == a["p"]) & (a["n"] + 1 >= PAIR_TIMES), (a["n"] + 1) * (F.length(x) - 1)).otherwise(F.lit(0))).alias("best")),
+        F.coalesce(pairs, F.array().cast("array<bigint>")),
+        F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("best")),
+        lambda a, x: F.struct(x.alias("p"), F.when(x == a["p"], a["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when((x == a["p"]) & (a["n"] + 1 >= PAIR_TIMES), F.greatest(a["best"], (a["n"] + 1) * x.bitwiseAND(F.lit((1 << 16) - 1)))).otherwise(a["best"]).alias("best")),
         lambda a: a["best"],
     )
     return d.select(
