@@ -369,17 +369,21 @@ def _estimands() -> dict:
     return {k: F.lit(True) if callable(v) else F.col("role").isin(v) for k, v in _ESTIMANDS.items()}
 
 
+def _grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the full grid, not rounded."""
+    f, outcomes = _grid_frame(spark, d)
+    return trend.with_t_interval(mv.multiverse(f, outcomes, _estimands(), mv.GRID), "n_years")
+
+
 def _full_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells with slopes to nine digits, for the sign of a slope that is zero but for rounding would be chance."""
-    f, outcomes = _grid_frame(spark, d)
-    cells = trend.with_t_interval(mv.multiverse(f, outcomes, _estimands(), mv.GRID), "n_years")
-    return cells.withColumns({c: F.round(c, 9) for c in ("slope_pp_dec", "ci_lo", "ci_hi")})
+    return _grid_cells(spark, d).withColumns({c: F.round(c, 9) for c in ("slope_pp_dec", "ci_lo", "ci_hi")})
 
 
 @query(M.multiverse(FRAME_SQL, mv.GRID, M.ESTIMANDS))
 def multiverse_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The whole aggregate grid: 864 specifications of five estimands."""
-    return rounded(_full_cells(spark, d))
+    """The whole aggregate grid: 864 specifications of five estimands. Rounded once: nine digits before six move values at a half."""
+    return rounded(_grid_cells(spark, d))
 
 
 @query(M.multiverse(FRAME_SQL, mv.METHOD_GRID, M.METHODS))

@@ -166,3 +166,24 @@ def test_multiverse_equals_direct(spark, data):
         direct = trend.binned_trend(multiverse.select_spec(f, spec).withColumn("k", F.lit(1)), ["k"], "f", width, centre=1998).first()
         for a, b in ((cell.slope_pp_dec, direct.slope_pp_dec), (cell.se, direct.se)):
             assert (a is None and b is None) or abs(a - b) < 1e-9
+
+
+def test_multiverse_cells_are_rounded_once(spark, data):
+    """The values to six digits are those of the SQL, also where nine digits before would move one at a half."""
+    import os
+
+    import duckdb
+
+    from broadsheet.plans.registry import QUERIES, SQL
+
+    c = duckdb.connect()
+    for t in os.listdir(data):
+        c.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{data}/{t}'")
+    keys = [*multiverse.GRID, "estimand"]
+    values = ["slope_pp_dec", "se", "level", "ci_lo", "ci_hi", "p"]
+    q = c.execute(f"SELECT {', '.join(keys + values)} FROM ({SQL['multiverse_cells']})")
+    want = {r[: len(keys)]: r[len(keys) :] for r in q.fetchall()}
+    got = {tuple(r[k] for k in keys): tuple(r[v] for v in values) for r in QUERIES["multiverse_cells"](spark, data).collect()}
+    assert got.keys() == want.keys()
+    near = lambda a, b: a is None and b is None or abs(a - b) < 5e-7
+    assert not [k for k in got if not all(map(near, got[k], want[k]))]
