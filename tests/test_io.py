@@ -190,3 +190,29 @@ def test_plans_push_down(spark, data):
 
     plan = QUERIES["yearly_share"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "PushedFilters" in plan and "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_similar_pairs_equal_direct_comparison(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(30)] for _ in range(6)]
+    texts = [" ".join(w if rng.random() > 0.03 else "zz" for w in rng.choice(base)[: rng.randint(2, 30)]) for _ in range(80)]
+    # fourteen shingles of 25: a similarity of 0.56, whose product with 25 is more than fourteen by rounding
+    words = [f"w{i}" for i in range(29)]
+    texts += [" ".join(words), " ".join(words[:18]), "", "!"]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.strip("! ") else set()
+    sets = [grams(t) for t in texts]
+    d = spark.createDataFrame([(i, t, 1900) for i, t in enumerate(texts)], "id int, t string, y int")
+    for threshold in (0.56, 0.8):
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+        assert {(r.a, r.b) for r in duplicates.similar_pairs(d, "id", "t", "y", threshold).collect()} == want
+        assert (threshold == 0.56) == ((80, 81) in want)
+
+
+def test_few_texts_are_compared(spark):
+    """Of unlike texts no shingle is moved after the count."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)), 1900) for i in range(50)]
+    rows.append((50, rows[7][1] + " more", 1900))
+    d = spark.createDataFrame(rows, "id int, t string, y int")
+    assert {r.id for r in duplicates._paired(d, "id", "t", "y", 0.8, 5).collect()} == {7, 50}
