@@ -59,21 +59,22 @@ def _sets(df: DataFrame, key: str, text: str, within: str, k: int) -> DataFrame:
     return t.where(F.size("t") > 0).select("id", "g", _shingle_hashes(F.col("t"), k).alias("s")).select("id", "g", F.size("s").alias("n"), "s")
 
 
-def _able(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id) of the sets that can have a partner, written once. At most n - ``threshold`` n shingles are missing in a partner, so no
-    more of any that are chosen by their hash (here three of four, to move fewer) may stand in no other set of the group;
-    forty bits of a hash are enough to tell that one stands in no other."""
-    sets = sets.withColumn("doc", F.xxhash64("id"))
-    rows = sets.select("doc", "g", F.explode(F.filter("s", lambda h: F.pmod(h, F.lit(4)) > 0)).alias("h")).select("doc", "g", F.shiftrightunsigned("h", 24).alias("h"))
-    alone = rows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("doc")).where("df = 1").groupBy("doc", "g").agg(F.count(F.lit(1)).alias("u"))
-    able = F.coalesce("u", F.lit(0)) <= F.col("n") - threshold * F.col("n") + _SLACK
-    return cut(sets.select("id", "doc", "g", "n").join(alone, ["doc", "g"], "left").where(able).select("id"))
+def _able(df: DataFrame, key: str, text: str, within: str, threshold: float, k: int) -> DataFrame:
+    """(key) of the texts that can have a partner, written once. At most n - ``threshold`` n shingles are missing in a partner, so no
+    more of any that are chosen by their hash (here three of four, to move fewer) may stand in no other text of the group;
+    forty bits of a hash are enough to tell that one stands in no other. Of the others only the keys are read again."""
+    sets = _sets(df, key, text, within, k).select(F.xxhash64("id").alias("doc"), "g", "n", F.explode(F.filter("s", lambda h: F.pmod(h, F.lit(4)) > 0)).alias("h"))
+    rows = sets.select("doc", "g", "n", F.shiftrightunsigned("h", 24).alias("h"))
+    alone = rows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("doc"), F.min("n").alias("n")).where("df = 1")
+    lone = alone.groupBy("doc", "g").agg(F.count(F.lit(1)).alias("u"), F.min("n").alias("n")).where(F.col("u") > F.col("n") - threshold * F.col("n") + _SLACK)
+    ids = df.select(key, F.xxhash64(key).alias("doc"), F.col(within).alias("g")).where(F.col("g").isNotNull())
+    return cut(ids.join(lone.select("doc", "g"), ["doc", "g"], "left_anti").select(key))
 
 
 def _paired(df: DataFrame, key: str, text: str, within: str, threshold: float, k: int, among: DataFrame | None = None) -> DataFrame:
     """(id, g, doc, n, s), written once: the sets that can have a partner, of the texts whose key is ``among`` the given ones. Their
     texts are read again, for the shingles of all would take more room than the texts."""
-    ids = _able(_sets(df.join(among, key, "left_semi") if among is not None else df, key, text, within, k), threshold).withColumnRenamed("id", key)
+    ids = _able(df if among is None else df.join(among, key, "left_semi"), key, text, within, threshold, k)
     release(df.sparkSession)
     few = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0)).alias("b")).first()
     few = few.n <= BROADCAST_ROWS and few.b <= BROADCAST_BYTES

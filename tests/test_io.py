@@ -216,3 +216,9 @@ def test_few_texts_are_compared(spark):
     rows.append((50, rows[7][1] + " more", 1900))
     d = spark.createDataFrame(rows, "id int, t string, y int")
     assert {r.id for r in duplicates._paired(d, "id", "t", "y", 0.8, 5).collect()} == {7, 50}
+
+
+def test_texts_without_tokens_are_near_to_none(spark):
+    d = spark.createDataFrame([("a", "", 1900), ("b", None, 1900), ("c", "!!", 1900), ("d", "one text", None), ("e", "one text", None), ("f", "one text", 1900), ("g", "One text.", 1900)], "id string, t string, y int")
+    g = {r.id: r for r in duplicates.near_groups(d, "id", "t", "y").collect()}
+    assert {k: r.near_group for k, r in g.items()} == {"a": "a", "b": "b", "c": "c", "d": "d", "e": "e", "f": "f", "g": "f"}
