@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from broadsheet.functions import lexicons as L
 
@@ -27,6 +29,8 @@ ENTITIES = (
 ARTICLE_COUNTS = "article_id string, n_tokens int, n_sents int, n_ner_person int, n_mentions int, n_pattern_mentions int, n_entities int, n_ambiguous_dropped int, n_speech_events int"
 #: Words either side of a mention in which role words are looked for; longest name in tokens.
 WINDOW, MAX_NAME = 10, 6
+#: Rows of a batch that ``extract_entities`` hands back.
+BATCH = 5_000
 
 
 def parse_texts(docs: DataFrame, load_parser: Callable[[], Callable[[str], list[tuple]]]) -> DataFrame:
@@ -111,16 +115,17 @@ class Entity:
 class Article:
     """Token columns of one article with tree access; all rules of one article."""
 
-    def __init__(self, rows: pd.DataFrame, lexicon: dict[str, str]):
-        rows = rows.sort_values("i", kind="stable")
-        self.text, self.lemma = rows["text"].astype(str).tolist(), [str(x).lower() for x in rows["lemma"]]
-        self.pos, self.dep = rows["pos"].tolist(), rows["dep"].tolist()
-        base = int(rows["i"].iloc[0]) if len(rows) else 0
+    def __init__(self, rows: pd.DataFrame | dict[str, list], lexicon: dict[str, str]):
+        if isinstance(rows, pd.DataFrame):
+            rows = rows.sort_values("i", kind="stable").to_dict("list")
+        self.text, self.lemma = [str(x) for x in rows["text"]], [str(x).lower() for x in rows["lemma"]]
+        self.pos, self.dep = rows["pos"], rows["dep"]
+        base = int(rows["i"][0]) if rows["i"] else 0
         self.head = [int(h) - base for h in rows["head"]]
-        self.sent = rows["sent"].tolist()
-        self.label, self.span = rows["ent_label"].tolist(), rows["ent_id"].tolist()
-        self.idx = rows["idx"].tolist()
-        self.n = len(rows)
+        self.sent = rows["sent"]
+        self.label, self.span = rows["ent_label"], rows["ent_id"]
+        self.idx = rows["idx"]
+        self.n = len(rows["i"])
         self.kids = defaultdict(list)
         for i, h in enumerate(self.head):
             if h != i:
@@ -166,8 +171,8 @@ class Article:
         found, used = [], set()
         spans = defaultdict(list)
         for i in range(self.n):
-            if self.label[i] == "PERSON" and not pd.isna(self.span[i]):
-                spans[self.span[i]].append(i)
+            if self.label[i] == "PERSON" and (k := self.span[i]) is not None and k == k:
+                spans[k].append(i)
         for members in spans.values():
             p = self._person(min(members), max(members) + 1, "ner")
             if p:
@@ -419,10 +424,48 @@ def extract_entities(tokens: DataFrame, lexicon: dict[str, str]) -> DataFrame:
     without persons have no row; entities whose mentions were all ambiguous have none either. Use ``extract_articles`` where
     the parser can run in the same pass: then no token is shuffled."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _entity_frame(article_entities(rows["article_id"].iloc[0], Article(rows, lexicon)))
+    names, numbers = [c.split()[0] for c in TOKENS.split(", ")], ("sent", "head", "ent_id", "idx")
+    schema = tokens.sparkSession.createDataFrame([], ENTITIES).schema
 
-    return tokens.groupBy("article_id").applyInPandas(run, ENTITIES)
+    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, list]]]:
+        """The columns of one article after another; an article may go on in the next batches."""
+        key, held = None, None
+        for b in batches:
+            cols = {c: b.column(c).to_pylist() for c in names}
+            for c in numbers:  # a missing number equals nothing
+                if b.column(c).null_count:
+                    cols[c] = [float("nan") if x is None else x for x in cols[c]]
+            ids = cols["article_id"]
+            a = 0
+            while a < len(ids):
+                e = a + 1
+                while e < len(ids) and ids[e] == ids[a]:
+                    e += 1
+                part = {c: x[a:e] for c, x in cols.items()}
+                if held is not None and key == ids[a]:
+                    for c in names:
+                        held[c] += part[c]
+                else:
+                    if held is not None:
+                        yield key, held
+                    key, held = ids[a], part
+                a = e
+        if held is not None:
+            yield key, held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        out: list[tuple] = []
+        for key, rows in articles(batches):
+            out += article_entities(key, Article(rows, lexicon))
+            if len(out) >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    whole = tokens.select(*names).repartition("article_id").sortWithinPartitions("article_id", F.asc_nulls_last("i"))
+    return whole.mapInArrow(run, ENTITIES)
 
 
 def extract_articles(docs: DataFrame, load_parser: Callable[[], Callable[[str], list[tuple]]], lexicon: dict[str, str]) -> DataFrame:

@@ -137,3 +137,19 @@ def test_plug_in_parser(spark):
     d = spark.createDataFrame([("a", "x y"), ("b", None)], "article_id string, text string")
     parse = lambda: lambda t: [(i, 0, w, w, "NOUN", "ROOT", i, None, None, 0) for i, w in enumerate(t.split())]
     assert rules.parse_texts(d, parse).count() == 2
+
+
+def test_articles_go_on_over_batches(spark):
+    """Articles cut by Arrow batches are whole, and no row is handed to Python by itself."""
+    from broadsheet.plans import rule_queries as q
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        t = q.token_table(spark, "/root/testdata/sf0.001")
+        df = rules.extract_entities(t, q.LEXICON)
+        small = sorted(df.drop("rel_pos").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == sorted(df.drop("rel_pos").collect())
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    assert df.select("roles_a").count() == len(small)
