@@ -10,10 +10,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,6 +32,9 @@ ARTICLE_COUNTS = "article_id string, n_tokens int, n_sents int, n_ner_person int
 WINDOW, MAX_NAME = 10, 6
 #: Rows of a batch that ``extract_entities`` hands back.
 BATCH = 5_000
+#: Texts of tokens whose bare words a worker remembers.
+WORDS = 50_000
+_EDGES, _LETTER, _NO_NAME, _NAME = re.compile(r"^\W+|\W+$"), re.compile("[A-Za-z]"), re.compile(r"[^a-z'-]"), re.compile(r"[A-Z][A-Za-z'\-]*\.?")
 
 
 def parse_texts(docs: DataFrame, load_parser: Callable[[], Callable[[str], list[tuple]]]) -> DataFrame:
@@ -90,6 +94,12 @@ def resolve_gender(df: DataFrame, hclass: str, pronouns: str, nouns: str) -> Dat
 # ------------------------------------------------------------------ rules over the dependency tree
 
 
+@lru_cache(WORDS)
+def bare(text: str) -> str:
+    """Lower case, without marks at either end."""
+    return _EDGES.sub("", text.lower())
+
+
 @dataclass
 class Person:
     """A mention: token span [s, e), its titles and the entity it belongs to (-1 open, -2 ambiguous)."""
@@ -130,7 +140,7 @@ class Article:
         for i, h in enumerate(self.head):
             if h != i:
                 self.kids[h].append(i)
-        self.word = [re.sub(r"^\W+|\W+$", "", t.lower()) for t in self.text]
+        self.word = [bare(t) for t in self.text]
         self.lexicon = lexicon
         self.persons = self._persons()
         self.n_mentions, self.n_pattern = len(self.persons), sum(p.source == "pattern" for p in self.persons)
@@ -154,10 +164,10 @@ class Article:
                 before.insert(0, i)
             i -= 1
         titles = before + inner
-        span = [i for i in range(s, e) if re.search("[A-Za-z]", self.text[i]) and self.text[i] not in ("'s",)]
+        span = [i for i in range(s, e) if _LETTER.search(self.text[i]) and self.text[i] not in ("'s",)]
         if not span or e - s > MAX_NAME or not any(self.text[i][:1].isupper() for i in span):
             return None
-        parts = [w for w in (re.sub(r"[^a-z'-]", "", self.text[i].lower()).strip("'-") for i in span) if w]
+        parts = [w for w in (_NO_NAME.sub("", self.text[i].lower()).strip("'-") for i in span) if w]
         last = [w for w in parts if len(w) > 1 and w not in ("jr", "sr", "ii", "iii")]
         if not last:
             return None
@@ -183,7 +193,7 @@ class Article:
                 continue
             a = i + 1 + (i + 1 < self.n and self.text[i + 1] == ".")
             b = a
-            while b < self.n and b - a < 3 and b not in used and re.fullmatch(r"[A-Z][A-Za-z'\-]*\.?", self.text[b]) and not self._title(b):
+            while b < self.n and b - a < 3 and b not in used and _NAME.fullmatch(self.text[b]) and not self._title(b):
                 b += 1
             p = self._person(i, b, "pattern") if b > a else None
             if p and any(len(self.text[k].strip(".")) > 1 for k in range(p.s, p.e)):
@@ -288,6 +298,10 @@ class Article:
                 out.append(("UNKNOWN", sig, gn if gn in "FM" else sig, src, sig, gn))
         return out
 
+    @cached_property
+    def gender(self) -> list[tuple[str, str, str, str, str, str]]:
+        return self.genders()
+
     # -- roles
     def roles_near(self, p: Person) -> set[str]:
         span = (i for i in range(max(0, p.s - WINDOW), min(self.n, p.e + WINDOW)) if not p.s <= i < p.e and self.sent[i] == self.sent[p.s] and self.pos[i] in ("NOUN", "PROPN"))
@@ -373,6 +387,10 @@ class Article:
             out.append((who, how, direct, chars, self.lemma[v]))
         return out
 
+    @cached_property
+    def said(self) -> list[tuple[int, str, bool, int, str]]:
+        return self.speech([g[1] for g in self.gender])
+
     def language(self, p: Person) -> tuple[list[str], list[str], list[str], list[str]]:
         """(agent verbs, patient verbs, possessed nouns, adjectives)."""
         r = self.root(p)
@@ -392,49 +410,101 @@ def majority(signals: list[str]) -> tuple[str, str]:
     return (top, "pronoun") if 3 * n >= 2 * len(signals) else ("UNKNOWN", "conflict")
 
 
-def article_entities(key: str, a: Article) -> list[tuple]:
-    """The rows of ``ENTITIES`` of one article."""
-    gender = a.genders()
-    said = a.speech([g[1] for g in gender])
+# Parts of a row of ``ENTITIES``: of article a under a key, entity k with the mentions ms.
+
+
+def _keys(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    return key, f"{key}#{k}"
+
+
+def _names(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    e = a.entities[k]
+    return max((" ".join(a.text[p.s : p.e]) for p in ms), key=len), e.surname, e.given, e.hclass, len(ms), sum(p.source == "ner" for p in ms)
+
+
+def _signals(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    pronouns = a.pronouns(a.entities[k])
+    return *a.gender[k], pronouns.count("F"), pronouns.count("M")
+
+
+def _roles(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    return sorted(set().union(*[a.roles_near(p) for p in ms])), sorted(set().union(*[a.roles_stated(p) for p in ms]))
+
+
+def _titles(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    return (sorted({a.word[t] for p in ms for t in p.titles}),)
+
+
+def _speech(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    names = [q for q in a.said if q[0] == k and q[1] == "name"]
+    return len(names), sum(q[0] == k and q[1] == "pronoun" for q in a.said), sum(q[2] for q in names), sum(q[3] for q in names)
+
+
+def _language(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    lang = [a.language(p) for p in ms]
+    return tuple([x for r in lang for x in r[n]] for n in range(4))
+
+
+def _place(key: str, a: Article, k: int, ms: list[Person]) -> tuple:
+    return ms[0].s, round(ms[0].s / max(a.n, 1), 4), a.dropped
+
+
+#: The parts in the order of ``ENTITIES`` and how many columns each has.
+PARTS = ((_keys, 2), (_names, 6), (_signals, 8), (_roles, 2), (_titles, 1), (_speech, 4), (_language, 4), (_place, 3))
+ENTITY_COLUMNS = [c.rsplit(" ", 1)[0] for c in ENTITIES.split(", ")]
+
+
+def parts_of(columns: list[str]) -> tuple[list[Callable], list[int]]:
+    """The parts that hold the columns, and the places of the columns in the parts put together."""
+    used, held, at = [], [], 0
+    for part, n in PARTS:
+        own = ENTITY_COLUMNS[at : at + n]
+        at += n
+        if set(own) & set(columns):
+            used.append(part)
+            held += own
+    return used, [held.index(c) for c in columns]
+
+
+ALL_PARTS = parts_of(ENTITY_COLUMNS)
+
+
+def article_entities(key: str, a: Article, wanted: tuple[list[Callable], list[int]] = ALL_PARTS) -> list[tuple]:
+    """The rows of ``ENTITIES`` of one article, or their columns of ``parts_of``: other parts are not worked out."""
+    parts, places = wanted
     out = []
     for k, e in enumerate(a.entities):
         if not e.members:
             continue
         ms = sorted(e.members, key=lambda p: p.s)
-        lang = [a.language(p) for p in ms]
-        names = [q for q in said if q[0] == k and q[1] == "name"]
-        out.append(
-            (
-                key, f"{key}#{k}", max((" ".join(a.text[p.s : p.e]) for p in ms), key=len), e.surname, e.given, e.hclass, len(ms), sum(p.source == "ner" for p in ms), *gender[k],
-                a.pronouns(e).count("F"), a.pronouns(e).count("M"), sorted(set().union(*[a.roles_near(p) for p in ms])), sorted(set().union(*[a.roles_stated(p) for p in ms])),
-                sorted({a.word[t] for p in ms for t in p.titles}), len(names), sum(q[0] == k and q[1] == "pronoun" for q in said), sum(q[2] for q in names), sum(q[3] for q in names),
-                [x for r in lang for x in r[0]], [x for r in lang for x in r[1]], [x for r in lang for x in r[2]], [x for r in lang for x in r[3]],
-                ms[0].s, round(ms[0].s / max(a.n, 1), 4), a.dropped,
-            )
-        )
+        row = [x for part in parts for x in part(key, a, k, ms)]
+        out.append(tuple([row[i] for i in places]))
     return out
 
 
 def _entity_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.rsplit(" ", 1)[0] for c in ENTITIES.split(", ")])
+    return pd.DataFrame(rows, columns=ENTITY_COLUMNS)
 
 
-def extract_entities(tokens: DataFrame, lexicon: dict[str, str]) -> DataFrame:
-    """One row per person of each article (schema ``ENTITIES``) of a token table; ``lexicon`` maps role words to roles. Articles
-    without persons have no row; entities whose mentions were all ambiguous have none either. Use ``extract_articles`` where
-    the parser can run in the same pass: then no token is shuffled."""
+def extract_entities(tokens: DataFrame, lexicon: dict[str, str], columns: list[str] | None = None) -> DataFrame:
+    """One row per person of each article (schema ``ENTITIES``, or those of its columns that are asked for) of a token table;
+    ``lexicon`` maps role words to roles. Articles without persons have no row; entities whose mentions were all ambiguous have
+    none either. Use ``extract_articles`` where the parser can run in the same pass: then no token is shuffled."""
 
     names, numbers = [c.split()[0] for c in TOKENS.split(", ")], ("sent", "head", "ent_id", "idx")
-    schema = tokens.sparkSession.createDataFrame([], ENTITIES).schema
+    columns = columns or ENTITY_COLUMNS
+    schema = tokens.sparkSession.createDataFrame([], ENTITIES).select(columns).schema
+
+    def values(c: str, x: pa.Array) -> list:
+        if c not in numbers or not x.null_count:
+            return x.to_numpy(zero_copy_only=False).tolist()
+        return [float("nan") if v is None else v for v in x.to_pylist()]  # a missing number equals nothing
 
     def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, list]]]:
         """The columns of one article after another; an article may go on in the next batches."""
         key, held = None, None
         for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in names}
-            for c in numbers:  # a missing number equals nothing
-                if b.column(c).null_count:
-                    cols[c] = [float("nan") if x is None else x for x in cols[c]]
+            cols = {c: values(c, b.column(c)) for c in names}
             ids = cols["article_id"]
             a = 0
             while a < len(ids):
@@ -454,18 +524,19 @@ def extract_entities(tokens: DataFrame, lexicon: dict[str, str]) -> DataFrame:
             yield key, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = to_arrow_schema(schema)
+        kinds, wanted = to_arrow_schema(schema), parts_of(columns)
         out: list[tuple] = []
         for key, rows in articles(batches):
-            out += article_entities(key, Article(rows, lexicon))
+            out += article_entities(key, Article(rows, lexicon), wanted)
             if len(out) >= BATCH:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    whole = tokens.select(*names).repartition("article_id").sortWithinPartitions("article_id", F.asc_nulls_last("i"))
-    return whole.mapInArrow(run, ENTITIES)
+    # a window moves the tokens only if they do not lie by article yet; its number is handed on, else it would be left out
+    n = F.row_number().over(Window.partitionBy("article_id").orderBy(F.asc_nulls_last("i")))
+    return tokens.select(*names).withColumn("_n", n).mapInArrow(run, schema)
 
 
 def extract_articles(docs: DataFrame, load_parser: Callable[[], Callable[[str], list[tuple]]], lexicon: dict[str, str]) -> DataFrame:

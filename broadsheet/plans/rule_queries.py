@@ -3,7 +3,7 @@ its own; the SQL states what the rules must find in each form."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators import rules
@@ -36,42 +36,47 @@ FORMS = [
 ]
 
 
-def _text(word: str, g: Column, s: Column, v: Column) -> Column:
-    return {"{g}": g, "{s}": s, "{v}": v}.get(word, F.lit(word))
+#: A token of a form: ``shown`` is g, s or v where a name or the verb stands; ``at`` is its place without those before it, which are counted.
+TEMPLATE = "form int, i int, sent int, shown string, text string, lemma string, pos string, dep string, head int, ent_label string, ent_id int, at int, n_g int, n_s int, n_v int"
+#: Tasks the keys are spread over at least: a file of keys is small, its tokens are not.
+SPREAD = 24
 
 
-def token_table(spark: SparkSession, d: str) -> DataFrame:
-    """One token table over all customers."""
-    key = F.col("c_custkey")
-    given = F.array(*[F.lit(x) for x in GIVEN])[(key % len(GIVEN)).cast("int")]
-    surname = F.concat(F.lit("S"), F.translate(key.cast("string"), "0123456789", "aeioumnrst"), F.lit("ton"))
-    n = (key % len(VERBS)).cast("int")
-    verb, lemma = F.array(*[F.lit(x) for x in VERBS])[n], F.array(*[F.lit(x) for x in VERBS.values()])[n]
-    forms = []
-    for form in FORMS:
-        rows, i = [], 0
+def _template() -> list[tuple]:
+    """The tokens of all forms (schema ``TEMPLATE``)."""
+    rows = []
+    for f, form in enumerate(FORMS):
+        i, at, seen = 0, 0, {"g": 0, "s": 0, "v": 0}
         for sent, tokens in enumerate(form):
             for t in tokens:
                 word, pos, dep, head, *ent = t.split(" ")
                 text, _, base = word.partition("/")
-                shown = _text(text, given, surname, verb)
-                rows.append((i, sent, shown, F.lit(base) if base else lemma if text == "{v}" else F.lower(shown), pos, dep, i - tokens.index(t) + int(head), int(ent[0]) if ent else None))
+                shown = text[1] if text in ("{g}", "{s}", "{v}") else None
+                rows.append((f, i, sent, shown, text, base or text.lower(), pos, dep, i - tokens.index(t) + int(head), "PERSON" if ent else None, int(ent[0]) if ent else None, at, *seen.values()))
                 i += 1
-        cells = [
-            F.struct(F.lit(i).alias("i"), F.lit(s).alias("sent"), x.alias("text"), b.alias("lemma"), F.lit(p).alias("pos"), F.lit(q).alias("dep"), F.lit(h).alias("head"), F.lit("PERSON" if e is not None else None).cast("string").alias("ent_label"), F.lit(e).cast("int").alias("ent_id"))
-            for i, s, x, b, p, q, h, e in rows
-        ]
-        forms.append(F.array(*cells))
-    pick = F.lit(None).cast("array<struct<i:int,sent:int,text:string,lemma:string,pos:string,dep:string,head:int,ent_label:string,ent_id:int>>")
-    for k, f in enumerate(forms):
-        pick = F.when(key % len(FORMS) == k, f).otherwise(pick)
-    a = table(spark, d, "customer").select(F.concat(F.lit("c"), key).alias("article_id"), pick.alias("t"))
-    place = F.transform("t", lambda x, i: F.aggregate(F.slice("t", F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y["text"]) + 1))
-    return a.withColumn("x", F.arrays_zip("t", place.alias("p"))).select("article_id", F.explode("x").alias("x")).select("article_id", "x.t.*", F.col("x.p").alias("idx"))
+                at += 1 if shown else len(text) + 1
+                if shown:
+                    seen[shown] += 1
+    return rows
+
+
+def token_table(spark: SparkSession, d: str) -> DataFrame:
+    """One token table over all customers. The forms are a table of their own (89 rows, broadcast), so a key is evaluated once and not once a token."""
+    key = F.col("c_custkey")
+    pick = lambda names: F.get(F.array(*[F.lit(x) for x in names]), (key % len(names)).cast("int"))
+    surname = F.concat(F.lit("S"), F.translate(key.cast("string"), "0123456789", "aeioumnrst"), F.lit("ton"))
+    keys = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), key).alias("article_id"))
+    keys = keys.repartition(max(SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions"))), "article_id")  # the tokens then lie by article
+    a = keys.select("article_id", (key % len(FORMS)).cast("int").alias("form"), pick(GIVEN).alias("g"), surname.alias("s"), pick(VERBS).alias("v"), pick(VERBS.values()).alias("v_lemma"))
+    t = a.join(F.broadcast(spark.createDataFrame(_template(), TEMPLATE)), "form")
+    word = F.when(F.col("shown") == "g", F.col("g")).when(F.col("shown") == "s", F.col("s")).when(F.col("shown") == "v", F.col("v")).otherwise(F.col("text"))
+    base = F.when(F.col("shown") == "g", F.lower("g")).when(F.col("shown") == "s", F.lower("s")).when(F.col("shown") == "v", F.col("v_lemma")).otherwise(F.col("lemma"))
+    idx = F.col("at") + F.col("n_g") * F.length("g") + F.col("n_s") * F.length("s") + F.col("n_v") * F.length("v")
+    return t.select("article_id", "i", "sent", word.alias("text"), base.alias("lemma"), "pos", "dep", "head", "ent_label", "ent_id", idx.alias("idx"))
 
 
-def _people(spark: SparkSession, d: str) -> DataFrame:
-    return rules.extract_entities(token_table(spark, d), LEXICON)
+def _people(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    return rules.extract_entities(token_table(spark, d), LEXICON, columns)
 
 
 # What must come out: per form its people in the order of their entities. Values are SQL; g, s are the names, v the lemma of the verb.
@@ -128,7 +133,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _flat(df: DataFrame, columns: list[str]) -> DataFrame:
+def _flat(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    df = _people(spark, d, ["entity_id", *columns])
     kinds = dict(df.dtypes)
     return df.select("entity_id", *[F.array_join(c, ",").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns])
 
@@ -142,39 +148,39 @@ LANGUAGE = ["agent_verbs", "patient_verbs", "poss_nouns", "adjs"]
 @query(_PERSONS + f"SELECT entity_id, {', '.join(MENTIONS)} FROM p")
 def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions made and found: names, titles and classes."""
-    return _flat(_people(spark, d), MENTIONS)
+    return _flat(spark, d, MENTIONS)
 
 
 @query(_PERSONS + "SELECT article_id, count(*) AS n_entities, sum(n_mentions)::BIGINT AS n_kept, max(n_ambiguous_dropped) AS n_dropped FROM p GROUP BY 1")
 def entity_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Entities of each article, their mentions and what was dropped as ambiguous."""
-    return _people(spark, d).groupBy("article_id").agg(F.count(F.lit(1)).alias("n_entities"), F.sum("n_mentions").alias("n_kept"), F.max("n_ambiguous_dropped").alias("n_dropped"))
+    return _people(spark, d, ["article_id", "n_mentions", "n_ambiguous_dropped"]).groupBy("article_id").agg(F.count(F.lit(1)).alias("n_entities"), F.sum("n_mentions").alias("n_kept"), F.max("n_ambiguous_dropped").alias("n_dropped"))
 
 
 @query(_PERSONS + f"SELECT entity_id, {', '.join(SIGNALS)} FROM p")
 def entity_signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals of salience, pronouns and nouns, and the tiers resolved from them."""
-    return _flat(_people(spark, d), SIGNALS)
+    return _flat(spark, d, SIGNALS)
 
 
 @query(_PERSONS + "SELECT entity_id, roles_a FROM p")
 def entity_roles_lexical(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_people(spark, d), ["roles_a"])
+    return _flat(spark, d, ["roles_a"])
 
 
 @query(_PERSONS + "SELECT entity_id, roles_b FROM p")
 def entity_roles_stated(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_people(spark, d), ["roles_b"])
+    return _flat(spark, d, ["roles_b"])
 
 
 @query(_PERSONS + f"SELECT entity_id, {', '.join(SPEECH)} FROM p")
 def entity_speech(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_people(spark, d), SPEECH)
+    return _flat(spark, d, SPEECH)
 
 
 @query(_PERSONS + f"SELECT entity_id, {', '.join(LANGUAGE)} FROM p")
 def entity_language(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_people(spark, d), LANGUAGE)
+    return _flat(spark, d, LANGUAGE)
 
 
 _SENTS = "[" + ", ".join(str(len(f)) for f in FORMS) + "]"
@@ -193,7 +199,7 @@ def article_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(_PERSONS + "SELECT article_id, entity_id, first_tok, rel_pos FROM p")
 def article_entities(spark: SparkSession, d: str) -> DataFrame:
     """Assembly of articles: numbering of the entities and where they first stand."""
-    return _people(spark, d).select("article_id", "entity_id", "first_tok", "rel_pos")
+    return _people(spark, d, ["article_id", "entity_id", "first_tok", "rel_pos"])
 
 
 def _blank_parser():

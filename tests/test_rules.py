@@ -153,3 +153,33 @@ def test_articles_go_on_over_batches(spark):
     assert small == sorted(df.drop("rel_pos").collect())
     assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
     assert df.select("roles_a").count() == len(small)
+
+
+def test_only_wanted_parts_are_worked_out(spark, data, monkeypatch):
+    """Columns asked for are those of the whole rows; the other parts, such as speech, are not called."""
+    from broadsheet.plans import rule_queries as q
+
+    t = q.token_table(spark, data)
+    for wanted in (["entity_id", *q.LANGUAGE], ["n_quotes_pron", "entity_id"], ["roles_a"]):
+        df = rules.extract_entities(t, q.LEXICON, wanted)
+        assert df.columns == wanted and sorted(df.collect()) == sorted(rules.extract_entities(t, q.LEXICON).select(wanted).collect())
+    rows = sorted(t.where("article_id = 'c2'").collect(), key=lambda r: r.i)
+    a = rules.Article({c: [r[c] for r in rows] for c in t.columns}, q.LEXICON)
+    for f in ("genders", "speech", "roles_near", "roles_stated"):
+        monkeypatch.delattr(rules.Article, f)
+    assert rules.article_entities("c2", a, rules.parts_of(["entity_id", "agent_verbs"])) == [("c2#0", ["speak"]), ("c2#1", [])]
+
+
+def test_tokens_are_joined_not_rebuilt_for_each_token(spark, data):
+    """A key is evaluated once and not in a lambda over its tokens, and a small file of keys is spread; texts stand at idx."""
+    from broadsheet.plans import rule_queries as q
+
+    t = q.token_table(spark, data)
+    assert "lambdafunction" not in t._jdf.queryExecution().optimizedPlan().toString()
+    assert t.rdd.getNumPartitions() >= 12
+    plan = q.entity_language(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan  # keys are moved, tokens are not
+    for article in ("c0", "c4", "c13"):
+        rows = sorted(t.where(F.col("article_id") == article).collect(), key=lambda r: r.i)
+        whole = " ".join(r.text for r in rows)
+        assert rows and all(whole[r.idx : r.idx + len(r.text)] == r.text for r in rows)
